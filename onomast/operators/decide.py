@@ -211,4 +211,4 @@ def request_cutoff(decisions: DataFrame, jobs: DataFrame, system: float = 0.0) -
     joined = decisions.join(latest.withColumnRenamed("party_id", "job_party"), F.coalesce("member_id", "party_id") == F.col("job_party"), "left")
     limit = F.greatest(F.lit(system), F.coalesce("cutoff", F.lit(float(default))))
     low = (F.col("decision") == "MATCH") & (F.col("confidence") < limit)
-    return shaped(joined.withColumn("decision", F.when(low, "NO_MATCH").otherwise(F.col("decision"))).withColumn("reason", F.when(low, "BELOW_REQUEST_CUTOFF").otherwise(F.col("reason"))))
+    return shaped(joined.withColumns({"decision": F.when(low, "NO_MATCH").otherwise(F.col("decision")), "reason": F.when(low, "BELOW_REQUEST_CUTOFF").otherwise(F.col("reason"))}))

@@ -1,14 +1,624 @@
-"""Registered queries over the test tables, and their DuckDB SQL."""
+"""Registered queries over the test tables, and their DuckDB SQL.
+
+Query names begin with the operator they show: s sources, k sinks, f filters, j joins,
+a aggregates, w windows, x scalar functions, d decisions, g graph, l learning, t state.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from onomast.functions import ids, vocab
+from onomast.functions import text as X
+from onomast.operators import decide, evaluate, graph, prepare, recovery, retrieval, scoring, suggest
+from onomast.operators.settle import settle
+from onomast.plans import matcher, views
+from onomast.streaming import incremental
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
+SUFFIX = "|".join(sorted(vocab.LEGAL_SUFFIXES))
+CTE = f"WITH parties AS ({views.duck(views.PARTIES)}), written AS ({views.duck(views.WRITTEN)})"
+
+
+def norm(x: str) -> str:
+    return f"trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+def base(n: str) -> str:
+    return f"trim(regexp_replace({n}, '((^| )({SUFFIX}))+$', ''))"
+
+
+def words(n: str) -> str:
+    return f"list_filter(string_split({n}, ' '), lambda t: t <> '')"
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return keep
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_type").count()
+    """The flat matcher."""
+    return d24_flat_matcher(spark, sf_dir)
+
+
+# --- text ----------------------------------------------------------------------------
+
+N = norm("raw_name")
+
+
+@register("x04_normalize", f"{CTE} SELECT adm_party_id, {N} AS norm, {base(N)} AS base, replace({N}, ' ', '') AS compact FROM written")
+def x04_normalize(spark, sf):
+    n = X.normalize(F.col("raw_name"))
+    return views.written(spark, sf).select("adm_party_id", n.alias("norm"), X.base(n).alias("base"), X.compact(n).alias("compact"))
+
+
+@register(
+    "x07_mentions",
+    f"""{CTE}, s AS (SELECT adm_party_id, trim(raw_name) AS raw, regexp_split_to_array(trim(raw_name), '\\b(OBO|VIA)\\b') AS p, regexp_extract_all(trim(raw_name), '\\b(OBO|VIA)\\b', 1) AS c FROM written),
+b AS (SELECT *, len(list_filter(p, lambda x: trim(x) = '')) > 0 AS bad FROM s),
+e AS (SELECT adm_party_id, bad, CASE WHEN bad THEN [raw] ELSE p END AS q, CASE WHEN bad THEN [] ELSE c END AS d FROM b)
+SELECT adm_party_id, (i - 1)::INTEGER AS position, trim(q[i]) AS text, CASE WHEN i > 1 THEN d[i - 1] END AS connector_before, d[i] AS connector_after, CASE WHEN bad THEN 'MALFORMED_CONNECTOR' END AS parse_warning
+FROM e, unnest(range(1, len(q) + 1)) AS r(i)""",
+)
+def x07_mentions(spark, sf):
+    return matcher.mentions(views.written(spark, sf)).drop("mention_id")
+
+
+@register("f12_record_case", f"{CTE} SELECT adm_party_id, CASE WHEN raw_name LIKE 'OBO %' THEN 'MALFORMED' WHEN raw_name LIKE '% OBO %' THEN 'OBO' WHEN raw_name LIKE '% VIA %' THEN 'VIA' ELSE 'PLAIN' END AS record_case FROM written")
+def f12_record_case(spark, sf):
+    return views.written(spark, sf).select("adm_party_id", X.record_case(F.col("raw_name")).alias("record_case"))
+
+
+PAIRS = f"{CTE}, pairs AS (SELECT w.adm_party_id, {norm('w.raw_name')} AS a, {norm('p.party_name')} AS b FROM written w JOIN parties p ON w.expected = p.party_id)"
+
+
+def pairs(spark, sf):
+    w, p = views.written(spark, sf), views.parties(spark, sf)
+    return w.join(p, w.expected == p.party_id).select("adm_party_id", X.normalize(F.col("raw_name")).alias("a"), X.normalize(F.col("party_name")).alias("b"))
+
+
+SETS = f"{PAIRS}, t AS (SELECT *, list_distinct({words('a')}) AS x, list_distinct({words('b')}) AS y FROM pairs), s AS (SELECT *, list_intersect(x, y) AS i, list_distinct(list_concat(x, y)) AS u FROM t)"
+
+
+@register("x08_char_ratio")
+def x08_char_ratio(spark, sf):
+    """Longest-common-subsequence ratio; tested against dynamic programming."""
+    p = pairs(spark, sf)
+    d = p.select("a", "b").distinct().withColumn("char_ratio", X.char_ratio(F.col("a"), F.col("b")))
+    return p.join(d, ["a", "b"]).select("adm_party_id", "char_ratio")
+
+
+@register("x09_jaro_winkler", f"{PAIRS} SELECT adm_party_id, round(jaro_winkler_similarity(a, b), 6) AS jaro_winkler FROM pairs")
+def x09_jaro_winkler(spark, sf):
+    p = pairs(spark, sf)
+    d = p.select("a", "b").distinct().withColumn("jaro_winkler", F.round(X.jaro_winkler(F.col("a"), F.col("b")), 6))
+    return p.join(d, ["a", "b"]).select("adm_party_id", "jaro_winkler")
+
+
+@register("x10_levenshtein", f"{PAIRS} SELECT adm_party_id, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS levenshtein FROM pairs")
+def x10_levenshtein(spark, sf):
+    return pairs(spark, sf).select("adm_party_id", F.round(X.levenshtein_similarity(F.col("a"), F.col("b")), 6).alias("levenshtein"))
+
+
+@register("x11_token_overlap", f"{SETS} SELECT adm_party_id, round(len(i) / greatest(1, len(u)), 6) AS jaccard, round(len(i) / greatest(1, len(x)), 6) AS raw_coverage, round(len(i) / greatest(1, len(y)), 6) AS candidate_coverage FROM s")
+def x11_token_overlap(spark, sf):
+    return pairs(spark, sf).select("adm_party_id", *[F.round(f(F.col("a"), F.col("b")), 6).alias(n) for n, f in (("jaccard", X.jaccard), ("raw_coverage", X.raw_coverage), ("candidate_coverage", X.candidate_coverage))])
+
+
+IDF = f"toks AS (SELECT party_id, unnest(list_distinct({words(norm('party_name'))})) AS token FROM parties), idf AS (SELECT token, count(*) AS df, ln((1.0 + (SELECT count(*) FROM parties)) / (1.0 + count(*))) + 1.0 AS idf FROM toks GROUP BY token)"
+
+
+@register("x12_weighted_overlap", f"{SETS}, {IDF}, e AS (SELECT adm_party_id, x, y, unnest(u) AS token FROM s), g AS (SELECT e.*, coalesce(idf, 1.0) AS w, list_contains(x, e.token) AND list_contains(y, e.token) AS hit, list_contains(y, e.token) AS cand FROM e LEFT JOIN idf ON e.token = idf.token) SELECT adm_party_id, round(sum(CASE WHEN hit THEN w ELSE 0 END) / sum(w), 6) AS weighted_overlap, round(sum(CASE WHEN hit THEN w ELSE 0 END) / sum(CASE WHEN cand THEN w ELSE 0 END), 6) AS weighted_coverage FROM g GROUP BY adm_party_id")
+def x12_weighted_overlap(spark, sf):
+    idf = scoring.token_idf(views.parties(spark, sf).select(F.col("party_name").alias("name")))
+    p = scoring.with_weights(pairs(spark, sf).withColumnsRenamed({"a": "mention_norm", "b": "norm_name"}), idf)
+    a, b, w = F.col("mention_norm"), F.col("norm_name"), F.col("idf")
+    return p.select("adm_party_id", F.round(X.weighted_overlap(a, b, w), 6).alias("weighted_overlap"), F.round(X.weighted_candidate_coverage(a, b, w), 6).alias("weighted_coverage"))
+
+
+D = "list_sort(list_filter({0}, lambda t: regexp_matches(t, '[0-9]')))"
+
+
+@register("x13_digit_conflict", f"{SETS}, d AS (SELECT adm_party_id, {D.format('x')} AS dx, {D.format('y')} AS dy FROM s) SELECT adm_party_id, len(dx) > 0 AND len(dy) > 0 AND dx <> dy AS digit_conflict FROM d")
+def x13_digit_conflict(spark, sf):
+    return pairs(spark, sf).select("adm_party_id", X.digit_conflict(F.col("a"), F.col("b")).alias("digit_conflict"))
+
+
+EX = "[" + ", ".join(f"'{w}'" for w in X.EXEMPT) + "]"
+SHORT = "len(list_filter({0}, lambda t: NOT list_contains({1}, t) AND NOT list_contains({2}, t) AND length(t) <= 4)) > 0"
+
+
+@register("x14_distinctive_conflict", f"{SETS} SELECT adm_party_id, len(list_filter(i, lambda t: NOT list_contains({EX}, t))) > 0 AND {SHORT.format('x', 'y', EX)} AND {SHORT.format('y', 'x', EX)} AS distinctive_conflict FROM s")
+def x14_distinctive_conflict(spark, sf):
+    return pairs(spark, sf).select("adm_party_id", X.distinctive_conflict(F.col("a"), F.col("b")).alias("distinctive_conflict"))
+
+
+LEGAL = "[" + ", ".join(f"'{w}'" for w in sorted(vocab.LEGAL_SUFFIXES)) + "]"
+
+
+@register("x15_acronym", f"{CTE}, n AS (SELECT party_id, list_filter({words(norm('party_name'))}, lambda t: NOT list_contains({LEGAL}, t)) AS w FROM parties) SELECT party_id, array_to_string(list_transform(w, lambda t: t[1]), '') AS initials, NOT list_contains({LEGAL}, array_to_string(list_transform(w, lambda t: t[1]), '')) AS related FROM n")
+def x15_acronym(spark, sf):
+    p = views.parties(spark, sf).withColumn("n", X.normalize(F.col("party_name")))
+    w = F.filter(X.tokens(F.col("n")), lambda t: ~t.isin(vocab.LEGAL_SUFFIXES))
+    return p.withColumn("initials", F.array_join(F.transform(w, lambda t: F.substring(t, 1, 1)), "")).select("party_id", "initials", X.acronym(F.col("initials"), F.col("n")).alias("related"))
+
+
+@register("x16_length_and_suffix", f"{PAIRS} SELECT adm_party_id, round(least(length(a), length(b)) / greatest(1, length(a), length(b)), 6) AS length_ratio, a <> b AND {base('a')} <> '' AND {base('a')} = {base('b')} AS suffix_only FROM pairs")
+def x16_length_and_suffix(spark, sf):
+    return pairs(spark, sf).select("adm_party_id", F.round(X.length_ratio(F.col("a"), F.col("b")), 6).alias("length_ratio"), ((F.col("a") != F.col("b")) & (X.base(F.col("a")) != "") & (X.base(F.col("a")) == X.base(F.col("b")))).alias("suffix_only"))
+
+
+@register("x29_legal_form", f"{CTE}, n AS (SELECT adm_party_id, {N} AS n FROM written), t AS (SELECT *, {words('n')} AS w, {base('n')} AS b FROM n) SELECT adm_party_id, b AS base, CASE w[-1] WHEN 'incorporated' THEN 'inc' WHEN 'limited' THEN 'ltd' WHEN 'corporation' THEN 'corp' WHEN 'company' THEN 'co' ELSE w[-1] END AS form FROM t WHERE len(w) >= 2 AND list_contains({LEGAL}, w[-1]) AND NOT list_contains({LEGAL}, w[-2]) AND length(replace(b, ' ', '')) >= 4")
+def x29_legal_form(spark, sf):
+    form = X.legal_form(X.normalize(F.col("raw_name")))
+    return views.written(spark, sf).withColumn("f", form).filter("f is not null").select("adm_party_id", "f.base", "f.form")
+
+
+ENDS = "|".join(sorted(vocab.ENDINGS))
+TOKENS = f"regexp_replace(regexp_replace({norm('replace({0}, chr(38), chr(32) || chr(97) || chr(110) || chr(100) || chr(32))')}, '^the ', ''), '(( )({ENDS}))+$', '')"
+
+
+@register("x38_name_tokens", f"{CTE} SELECT party_id, {TOKENS.replace('{0}', 'party_name')} AS meaningful FROM parties")
+def x38_name_tokens(spark, sf):
+    return views.parties(spark, sf).select("party_id", F.array_join(X.name_tokens(F.col("party_name")), " ").alias("meaningful"))
+
+
+@register("x26_name_views")
+def x26_name_views(spark, sf):
+    """At most three other writings of each name."""
+    return views.written(spark, sf).select("adm_party_id", F.posexplode(X.name_views(F.col("raw_name"))).alias("place", "v")).select("adm_party_id", "place", "v.kind", "v.view", "v.removed")
+
+
+@register("x25_soft_coverage")
+def x25_soft_coverage(spark, sf):
+    idf = scoring.token_idf(views.parties(spark, sf).select(F.col("party_name").alias("name")))
+    d = scoring.with_weights(pairs(spark, sf).select(F.col("a").alias("mention_norm"), F.col("b").alias("norm_name")).distinct(), idf)
+    a, b = F.col("mention_norm"), F.col("norm_name")
+    return d.withColumn("c", X.soft_coverage(a, b, X.token_weights(a, b, F.col("idf")))).select(a.alias("a"), b.alias("b"), "c.mine", "c.theirs")
+
+
+@register("x33_fragments")
+def x33_fragments(spark, sf):
+    return views.written(spark, sf).select("adm_party_id", F.explode(X.fragments(F.col("raw_name"))).alias("f")).select("adm_party_id", "f.delimiter", "f.position", "f.text")
+
+
+# --- ids and preparation --------------------------------------------------------------
+
+NS = "from_hex('6ba7b8119dad11d180b400c04fd430c8')"
+
+
+@register(
+    "s00_stable_id",
+    f"""{CTE}, h AS (SELECT party_id, sha1({NS} || encode('party-matching:verified:acc|' || party_name)) AS h FROM parties)
+SELECT party_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS stable FROM h""",
+)
+def s00_stable_id(spark, sf):
+    return views.parties(spark, sf).select("party_id", ids.stable_id("verified", F.lit("acc"), F.col("party_name")).alias("stable"))
+
+
+def _bucket(text: str) -> str:
+    return f"('0x' || substr(sha256({text}), 1, 8))::BIGINT % 100"
+
+
+@register(
+    "f06_split",
+    f"""{CTE}, n AS (SELECT adm_party_id, {norm('party_name')} AS c, {N} AS t FROM written JOIN parties ON expected = party_id),
+b AS (SELECT *, {_bucket('''concat('{{"canonical": "', c, '"}}')'''.replace('{{', '{').replace('}}', '}'))} AS f, {_bucket('''concat('{{"canonical": "', c, '", "template": "', t, '"}}')'''.replace('{{', '{').replace('}}', '}'))} AS g FROM n)
+SELECT adm_party_id, CASE WHEN f < 15 THEN 'TEST_UNSEEN' WHEN g < 15 THEN 'TEST_KNOWN' WHEN g < 30 THEN 'CALIBRATION' ELSE 'TRAIN' END AS split FROM b""",
+)
+def f06_split(spark, sf):
+    w, p = views.written(spark, sf), views.parties(spark, sf)
+    return w.join(p, w.expected == p.party_id).select("adm_party_id", ids.split(X.normalize(F.col("party_name")), X.normalize(F.col("raw_name"))).alias("split"))
+
+
+LABELLED = "rows_ AS (SELECT source_row, raw_name, CASE source_row % 7 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN NULL ELSE expected END AS label FROM written)"
+KNOWN = "label IS NOT NULL AND trim(label) <> '' AND lower(trim(label)) <> 'unknown'"
+
+
+def labelled(spark, sf):
+    label = F.when(F.col("source_row") % 7 == 0, "UNKNOWN").when(F.col("source_row") % 7 == 1, F.lit(None).cast("string")).otherwise(F.col("expected"))
+    return views.written(spark, sf).select("source_row", "raw_name", label.alias("label"))
+
+
+@register(
+    "f01_cleaning",
+    f"""{CTE}, {LABELLED}, l AS (SELECT raw_name, count(DISTINCT CASE WHEN {KNOWN} THEN label END) AS n FROM rows_ GROUP BY raw_name),
+r AS (SELECT rows_.*, l.n, row_number() OVER (PARTITION BY rows_.raw_name, label ORDER BY source_row) AS nth FROM rows_ JOIN l USING (raw_name))
+SELECT source_row, CASE WHEN n > 1 THEN 'CONFLICTING_LABELS' WHEN {KNOWN} AND trim(raw_name) = trim(label) THEN 'VERIFIED_SELF_ROW' WHEN nth > 1 THEN 'EXACT_DUPLICATE' END AS cleaning FROM r""",
+)
+def f01_cleaning(spark, sf):
+    return prepare.clean(labelled(spark, sf)).select("source_row", "cleaning")
+
+
+@register("a02_cleaning_counts", f"SELECT cleaning, count(*) AS n FROM ({SQL['f01_cleaning']}) GROUP BY cleaning")
+def a02_cleaning_counts(spark, sf):
+    return f01_cleaning(spark, sf).groupBy("cleaning").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("f03_eligibility", f"{CTE} SELECT party_id, parent_id IS NULL OR NOT exists(SELECT 1 FROM parties q WHERE q.party_id = parties.parent_id) AS eligible FROM parties")
+def f03_eligibility(spark, sf):
+    p = views.parties(spark, sf)
+    rows = p.select(F.col("party_name").alias("raw_name"), F.col("party_id").alias("label"), "parent_id", F.monotonically_increasing_id().alias("source_row"), F.col("party_id").alias("own"))
+    return prepare.records(rows, p, "acc").select(F.col("own").alias("party_id"), "eligible")
+
+
+@register("f05_as_bool", "SELECT o_orderkey, lower(trim(o_orderstatus)) IN ('1', 'true', 'yes', 'y', 'verified') AS flag FROM orders")
+def f05_as_bool(spark, sf):
+    return views.tables(spark, sf, "orders")["orders"].select("o_orderkey", prepare.as_bool(F.col("o_orderstatus")).alias("flag"))
+
+
+@register("w23_catalog_order", "WITH n AS (SELECT DISTINCT trim(p_name || ' ' || p_type) AS party_name FROM part) SELECT party_name, (row_number() OVER (ORDER BY lower(party_name), party_name) - 1)::BIGINT AS index FROM n")
+def w23_catalog_order(spark, sf):
+    rows = views.tables(spark, sf, "part")["part"].select(F.concat_ws(" ", "p_name", "p_type").alias("label"))
+    return prepare.catalog(rows, "acc").select("party_name", "index")
+
+
+@register("s15_jobs", f"SELECT (index // 100)::INTEGER || '.us' AS shard_id, count(*) AS parties, min(party_name) AS first_name FROM ({SQL['w23_catalog_order']}) GROUP BY index // 100")
+def s15_jobs(spark, sf):
+    rows = views.tables(spark, sf, "part")["part"].select(F.concat_ws(" ", "p_name", "p_type").alias("label"))
+    j = prepare.jobs(prepare.catalog(rows, "acc"), "acc")
+    return j.select(F.col("shardId").alias("shard_id"), F.size("verifiedParties").cast("long").alias("parties"), F.array_min(F.transform("verifiedParties", lambda x: x["partyName"])).alias("first_name"))
+
+
+# --- graph ---------------------------------------------------------------------------
+
+
+@register("g04_closure", f"WITH RECURSIVE {CTE[5:]}, up(party_id, cur, path) AS (SELECT party_id, party_id, party_id FROM parties UNION ALL SELECT up.party_id, p.parent_id, up.path || '>' || p.parent_id FROM up JOIN parties p ON p.party_id = up.cur WHERE p.parent_id IS NOT NULL) SELECT up.party_id, cur AS root_id, len(string_split(path, '>'))::INTEGER AS depth, path FROM up JOIN parties p2 ON p2.party_id = up.cur WHERE p2.parent_id IS NULL")
+def g04_closure(spark, sf):
+    return graph.closure(views.parties(spark, sf)).withColumn("path", F.array_join("path", ">"))
+
+
+@register("g09_rollup", f"SELECT root_id, count(*) AS members, max(depth)::INTEGER AS depth FROM ({SQL['g04_closure']}) GROUP BY root_id")
+def g09_rollup(spark, sf):
+    return graph.closure(views.parties(spark, sf)).groupBy("root_id").agg(F.count(F.lit(1)).alias("members"), F.max("depth").alias("depth"))
+
+
+@register("g01_add_parties", f"{CTE}, old AS (SELECT party_id, lower(party_name) AS party_name FROM parties WHERE length(party_name) % 2 = 0) SELECT coalesce(p.party_id, old.party_id) AS party_id, coalesce(p.party_name, old.party_name) AS party_name FROM old FULL JOIN parties p ON old.party_id = p.party_id")
+def g01_add_parties(spark, sf):
+    p = views.parties(spark, sf).select("party_id", "party_name")
+    return graph.add_parties(p.filter(F.length("party_name") % 2 == 0).withColumn("party_name", F.lower("party_name")), p)
+
+
+@register("g02_expansions", f"{CTE}, a AS (SELECT party_id, {base(norm('party_name'))} AS name, 0.9 AS c FROM parties UNION ALL SELECT party_id, upper({base(norm('party_name'))}), 0.8 FROM parties UNION ALL SELECT party_id, party_name, 0.95 FROM parties) SELECT party_id, name FROM a WHERE c = 0.9")
+def g02_expansions(spark, sf):
+    p = views.parties(spark, sf)
+    b = X.base(X.normalize(F.col("party_name")))
+    one = lambda name, c: p.select("party_id", name.alias("name"), F.lit("alias").alias("type"), F.lit("cache").alias("source"), F.lit(c).alias("confidence"))
+    raw = one(b, 0.9).unionByName(one(F.upper(b), 0.8)).unionByName(one(F.col("party_name"), 0.95)).unionByName(one(F.lit("too weak"), 0.2))
+    return graph.apply_expansions(p, graph.validate_expansions(raw)).select("party_id", "name")
+
+
+@register("j25_collisions", f"{CTE}, v AS (SELECT party_id, {base(norm('party_name'))} AS n FROM parties) SELECT n AS norm_name, count(DISTINCT party_id) AS collisions FROM v GROUP BY n")
+def j25_collisions(spark, sf):
+    return graph.collisions(views.parties(spark, sf).select("party_id", X.base(X.normalize(F.col("party_name"))).alias("name")))
+
+
+@register("g03_reconcile_parents")
+def g03_reconcile_parents(spark, sf):
+    p = settle(views.parties(spark, sf))
+    wanted = p.alias("c").join(p.alias("q"), F.substring_index("c.party_id", "-", 3) == F.substring_index("q.party_id", "-", 3)).filter("c.party_id like '%-promo' and q.party_id like '%-standard'")
+    return graph.reconcile_parents(spark, p, wanted.select(F.col("c.party_id").alias("party_id"), F.col("q.party_name").alias("parent_name")))
+
+
+# --- joins and retrieval --------------------------------------------------------------
+
+EXACT = f"{CTE}, w AS (SELECT adm_party_id, {N} AS n FROM written), v AS (SELECT party_id, {norm('party_name')} AS n FROM parties)"
+
+
+@register("j01_exact_join", f"{EXACT} SELECT w.adm_party_id, v.party_id FROM w JOIN v ON w.n = v.n AND w.n <> ''")
+def j01_exact_join(spark, sf):
+    w = views.written(spark, sf).select("adm_party_id", X.normalize(F.col("raw_name")).alias("n")).filter("n != ''")
+    v = views.parties(spark, sf).select("party_id", X.normalize(F.col("party_name")).alias("n"))
+    return w.join(v, "n").select("adm_party_id", "party_id")
+
+
+@register("a08_token_idf", f"{CTE}, {IDF} SELECT token, round(idf, 9) AS idf, df FROM idf")
+def a08_token_idf(spark, sf):
+    return scoring.token_idf(views.parties(spark, sf).select(F.col("party_name").alias("name"))).withColumn("idf", F.round("idf", 9))
+
+
+def _tfidf(grams: str, floor: float) -> str:
+    return f"""{CTE}, m AS (SELECT raw_name AS text, count(*) AS copies FROM written GROUP BY raw_name), q AS (SELECT DISTINCT party_name AS text FROM parties),
+g AS (SELECT text, gram, count(*) AS tf FROM (SELECT text, unnest({grams}) AS gram FROM (SELECT text FROM m UNION SELECT text FROM q)) GROUP BY text, gram),
+i AS (SELECT gram, ln((1.0 + (SELECT sum(copies) FROM m)) / (1.0 + sum(copies))) + 1.0 AS idf FROM g JOIN m USING (text) GROUP BY gram),
+w AS (SELECT text, gram, (ln(tf) + 1.0) * idf AS w FROM g JOIN i USING (gram)), z AS (SELECT text, gram, w / sqrt(sum(w * w) OVER (PARTITION BY text)) AS w FROM w),
+s AS (SELECT a.text, b.text AS name, round(sum(a.w * b.w), 6) AS score FROM z a JOIN z b USING (gram) JOIN m ON m.text = a.text JOIN q ON q.text = b.text GROUP BY a.text, b.text)
+SELECT text, name, score FROM s WHERE score > {floor}"""
+
+
+CHARS = "list_concat(list_concat([], {0}), [])".replace("{0}", "flatten(list_transform(list_filter(string_split(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' '), lambda t: t <> ''), lambda t: flatten(list_transform([3, 4, 5], lambda n: CASE WHEN length(t) + 2 >= n THEN list_transform(range(1, length(t) + 4 - n), lambda i: substr(' ' || t || ' ', i, n)) ELSE [] END))))")
+WORDS = "list_concat(regexp_extract_all(lower(text), '\\w\\w+'), list_transform(range(1, len(regexp_extract_all(lower(text), '\\w\\w+'))), lambda i: regexp_extract_all(lower(text), '\\w\\w+')[i] || ' ' || regexp_extract_all(lower(text), '\\w\\w+')[i + 1]))"
+
+
+def _cosine(spark, sf, kind, floor):
+    texts = views.written(spark, sf).groupBy(F.col("raw_name").alias("text")).agg(F.count(F.lit(1)).alias("copies"))
+    names = views.parties(spark, sf).select(F.col("party_name").alias("name")).distinct()
+    return retrieval.cosine_top(texts, names, kind, floor, 1_000_000, settle(retrieval.fit(texts, kind))).select("text", "name", F.round("score", 6).alias("score"))
+
+
+@register("j02_char_cosine", _tfidf(CHARS, 0.5))
+def j02_char_cosine(spark, sf):
+    return _cosine(spark, sf, "char", 0.5).filter("score > 0.5")
+
+
+@register("j03_word_cosine", _tfidf(WORDS, 0.4))
+def j03_word_cosine(spark, sf):
+    return _cosine(spark, sf, "word", 0.4).filter("score > 0.4")
+
+
+@register("j04_vector_top", "WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE label = 0), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.embedding)::DOUBLE, 4) AS score FROM q, embeddings c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) SELECT query_id, count(*) AS hits, round(max(score), 3) AS best FROM r WHERE rn <= 5 GROUP BY query_id")
+def j04_vector_top(spark, sf):
+    e = views.tables(spark, sf, "embeddings")["embeddings"]
+    names = e.filter("label = 0").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("v"))
+    found = retrieval.vector_top(names, e.select(F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("v")), 5, -1.0)
+    return found.groupBy(F.col("name").cast("long").alias("query_id")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("score"), 3).alias("best"))
+
+
+@register("j08_anti_ledger", f"{CTE} SELECT adm_party_id FROM written WHERE adm_party_id NOT IN (SELECT adm_party_id FROM written WHERE expected LIKE '%large')")
+def j08_anti_ledger(spark, sf):
+    w = views.written(spark, sf)
+    return w.join(w.filter("expected like '%large'").select("adm_party_id"), "adm_party_id", "left_anti").select("adm_party_id")
+
+
+@register("j09_semi_ids", f"{CTE} SELECT adm_party_id FROM written WHERE expected IN (SELECT party_id FROM parties WHERE parent_id IS NOT NULL)")
+def j09_semi_ids(spark, sf):
+    return views.written(spark, sf).withColumnRenamed("expected", "party_id").join(views.parties(spark, sf).filter("parent_id is not null"), "party_id", "left_semi").select("adm_party_id")
+
+
+ROOTED = f"WITH RECURSIVE {CTE[5:]}, up(party_id, cur) AS (SELECT party_id, party_id FROM parties UNION ALL SELECT up.party_id, p.parent_id FROM up JOIN parties p ON p.party_id = up.cur WHERE p.parent_id IS NOT NULL), rooted AS (SELECT up.party_id, cur AS root_id, r.party_name AS root_name, o.party_name, {norm('o.party_name')} AS n FROM up JOIN parties r ON r.party_id = up.cur AND r.parent_id IS NULL JOIN parties o ON o.party_id = up.party_id)"
+
+
+@register("j13_token_owners", f"{ROOTED}, t AS (SELECT unnest(list_distinct({words('n')})) AS key, root_id FROM rooted) SELECT key, count(DISTINCT root_id) AS owners, min(root_id) AS owner FROM t WHERE length(key) >= 5 AND NOT list_contains([{', '.join(repr(w) for w in X.NOT_WORDS)}], key) GROUP BY key")
+def j13_token_owners(spark, sf):
+    p = matcher.rooted(views.parties(spark, sf))
+    return decide.owners(p, F.filter(X.meaningful(F.col("party_norm")), lambda t: F.length(t) >= 5), explode=True)
+
+
+@register("j15_base_owners", f"{ROOTED} SELECT {base('n')} AS key, count(DISTINCT root_id) AS owners, min(root_id) AS owner FROM rooted WHERE {base('n')} <> '' GROUP BY 1")
+def j15_base_owners(spark, sf):
+    return decide.owners(matcher.rooted(views.parties(spark, sf)), X.base(F.col("party_norm")))
+
+
+@register("j14_prefix_owners", f"{ROOTED}, q AS (SELECT DISTINCT {N} AS key FROM written), t AS (SELECT array_to_string({words('n')}[1:k], ' ') AS key, root_id FROM rooted, unnest(range(2, len({words('n')}) + 1)) AS r(k)) SELECT key, count(DISTINCT root_id) AS owners, min(root_id) AS owner FROM t WHERE key IN (SELECT key FROM q) GROUP BY key")
+def j14_prefix_owners(spark, sf):
+    wanted = views.written(spark, sf).select(X.normalize(F.col("raw_name")).alias("key"))
+    return decide.short_name_indexes(matcher.rooted(views.parties(spark, sf)), wanted)[1]
+
+
+@register("j17_raw_prefixes")
+def j17_raw_prefixes(spark, sf):
+    p = views.written(spark, sf).select("adm_party_id", F.explode(X.raw_prefixes(F.col("raw_name"))).alias("p")).select("adm_party_id", F.col("p.norm").alias("norm"))
+    v = views.parties(spark, sf).select("party_id", X.official_base(X.normalize(F.col("party_name"))).alias("norm"))
+    return p.join(v, "norm")
+
+
+# --- aggregates and windows over decisions ---------------------------------------------
+
+DECISIONS = f"""{ROOTED}, w AS (SELECT adm_party_id, raw_name, expected, {N} AS n FROM written),
+x AS (SELECT w.adm_party_id, min(r.root_id) AS root_id, count(DISTINCT r.root_id) AS k FROM w JOIN rooted r ON r.n = w.n GROUP BY 1),
+y AS (SELECT w.adm_party_id, min(r.root_id) AS root_id, count(DISTINCT r.root_id) AS k FROM w JOIN rooted r ON {base('r.n')} = {base('w.n')} AND {base('w.n')} <> '' GROUP BY 1),
+d AS (SELECT w.adm_party_id, w.raw_name, coalesce(x.root_id, y.root_id) AS party_id, CASE WHEN x.k = 1 THEN 0.999 WHEN y.k = 1 THEN 0.985 WHEN y.k > 1 THEN 0.6 ELSE 0.0 END AS confidence, CASE WHEN x.k = 1 OR y.k = 1 THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, e.root_id AS expected, length(w.raw_name) % 5 <> 0 AS scorable, w.n LIKE '%ltd%' AS odd
+  FROM w LEFT JOIN x USING (adm_party_id) LEFT JOIN y USING (adm_party_id) LEFT JOIN rooted e ON e.party_id = w.expected),
+j AS (SELECT *, decision = 'MATCH' AS matched, decision = 'MATCH' AND scorable AND coalesce(party_id = expected, false) AS correct FROM d)"""
+
+
+def structural(spark, sf):
+    """Decisions by unique exact, then unique base name, with labels: what the reports aggregate."""
+    p = settle(matcher.rooted(views.parties(spark, sf)))
+    w = views.written(spark, sf).withColumn("n", X.normalize(F.col("raw_name"))).withColumn("b", X.base(F.col("n")))
+    exact = decide.owners(p, F.col("party_norm")).select(F.col("key").alias("n"), F.col("owner").alias("xo"), F.col("owners").alias("xn"))
+    bases = decide.owners(p, X.base(F.col("party_norm"))).select(F.col("key").alias("b"), F.col("owner").alias("yo"), F.col("owners").alias("yn"))
+    j = w.join(exact, "n", "left").join(bases, "b", "left").join(p.select(F.col("party_id").alias("expected"), F.col("root_id").alias("er")), "expected", "left")
+    sure = F.when(F.col("xn") == 1, 0.999).when(F.col("yn") == 1, 0.985).when(F.col("yn") > 1, 0.6).otherwise(0.0)
+    hit = F.coalesce(F.col("xn") == 1, F.lit(False)) | F.coalesce(F.col("yn") == 1, F.lit(False))
+    return j.select("adm_party_id", "raw_name", F.coalesce("xo", "yo").alias("party_id"), sure.alias("confidence"), F.when(hit, "MATCH").otherwise("NO_MATCH").alias("decision"), F.col("er").alias("expected"), (F.length("raw_name") % 5 != 0).alias("scorable"), F.array_compact(F.array("xo", "yo")).alias("retrieved_roots"), F.lit("TRAIN").alias("split"))
+
+
+def report(spark, sf):
+    d = structural(spark, sf)
+    return evaluate.judged(d.drop("expected", "scorable", "split"), d.select("adm_party_id", "expected", "scorable", "split"))
+
+
+WIL = "CASE WHEN n_judged > 0 THEN round((n_correct / n_judged + 1.96 * 1.96 / (2 * n_judged) {0} 1.96 * sqrt(n_correct / n_judged * (1 - n_correct / n_judged) / n_judged + 1.96 * 1.96 / (4 * n_judged * n_judged::DOUBLE))) / (1 + 1.96 * 1.96 / n_judged), 6) END"
+PACK = f"SELECT {{0}}n_rows, n_scorable, n_matched, n_judged, n_correct, round(CASE WHEN n_judged > 0 THEN n_correct / n_judged END, 6) AS precision_, round(CASE WHEN n_scorable > 0 THEN n_correct / n_scorable END, 6) AS recall_, {WIL.format('-')} AS precision_low, {WIL.format('+')} AS precision_high FROM (SELECT {{0}}count(*) AS n_rows, count(*) FILTER (scorable) AS n_scorable, count(*) FILTER (matched) AS n_matched, count(*) FILTER (matched AND scorable) AS n_judged, count(*) FILTER (correct) AS n_correct FROM j {{1}})"
+KEEP = ["n_rows", "n_scorable", "n_matched", "n_judged", "n_correct"]
+
+
+def _pack(rows, *by):
+    return evaluate.pack(rows, *by).select(*by, *KEEP, *[F.round(c, 6).alias(c) for c in ("precision_", "recall_", "precision_low", "precision_high")])
+
+
+@register("a10_metrics", f"{DECISIONS} {PACK.format('', '')}")
+def a10_metrics(spark, sf):
+    return _pack(report(spark, sf))
+
+
+CASE = "CASE WHEN raw_name LIKE 'OBO %' THEN 'MALFORMED' WHEN raw_name LIKE '% OBO %' THEN 'OBO' WHEN raw_name LIKE '% VIA %' THEN 'VIA' ELSE 'PLAIN' END"
+
+
+@register("a11_metrics_by_case", f"{DECISIONS.replace('j AS (SELECT *,', 'j AS (SELECT *, ' + CASE + ' AS record_case,')} {PACK.format('record_case, ', 'GROUP BY record_case')}")
+def a11_metrics_by_case(spark, sf):
+    return _pack(report(spark, sf).withColumn("record_case", X.record_case(F.col("raw_name"))), "record_case")
+
+
+@register("a12_confidence_bins", f"{DECISIONS} SELECT least(floor(round(confidence / 0.1, 9)), 9)::INTEGER AS bin, count(*) AS n_matched, count(*) FILTER (scorable) AS n_judged, count(*) FILTER (correct) AS n_correct FROM j WHERE matched GROUP BY 1")
+def a12_confidence_bins(spark, sf):
+    return evaluate.bins(report(spark, sf))
+
+
+@register("a13_funnel", f"{DECISIONS} SELECT count(*) AS n_rows, count(*) FILTER (scorable) AS n_scorable, count(*) FILTER (scorable AND matched) AS n_decided, count(*) FILTER (correct) AS n_correct FROM j")
+def a13_funnel(spark, sf):
+    return evaluate.funnel(report(spark, sf)).drop("n_retrieved")
+
+
+@register("a14_macro_recall", f"{DECISIONS}, e AS (SELECT expected, count(*) FILTER (correct) / count(*) AS r FROM j WHERE scorable GROUP BY expected) SELECT count(*) AS n_entities, round(avg(r), 9) AS macro_recall FROM e")
+def a14_macro_recall(spark, sf):
+    return evaluate.macro_recall(report(spark, sf)).withColumn("macro_recall", F.round("macro_recall", 9))
+
+
+@register("a18_party_summary", f"{DECISIONS}, t AS (SELECT expected AS party_id, count(*) AS n_truth FROM j WHERE scorable GROUP BY 1), f AS (SELECT party_id, count(*) AS n_found, count(*) FILTER (correct) AS n_correct FROM j WHERE matched GROUP BY 1) SELECT coalesce(t.party_id, f.party_id) AS party_id, coalesce(n_truth, 0) AS n_truth, coalesce(n_found, 0) AS n_found, coalesce(n_correct, 0) AS n_correct FROM t FULL JOIN f ON t.party_id IS NOT DISTINCT FROM f.party_id")
+def a18_party_summary(spark, sf):
+    return evaluate.party_summary(report(spark, sf)).select("party_id", F.col("n_truth").cast("long").alias("n_truth"), F.col("n_found").cast("long").alias("n_found"), "n_correct")
+
+
+@register("a21_threshold_sweep", f"{DECISIONS}, b AS (SELECT least(floor(round((confidence - 0.6) / 0.05, 9)), 6)::INTEGER AS cut, count(*) FILTER (scorable) AS n, count(*) FILTER (scorable AND party_id = expected) AS c FROM j WHERE confidence >= 0.6 AND party_id IS NOT NULL GROUP BY 1) SELECT round(cut * 0.05 + 0.6, 4) AS cutoff, (sum(n) OVER (ORDER BY cut DESC))::BIGINT AS n_emitted, (sum(c) OVER (ORDER BY cut DESC))::BIGINT AS n_correct FROM b")
+def a21_threshold_sweep(spark, sf):
+    return evaluate.sweep(report(spark, sf)).drop("precision_")
+
+
+@register("a27_threshold", f"{DECISIONS}, s AS (SELECT round(confidence, 4) AS s, count(*) AS n, count(*) FILTER (correct) AS c FROM j WHERE party_id IS NOT NULL GROUP BY 1), r AS (SELECT s, sum(n) OVER (ORDER BY s DESC) AS n, sum(c) OVER (ORDER BY s DESC) AS c FROM s) SELECT coalesce((SELECT s FROM r WHERE n >= 5 AND c >= 0.5 * n ORDER BY c DESC, s LIMIT 1), 0.9)::DOUBLE AS threshold")
+def a27_threshold(spark, sf):
+    rows = report(spark, sf).filter("party_id is not null").select(F.col("confidence").alias("score"), "correct")
+    return spark.createDataFrame([(evaluate.threshold(rows, 0.5, 5, 0.9),)], "threshold double")
+
+
+@register("a15_disagreements", f"{DECISIONS} SELECT adm_party_id, party_id AS left_id, NULL::VARCHAR AS right_id FROM j WHERE matched AND confidence < 0.99")
+def a15_disagreements(spark, sf):
+    d = structural(spark, sf)
+    strict = d.withColumn("decision", F.when(F.col("confidence") > 0.99, F.col("decision")).otherwise("NO_MATCH"))
+    return evaluate.disagreements(d, strict)
+
+
+@register("x36_error_buckets", f"{DECISIONS} SELECT CASE WHEN NOT scorable THEN 'NOT_SCORABLE' WHEN correct THEN 'CORRECT' WHEN matched THEN 'WRONG_MATCH' ELSE 'OTHER_OR_MISS' END AS bucket, count(*) AS n FROM j GROUP BY 1")
+def x36_error_buckets(spark, sf):
+    rows = report(spark, sf).withColumn("reason", F.lit("OTHER"))
+    b = evaluate.error_bucket()
+    return rows.withColumn("bucket", F.when(b.isin("RETRIEVAL_MISS", "OTHER"), "OTHER_OR_MISS").otherwise(b)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("w20_representatives", f"{CTE}, k AS (SELECT party_id, party_name, {TOKENS.replace('{0}', 'party_name')} AS t FROM parties), r AS (SELECT *, string_split(t, ' ')[1] AS anchor, row_number() OVER (PARTITION BY string_split(t, ' ')[1] ORDER BY len(string_split(t, ' ')), length(party_name), lower(party_name), party_id) AS rn FROM k) SELECT anchor, party_id AS adm_party_id, party_name AS raw_name FROM r WHERE rn = 1")
+def w20_representatives(spark, sf):
+    return suggest.representatives(views.parties(spark, sf).select(F.col("party_id").alias("adm_party_id"), F.col("party_name").alias("raw_name")))
+
+
+@register("f14_scope", f"{CTE}, k AS (SELECT adm_party_id, string_split({TOKENS.replace('{0}', 'raw_name')}, ' ')[1] AS anchor FROM written), g AS (SELECT anchor FROM k GROUP BY anchor HAVING count(*) >= 2 ORDER BY count(*) DESC, anchor LIMIT 5) SELECT adm_party_id, anchor FROM k WHERE anchor IN (SELECT anchor FROM g)")
+def f14_scope(spark, sf):
+    """The five largest families: the limit is the feature."""
+    return suggest.scope(views.written(spark, sf), 2, 5).select("adm_party_id", "anchor")
+
+
+@register("k10_pages", "SELECT o_orderkey, ((row_number() OVER (ORDER BY o_orderkey) - 1) // 4096)::INTEGER AS page FROM orders")
+def k10_pages(spark, sf):
+    from onomast.sources import io
+
+    return io.pages(views.tables(spark, sf, "orders")["orders"].select("o_orderkey"), ["o_orderkey"], 4096)
+
+
+@register("a07_root_percentiles", f"{CTE}, c AS (SELECT expected, count(*) AS n FROM written GROUP BY expected) SELECT quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.95) AS p95, max(n) AS most FROM c")
+def a07_root_percentiles(spark, sf):
+    c = views.written(spark, sf).groupBy("expected").agg(F.count(F.lit(1)).alias("n"))
+    return c.agg(F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.95).alias("p95"), F.max("n").alias("most"))
+
+
+# --- decisions ------------------------------------------------------------------------
+
+
+def _names(spark, sf):
+    """Distinct written names as records, and the catalog."""
+    w = views.written(spark, sf)
+    return w.groupBy("raw_name").agg(F.min("adm_party_id").alias("adm_party_id")), views.parties(spark, sf)
+
+
+@register("d24_flat_matcher")
+def d24_flat_matcher(spark, sf):
+    records, parties = _names(spark, sf)
+    return matcher.match_flat(parties.select("party_id", "party_name"), records)
+
+
+@register("d16_full_matcher")
+def d16_full_matcher(spark, sf):
+    """All stages over the hierarchy."""
+    records, parties = _names(spark, sf)
+    return matcher.match(parties, records)["final"].select("adm_party_id", "decision", "reason", F.round("confidence", 6).alias("confidence"), "party_id", "tier", "resolution")
+
+
+@register("d01_proposals")
+def d01_proposals(spark, sf):
+    records, parties = _names(spark, sf)
+    ctx, _ = matcher.context(parties, records, decide.Policy())
+    return ctx.proposals.select("adm_party_id", "mention_id", "party_id", "root_id", "name", F.round("char", 6).alias("char"), F.round("word", 6).alias("word"), F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"))
+
+
+@register("w08_runner_up", "WITH p AS (SELECT o_custkey AS rec, o_orderkey AS root, round(o_totalprice / 600000.0, 6) AS s FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY s DESC, root) AS k, max(s) OVER (PARTITION BY rec) AS f FROM p), q AS (SELECT *, coalesce(max(CASE WHEN k = 2 THEN s END) OVER (PARTITION BY rec), 0.0) AS g FROM r) SELECT rec, root, k::INTEGER AS place, round(greatest(0.0, least(0.999, s * (0.92 + least(0.08, greatest(0.0, s - CASE WHEN k = 1 THEN g ELSE f END))))), 4) AS target FROM q")
+def w08_runner_up(spark, sf):
+    p = views.tables(spark, sf, "orders")["orders"].select(F.col("o_custkey").alias("rec"), F.col("o_orderkey").alias("root"), F.round(F.col("o_totalprice") / 600000.0, 6).alias("s"))
+    w = Window.partitionBy("rec")
+    r = p.withColumn("place", F.row_number().over(w.orderBy(F.desc("s"), "root")))
+    second = F.coalesce(F.max(F.when(F.col("place") == 2, F.col("s"))).over(w), F.lit(0.0))
+    r = r.withColumn("g", F.when(F.col("place") == 1, second).otherwise(F.max("s").over(w)))
+    return r.select("rec", "root", "place", F.round(scoring.target(F.col("s"), F.col("g")), 4).alias("target"))
+
+
+@register("w04_rrf", "WITH s AS (SELECT l_orderkey AS q, l_partkey AS d, max(l_quantity) AS a, max(l_extendedprice) AS b FROM lineitem GROUP BY 1, 2), r AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY a DESC, d) AS i, row_number() OVER (PARTITION BY q ORDER BY b DESC, d) AS k FROM s) SELECT q, d, round(1.0 / (60 + i) + 1.0 / (60 + k), 9) AS rrf FROM r")
+def w04_rrf(spark, sf):
+    s = views.tables(spark, sf, "lineitem")["lineitem"].groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("d")).agg(F.max("l_quantity").alias("a"), F.max("l_extendedprice").alias("b"))
+    rank = lambda c: F.row_number().over(Window.partitionBy("q").orderBy(F.desc(c), "d"))
+    return s.select("q", "d", F.round(1.0 / (60 + rank("a")) + 1.0 / (60 + rank("b")), 9).alias("rrf"))
+
+
+@register("d17_request_cutoff", f"{DECISIONS} SELECT adm_party_id, CASE WHEN matched AND confidence < 0.99 THEN 'NO_MATCH' ELSE decision END AS decision, CASE WHEN matched AND confidence < 0.99 THEN 'BELOW_REQUEST_CUTOFF' END AS reason FROM j")
+def d17_request_cutoff(spark, sf):
+    jobs = views.parties(spark, sf).select("party_id", F.lit(0.99).alias("cutoff"), F.lit(0).alias("job_order"))
+    return decide.request_cutoff(decide.shaped(structural(spark, sf)), jobs).select("adm_party_id", "decision", "reason")
+
+
+# --- suggestions and state --------------------------------------------------------------
+
+TOK = "string_split({0}, ' ')"
+SUG = f"""{CTE}, a AS (SELECT adm_party_id, {TOKENS.replace('{0}', 'raw_name')} AS t, list_last(string_split({norm('raw_name')}, ' ')) AS l FROM written), b AS (SELECT party_id, party_name, {TOKENS.replace('{0}', 'party_name')} AS t, list_last(string_split({norm('party_name')}, ' ')) AS l FROM {{0}}),
+e AS (SELECT adm_party_id, party_id, party_name, CASE WHEN a.t = b.t AND a.l = b.l AND list_contains([{', '.join(repr(x) for x in vocab.ENDINGS)}], a.l) THEN 105 WHEN a.t = b.t THEN 100 WHEN starts_with(a.t, b.t || ' ') AND (contains(b.t, ' ') OR (length(b.t) >= 5)) THEN 85 WHEN length(string_split(b.t, ' ')[1]) >= 5 THEN 55 ELSE 0 END AS s FROM a JOIN b ON string_split(a.t, ' ')[1] = string_split(b.t, ' ')[1] AND a.t <> ''),
+m AS (SELECT adm_party_id, max(s) AS s FROM e WHERE s > 0 GROUP BY 1), n AS (SELECT e.adm_party_id, count(*) AS k, min(party_id) AS p FROM e JOIN m ON e.adm_party_id = m.adm_party_id AND e.s = m.s GROUP BY 1)
+SELECT w.adm_party_id, CASE WHEN k IS NULL THEN 'NONE' WHEN k > 1 THEN 'AMBIGUOUS' ELSE 'SUGGESTED' END AS status, CASE WHEN k = 1 THEN p ELSE '' END AS party_id FROM written w LEFT JOIN n USING (adm_party_id)"""
+
+
+@register("d23_name_only", SUG.replace("{0}", "parties"))
+def d23_name_only(spark, sf):
+    return suggest.suggest(views.written(spark, sf), views.parties(spark, sf)).select("adm_party_id", "status", "party_id")
+
+
+@register("t04_growing_catalog")
+def t04_growing_catalog(spark, sf):
+    p = settle(views.parties(spark, sf))
+    w = views.written(spark, sf)
+    return suggest.change(suggest.suggest(w, p.filter("party_id not like '%-economy'")), suggest.suggest(w, p)).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("j23_verified_relations", f"{CTE}, k AS (SELECT party_id, {TOKENS.replace('{0}', 'party_name')} AS t FROM parties), f AS (SELECT string_split(t, ' ')[1] AS key, * FROM k) SELECT 'POSSIBLE_NAME_FAMILY' AS relation, key, count(*) AS members, min(party_id) AS first_id, max(party_id) AS last_id FROM f WHERE length(key) >= 5 GROUP BY key HAVING count(DISTINCT t) > 1 UNION ALL SELECT 'POSSIBLE_DUPLICATE_NAME', t, count(*), min(party_id), max(party_id) FROM f GROUP BY t HAVING count(*) > 1")
+def j23_verified_relations(spark, sf):
+    return suggest.verified_relations(views.parties(spark, sf))
+
+
+@register("x40_transition", f"{DECISIONS} SELECT adm_party_id, CASE WHEN matched AND confidence < 0.99 THEN 'LOST_STRONG' ELSE 'UNCHANGED' END AS transition FROM j")
+def x40_transition(spark, sf):
+    d = structural(spark, sf)
+    strict = d.withColumn("decision", F.when(F.col("confidence") > 0.99, F.col("decision")).otherwise("NO_MATCH"))
+    return suggest.transition(d, strict).select("adm_party_id", "transition")
+
+
+@register("t01_event_windows", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, count(*) AS n FROM events GROUP BY 1")
+def t01_event_windows(spark, sf):
+    e = views.tables(spark, sf, "events")["events"].withColumn("t", F.col("ts").cast("timestamp"))
+    return incremental.counts(e, "t").select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@register("t01_exact_arrivals", f"{EXACT}, u AS (SELECT n, min(party_id) AS party_id FROM v WHERE n <> '' GROUP BY n HAVING count(DISTINCT party_id) = 1) SELECT w.adm_party_id, u.party_id FROM w LEFT JOIN u USING (n)")
+def t01_exact_arrivals(spark, sf):
+    return incremental.exact_stream(views.written(spark, sf), views.parties(spark, sf)).select("adm_party_id", "party_id")
+
+
+@register("a22_position_prior", f"{CTE}, s AS (SELECT adm_party_id, CASE WHEN raw_name LIKE '%(%' THEN 'parentheses' ELSE 'separator' END AS delimiter, (length(raw_name) % 2)::INTEGER AS part FROM written), c AS (SELECT delimiter, part, count(*) AS n FROM s GROUP BY 1, 2), t AS (SELECT delimiter, count(*) AS total FROM s GROUP BY 1 HAVING count(*) >= 20) SELECT t.delimiter, r.part::INTEGER AS part, round((coalesce(n, 0) + 1) / (total + 4), 9) AS prior FROM t CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS part) r LEFT JOIN c ON c.delimiter = t.delimiter AND c.part = r.part")
+def a22_position_prior(spark, sf):
+    s = views.written(spark, sf).select("adm_party_id", F.when(F.col("raw_name").contains("("), "parentheses").otherwise("separator").alias("delimiter"), (F.length("raw_name") % 2).alias("part"), F.col("expected").alias("root_id"))
+    return recovery.position_prior(s, s.select("adm_party_id", "root_id")).withColumn("prior", F.round("prior", 9))
