@@ -41,6 +41,21 @@ def integers(df: DataFrame, *, id: str = "vec_id", vector: str = "embedding", sc
     return rows.select("vec_id", F.transform("x", lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v"))
 
 
+def _save(columns: list[list[np.ndarray]]) -> None:
+    """Carry-save: while a weight has three bitmaps, make them a sum and a carry."""
+    level = 0
+    while level < len(columns):
+        have = columns[level]
+        while len(have) > 2:
+            a, b, c = have.pop(), have.pop(), have.pop()
+            t = a ^ b
+            have.append(t ^ c)
+            if level + 1 == len(columns):
+                columns.append([])
+            columns[level + 1].append((a & b) | (t & c))
+        level += 1
+
+
 def _add(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Fold bitmaps by weight: full adders take three of a weight to a sum and a carry."""
     out = []
@@ -102,6 +117,7 @@ class Block:
                     continue
                 for b in range(self.bits):
                     columns[j + b].append((self.slices[d][b][None, :] ^ flip) & take)
+            _save(columns)  # two bitmaps of each weight at most are kept from one component to the next
         sums = _add(columns)
         sums = [np.zeros((len(q), len(self.valid)), np.uint64) if s is None else s & self.valid for s in sums]
         r = q - (p << q_drop)
@@ -178,7 +194,7 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = K, group: int = GRO
             def fold(kept: np.ndarray, held: list[pd.DataFrame]) -> np.ndarray:
                 rows = pd.concat(held)
                 block = Block(rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_list()).astype(np.int64))
-                step = max(1, (1 << 22) // (8 * max(1, len(block.valid)) * 8))
+                step = max(1, (1 << 17) // (8 * max(1, len(block.valid))))
                 for lo in range(0, len(q), step):
                     which, row, score = block.top(q_ids[lo : lo + step], q[lo : lo + step], k)
                     mine = _best(which, block.ids[row], score, k)
