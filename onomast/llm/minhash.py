@@ -18,8 +18,9 @@ texts are linked if the Jaccard similarity of their sets is at least ``percent``
 5. Components: alternating large-star and small-star, until nothing changes.
 
 Buckets have no cap: those of many members are split into blocks of pairs. With 48
-bands of 5 minima a pair at the threshold itself is missed with probability 3e-6; a
-signature is passed down to 0.16 below the threshold, over five standard deviations.
+bands of 5 minima a pair at the threshold itself is missed with probability 3e-6; the
+signature has as many minima again, and is passed down to 0.08 below the threshold, four
+standard deviations.
 
 Null or empty texts (no words) have no set and are linked with nothing; each is its own
 component. Rows with a null id are dropped. Rows with one id are one document: it has
@@ -42,8 +43,8 @@ from pyspark.sql import functions as F
 from onomast.llm._common import cuts, materialise, maybe_broadcast, mix64, utf8
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 48, 5
-HASHES = BANDS * ROWS
-SLACK = 0.16
+HASHES = 2 * BANDS * ROWS
+SLACK = 0.08
 CHUNK = 2048
 
 _SPACE = np.zeros(256, bool)
@@ -80,7 +81,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.concatenate([word[1:], [False]])
     start = np.flatnonzero(word & (~before | edge[:-1]))
     end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    up, down = _powers(max(22, int(data.size + 1).bit_length()))
+    up, down = _powers(max(20, int(data.size + 1).bit_length()))
     sums = np.zeros(data.size + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: data.size], out=sums[1:])
     return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _MIX[63]), np.searchsorted(start, offsets)
@@ -108,20 +109,25 @@ def sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.n
 def minima(set_: np.ndarray) -> np.ndarray:
     x = (set_ >> np.uint64(32)).astype(np.uint32)
     least = np.full(HASHES, 0xFFFFFFFF, np.uint32)
-    for lo in range(0, len(x), 1024):
-        np.minimum(least, (_MULTIPLY[:, None] * x[None, lo : lo + 1024] + _ADD[:, None]).min(1), out=least)
+    for lo in range(0, len(x), 512):
+        np.minimum(least, (_MULTIPLY[:, None] * x[None, lo : lo + 512] + _ADD[:, None]).min(1), out=least)
     return least
 
 
 def bands(least: np.ndarray) -> np.ndarray:
-    rows = least.reshape(BANDS, ROWS).astype(np.uint64)
+    rows = least[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
     return mix64((rows * _MIX[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MIX[62]).view(np.int64)
 
 
+def signature(least: np.ndarray) -> bytes:
+    """A byte of each minimum, from all its bits: minima of many numbers begin alike."""
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        for lo, hi in cuts(offsets, 4 << 20):
+        for lo, hi in cuts(offsets, 1 << 20):
             n, a, b, band, sig = [], [], [], [], []
             known: dict[bytes, tuple] = {}
             for s in sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
@@ -130,7 +136,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if digest not in known:
                     if len(s):
                         least = minima(s)
-                        known[digest] = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), bands(least), (least >> np.uint32(24)).astype(np.uint8).tobytes())
+                        known[digest] = (int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), bands(least), signature(least))
                     else:
                         known[digest] = (None, None, None, None)
                 for column, value in zip((a, b, band, sig), known[digest], strict=True):
@@ -163,7 +169,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for value in (x, y):
                 text = value.as_py() or ""
                 if text not in known:
-                    if size > 32 << 20:
+                    if size > 8 << 20:
                         known, size = {}, 0
                     raw = np.frombuffer(text.encode(), np.uint8)
                     known[text] = sets(raw, np.array([0, len(raw)]))[0]
@@ -194,6 +200,8 @@ def _pairs(low: float):
         p, q = rows["p"].iat[0], rows["q"].iat[0]
         left, right = (rows, rows) if p == q else (rows[rows["blk"] == p], rows[rows["blk"] == q])
         sig = [np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(-1, HASHES) for x in (left, right)]
+        band = [np.stack(x["bands"].to_list()) for x in (left, right)]
+        here = int(np.flatnonzero(band[0][0] == rows["key"].iat[0])[0]) if len(left) else 0
         ids, comps, free, sizes = ([x[c].to_numpy() for x in (left, right)] for c in ("rep", "comp", "free", "n"))
         found = []
         for i in range(0, len(left), 16):
@@ -206,6 +214,8 @@ def _pairs(low: float):
             for at in range(0, len(x), 1 << 15):
                 u, v = x[at : at + (1 << 15)] + i, y[at : at + (1 << 15)]
                 ok = similar((sig[0][u] == sig[1][v]).sum(1)) >= low
+                # a pair of several buckets belongs to that of its first common band
+                ok[ok] = ~(band[0][u[ok], :here] == band[1][v[ok], :here]).any(1)
                 found += zip(np.minimum(ids[0][u[ok]], ids[1][v[ok]]).tolist(), np.maximum(ids[0][u[ok]], ids[1][v[ok]]).tolist(), strict=True)
         return found
 
@@ -295,8 +305,8 @@ def cluster(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent:
     kept = open_.join(by.select("key", "least"), "key").filter(~F.col("linked") | (F.col("lo") >= F.col("least") - gap - 1e-9))
     kept = materialise(kept.select("key", "rep", "comp", (~F.col("linked")).alias("free")))
     sizes = kept.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("m > 1 and c0 != c1").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("blocks"))
-    dealt = kept.join(sizes, "key").join(reps.select("rep", "n", "sig"), "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "rep", "comp", "free", "n", "sig")
+    dealt = kept.join(sizes, "key").join(reps.select("rep", "n", "sig", "bands"), "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "rep", "comp", "free", "n", "sig", "bands")
     more = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(_pairs(low), "a long, b long").distinct()
     more = materialise(more.join(exact.select("a", "b"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
