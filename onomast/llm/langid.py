@@ -51,7 +51,7 @@ def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-        for lo, hi in cuts(offsets, 4 << 20):
+        for lo, hi in cuts(offsets, 1 << 20):
             part, at = data[offsets[lo] : offsets[hi]].astype(np.int64), offsets[lo : hi + 1] - offsets[lo]
             code = part.copy()
             inside = np.arange(part.size) - np.repeat(at[:-1], np.diff(at))
@@ -138,7 +138,7 @@ def build(counts: Sequence[tuple[str, int, int]], order: int, max_contexts: int)
     cost = np.zeros((len(langs), size, width), np.int32)
     if langs:
         cost[:, :, : a + 1] = np.rint(-np.log2(np.maximum(p, 1e-30)) * FIXED)
-    return Model(langs, order, symbol.astype(np.int32), step.reshape(-1), cost.reshape(len(langs), -1), width)
+    return Model(langs, order, symbol.astype(np.int32), step.reshape(-1), cost.reshape(len(langs), size * width), width)
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: Sequenc
         for batch in batches:
             data, offsets = utf8(batch.column(read))
             letters = batch.column("letters").to_numpy(zero_copy_only=False)
-            for lo, hi in cuts(offsets, 4 << 20):
+            for lo, hi in cuts(offsets, 1 << 20):
                 best, score = _judge(own, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
                 best, score = np.where(letters[lo:hi], best, len(own.langs)), np.where(letters[lo:hi], score, 0.0)
                 part = batch.slice(lo, hi - lo)

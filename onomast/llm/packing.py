@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", keep: Sequence[Col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = utf8(batch.column(n))
-            for lo, hi in cuts(offsets, 4 << 20):
+            for lo, hi in cuts(offsets, 1 << 20):
                 coded = tokens.encode(path, batch.column(n).slice(lo, hi - lo).to_pylist())
                 size = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
                 ids = np.empty(int(size.sum()), "<u4")
@@ -131,7 +131,7 @@ def _deal(df: DataFrame, groups: int, seed: int) -> DataFrame:
     return df.withColumn("g", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(groups)).cast("long"))
 
 
-def pack(parts: DataFrame, *, limit: int = LIMIT, group_rows: int = 65_536, exchanges: int = 4) -> DataFrame:
+def pack(parts: DataFrame, *, limit: int = LIMIT, group_rows: int = 65_536, exchanges: int = 8) -> DataFrame:
     """Add ``sequence_id`` and ``offset``. Carry ids only if you need them; they are not needed here."""
     clash = [c for c in parts.columns if c.lower() in ("sequence_id", "offset")]
     parts = parts.drop(*clash)
