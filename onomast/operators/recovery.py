@@ -214,11 +214,12 @@ def multipart(decisions: DataFrame, ctx: Context, retrieve, labels: DataFrame |
     """
     minimum = max(minimum, ctx.policy.plain)
     parts = ctx.records.filter("plain and parse_warning is null").select("adm_party_id", F.explode(X.fragments(F.col("raw_name"))).alias("f")).select("adm_party_id", "f.delimiter", F.col("f.position").alias("part"), F.col("f.text").alias("text"))
-    parts = parts.withColumn("mention_id", F.concat("adm_party_id", F.lit(":multipart:"), F.col("part").cast("string")))
+    parts = settle(parts.withColumn("mention_id", F.concat("adm_party_id", F.lit(":multipart:"), F.col("part").cast("string"))))
     found = retrieve(parts.select("mention_id", F.col("mention_id").alias("adm_party_id"), "text"))
     strong = found.filter((F.col("score") >= minimum) & (F.col("digit_conflict") == 0) & (F.col("distinctive_conflict") == 0) & (F.greatest("char", "word", "exact") >= 0.55))
     first = Window.partitionBy("mention_id").orderBy(F.desc("score"), F.desc("exact"), "root_id", "name")
     strong = strong.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn", "adm_party_id").join(parts.select("mention_id", "adm_party_id", "delimiter", "part"), "mention_id")
+    strong = settle(strong)
     competing = strong.groupBy("adm_party_id").agg(F.countDistinct("root_id").alias("roots")).filter("roots >= 2")
     strong = strong.join(competing.select("adm_party_id"), "adm_party_id", "left_semi")
     strong = strong.withColumn("prior", F.lit(0.0)) if labels is None else strong.join(position_prior(strong, labels), ["delimiter", "part"], "left").withColumn("prior", F.coalesce("prior", F.lit(0.0)))
