@@ -33,7 +33,8 @@ def proposals(all_mentions: DataFrame, parties: DataFrame, idf: DataFrame, cfg:
     owners = parties.select("party_id", F.col("party_name").alias("owner_name"), "root_name")
     rows = short.join(owners, "party_id").join(graph.collisions(names), "norm_name", "left").withColumn("collisions", F.greatest(F.lit(1), F.coalesce("collisions", F.lit(1)))).withColumn("mention_text", F.col("text")).withColumn("parties", F.lit(n))
     # scored once for each distinct text, then handed to its mentions
-    scored = scoring.score(settle(scoring.named(rows.drop("priority"))), idf)
+    # and written: a filter on the score pushed below it would repeat every feature's expression
+    scored = settle(scoring.score(settle(scoring.named(rows.drop("priority"))), idf))
     return all_mentions.filter("text != ''").select("mention_id", "adm_party_id", "text", *[c for c in ("position",) if c in all_mentions.columns]).join(scored, "text").drop("text")
 
 
