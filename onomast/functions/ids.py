@@ -7,13 +7,13 @@ import uuid
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the prefix of the names that ids are made from.
-NAMESPACE = "party-matching"
+#: The prefix of the names that ids are made from; another system's ids need its own.
+NAMESPACE = "onomast"
 
 
-def stable_id(kind: str, *parts: Column) -> Column:
+def stable_id(kind: str, *parts: Column, namespace: str = NAMESPACE) -> Column:
     """Version 5 UUID of ``<namespace>:kind:part|part`` in the URL namespace."""
-    name = F.concat(F.lit(f"{NAMESPACE}:{kind}:"), F.concat_ws("|", *[p.cast("string") for p in parts]))
+    name = F.concat(F.lit(f"{namespace}:{kind}:"), F.concat_ws("|", *[p.cast("string") for p in parts]))
     digest = F.sha1(F.concat(F.unhex(F.lit(uuid.NAMESPACE_URL.hex)), F.encode(name, "UTF-8")))
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
     return F.concat(F.substring(digest, 1, 8), F.lit("-"), F.substring(digest, 9, 4), F.lit("-5"), F.substring(digest, 14, 3), F.lit("-"), variant, F.substring(digest, 18, 3), F.lit("-"), F.substring(digest, 21, 12))

@@ -201,7 +201,7 @@ NS = "from_hex('6ba7b8119dad11d180b400c04fd430c8')"
 
 @register(
     "s00_stable_id",
-    f"""{CTE}, h AS (SELECT party_id, sha1({NS} || encode('party-matching:verified:acc|' || party_name)) AS h FROM parties)
+    f"""{CTE}, h AS (SELECT party_id, sha1({NS} || encode('onomast:verified:acc|' || party_name)) AS h FROM parties)
 SELECT party_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::INTEGER % 4) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS stable FROM h""",
 )
 def s00_stable_id(spark, sf):
