@@ -201,7 +201,7 @@ def _pairs(low: float):
         left, right = (rows, rows) if p == q else (rows[rows["blk"] == p], rows[rows["blk"] == q])
         sig = [np.frombuffer(b"".join(x["sig"]), np.uint8).reshape(-1, HASHES) for x in (left, right)]
         band = [np.stack(x["bands"].to_list()) for x in (left, right)]
-        here = int(np.flatnonzero(band[0][0] == rows["key"].iat[0])[0]) if len(left) else 0
+        here = int(np.flatnonzero(band[0][0] == (int(rows["key"].iat[0]) & 0x7FFFFFFF))[0]) if len(left) else 0
         ids, comps, free, sizes = ([x[c].to_numpy() for x in (left, right)] for c in ("rep", "comp", "free", "n"))
         found = []
         for i in range(0, len(left), 16):
@@ -305,7 +305,7 @@ def cluster(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent:
     kept = open_.join(by.select("key", "least"), "key").filter(~F.col("linked") | (F.col("lo") >= F.col("least") - gap - 1e-9))
     kept = materialise(kept.select("key", "rep", "comp", (~F.col("linked")).alias("free")))
     sizes = kept.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("m > 1 and c0 != c1").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("blocks"))
-    dealt = kept.join(sizes, "key").join(reps.select("rep", "n", "sig", "bands"), "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    dealt = kept.join(sizes, "key").join(reps.select("rep", "n", "sig", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "rep", "comp", "free", "n", "sig", "bands")
     more = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(_pairs(low), "a long, b long").distinct()
     more = materialise(more.join(exact.select("a", "b"), ["a", "b"], "left_anti"))
