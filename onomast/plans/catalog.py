@@ -525,28 +525,27 @@ def a07_root_percentiles(spark, sf):
 # --- decisions ------------------------------------------------------------------------
 
 
-def _names(spark, sf):
-    """Distinct written names as records, and the catalog."""
-    w = views.written(spark, sf)
-    return w.groupBy("raw_name").agg(F.min("adm_party_id").alias("adm_party_id")), views.parties(spark, sf)
+def _records(spark, sf):
+    """Every written record, and the catalog; equal names are scored once inside and count as often as they are written."""
+    return views.written(spark, sf).select("adm_party_id", "raw_name"), views.parties(spark, sf)
 
 
 @register("d24_flat_matcher")
 def d24_flat_matcher(spark, sf):
-    records, parties = _names(spark, sf)
+    records, parties = _records(spark, sf)
     return matcher.match_flat(parties.select("party_id", "party_name"), records)
 
 
 @register("d16_full_matcher")
 def d16_full_matcher(spark, sf):
     """All stages over the hierarchy."""
-    records, parties = _names(spark, sf)
+    records, parties = _records(spark, sf)
     return matcher.match(parties, records)["final"].select("adm_party_id", "decision", "reason", F.round("confidence", 6).alias("confidence"), "party_id", "tier", "resolution")
 
 
 @register("d01_proposals")
 def d01_proposals(spark, sf):
-    records, parties = _names(spark, sf)
+    records, parties = _records(spark, sf)
     ctx, _ = matcher.context(parties, records, decide.Policy())
     return ctx.proposals.select("adm_party_id", "mention_id", "party_id", "root_id", "name", F.round("char", 6).alias("char"), F.round("word", 6).alias("word"), F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"))
 

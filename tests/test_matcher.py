@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from onomast.operators import decide
-from onomast.plans import matcher
+from onomast.plans import catalog, matcher, views
 
 CATALOG = [dict(id="carahsoft", name="Carahsoft Technology Corp."), dict(id="afrl", name="Air Force Research Laboratory"), dict(id="acme_root", name="Acme Holdings Inc."), dict(id="acme_child", name="Acme Services LLC", aliases="Acme Services")]
 
@@ -82,3 +82,21 @@ def test_events(spark):
     cut = {r["adm_party_id"]: r["reason"] for r in decide.request_cutoff(d, jobs).collect()}
     assert cut["a"] == "BELOW_REQUEST_CUTOFF"
     assert decide.override(d, d.filter("adm_party_id = 'a'").withColumn("reason", F.lit("X"))).filter("reason = 'X'").count() == 1
+
+
+def test_registered_matchers_take_every_record(spark, sf):
+    """Records with one written name each get their own decision and proposals, and weigh in by their number."""
+    written = {r["adm_party_id"]: r["raw_name"] for r in views.written(spark, sf).collect()}
+    assert len(set(written.values())) < len(written)
+    flat_rows = catalog.d24_flat_matcher(spark, sf).collect()
+    assert sorted(r["unverified_id"] for r in flat_rows) == sorted(written)
+    by_name, found = {}, {}
+    for r in flat_rows:
+        by_name.setdefault(r["unverified_name"], set()).add((r["decision"], r["verified_id"], r["reason"]))
+    assert all(len(same) == 1 for same in by_name.values())
+    for r in catalog.d01_proposals(spark, sf).collect():
+        found.setdefault(r["adm_party_id"], set()).add((r["mention_id"].rpartition(":")[2], r["party_id"], r["name"], r["score"]))
+    alike = {}
+    for key, name in written.items():
+        alike.setdefault(name, []).append(found.get(key))
+    assert all(x == group[0] for group in alike.values() for x in group) and len(found) > len(alike) / 2
