@@ -199,6 +199,15 @@ def test_url_rules_and_filter(spark):
     assert {r["verdict"] for r in urlfilter.judge(pages, listed.limit(0)).collect()} == {"allow"}
 
 
+def test_url_query_lists_every_bad_host(spark, sf):
+    rows = {r["page_id"]: r for r in queries.op9_urlfilter(spark, sf).collect()}
+    bad = [r for r in rows.values() if any(f".{name}." in "." + r["host"] for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"))]
+    assert any("ads-track" in r["host"] for r in bad) and all(r["listed"] and r["verdict"] == "block" for r in bad if r["rule"] is None)
+    own = queries.op9_urlfilter(spark, sf, hosts=["ads-track"]).filter("listed").collect()
+    assert {r["host"] for r in own} == {r["host"] for r in bad if "ads-track" in r["host"] and r["rule"] is None}
+    assert queries.op9_urlfilter(spark, sf, hosts=[]).filter("listed").count() == 0
+
+
 def test_bloom_has_no_false_negatives(spark):
     urls = spark.range(3000).select(F.concat(F.lit("h.example/"), "id").alias("canon"))
     pages = spark.range(6000).select("id", F.concat(F.lit("http://h.example/"), "id").alias("url"))
