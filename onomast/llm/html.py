@@ -12,7 +12,10 @@ each page; as a node above keeps its own branch, this is decided where the text
 
 Besides, markup says what it is: scripts, styles, forms, menus, headers and footers of
 the page, side bars, and elements whose class, id or role names adverts, notices,
-comments and the like are noise on any page, also where a host has a single one. Where
+comments and the like are noise on any page, also where a host has a single one. A class
+or id names such a thing if all its words do (``cookie-notice``, ``ad-box``; neither
+``ad-free`` nor ``has-sidebar``); it says nothing on ``html``, ``body`` and main parts, nor
+on what holds a ``main``, nor on what holds an ``article`` if no main part is outside. Where
 a page marks an article (``article``, ``main``, role ``main``), the text is taken from
 it, and the prose right inside is kept even if copies of the page make it common.
 
@@ -52,14 +55,18 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd blockquote pre table tb
 NOISE_TAGS = frozenset("head nav aside footer form button label fieldset menu dialog search".split()) | RAW
 MAIN_TAGS = frozenset(["article", "main"])
 #: Words of a class, id or role that mark what is not the article.
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense alert announcement banner breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split())
+NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense alert announcement breadcrumb breadcrumbs comment comments commentlist complementary consent contentinfo cookie cookies disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup promo promotion promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola toolbar topbar widget widgets".split())
 #: Only noise outside an article, where they may be parts of it.
 OUTER_WORDS = frozenset("header banner masthead".split())
+#: Say nothing besides other words of a name.
+NEUTRAL_WORDS = frozenset("area bar block body box bottom button buttons container content inner item items left link links list outer panel right section slot top unit wrap wrapper".split())
+_NAMING = NOISE_WORDS | OUTER_WORDS | NEUTRAL_WORDS
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?(?=[\s/\"']|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+_MAIN = re.compile(r"<(?:article|main)[\s/>]|\brole\s*=\s*[\"']?main\b", re.I)
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -88,9 +95,10 @@ class Page:
         self.blocks: list[tuple[tuple, str]] = []
         self.children: dict[int, list[str]] = {}
         self.has_main = False
-        # a frame: tag, node, noise, inside main, chain of (node, prose of main)
-        root = ("", key(0, ""), False, False, ())
+        # a frame: tag, node, noise, inside main, chain of (node, prose of main), words' marks: each [holds]
+        root = ("", key(0, ""), False, False, (), ())
         stack = [root]
+        doubtful: list[tuple] = []  # marks around articles
         pending: list[str] = []
         at, size = 0, len(html)
 
@@ -143,12 +151,14 @@ class Page:
             if tag in VOID:
                 continue
             attributes = self._attributes(m[3]) if len(m[3]) > 1 else None
-            if tag not in BLOCK and not (attributes and (attributes[1] or attributes[2])):
-                continue  # inline
+            marked = bool(attributes) and (attributes[1] or (attributes[4] and not stack[-1][3]))
             if tag not in BLOCK:
-                # an inline element that its attributes mark as noise: skip what it holds
-                at = self._close(html, tag, at)
-                pending.append(" ")
+                # an inline element that its attributes mark as noise: skip what it holds, unless a main part by words alone
+                if marked or (attributes and attributes[2]):
+                    close = self._close(html, tag, at)
+                    if attributes[2] or not _MAIN.search(html, at, close):
+                        at = close
+                        pending.append(" ")
                 continue
             flush()
             self._imply(stack, tag)
@@ -156,34 +166,50 @@ class Page:
             name = tag + ("." + attributes[0] if attributes and attributes[0] else "")
             node = key(top[1], name)
             self.children.setdefault(top[1], []).append(name)
-            marks = attributes[1] if attributes else frozenset()
             starts_main = tag in MAIN_TAGS or bool(attributes and attributes[3])
-            noise = top[2] or tag in NOISE_TAGS or bool(attributes and attributes[2]) or bool(marks) or (tag == "header" and not top[3])
+            noise = top[2] or tag in NOISE_TAGS or bool(attributes and attributes[2]) or (tag == "header" and not top[3])
+            marks = (*top[5], [True]) if marked and not starts_main and tag not in ("html", "body") else top[5]
+            if starts_main and not noise:
+                if tag != "article":
+                    for mark in marks:
+                        mark[0] = False
+                if any(mark[0] for mark in marks):
+                    doubtful.append(marks)
+                else:
+                    self.has_main = True
             inside = top[3] or (starts_main and not noise)
-            if inside and not top[3]:
-                self.has_main = True
             protected = inside and (starts_main or (tag in PROSE and not (attributes and attributes[0])))
-            stack.append((tag, node, noise, inside, (*top[4], (node, protected))))
+            stack.append((tag, node, noise, inside, (*top[4], (node, protected)), marks))
         flush()
+        if doubtful and not self.has_main:
+            self.has_main = True
+            for marks in doubtful:
+                for mark in marks:
+                    mark[0] = False
 
     @staticmethod
     def _attributes(source: str):
-        """Normalised class and id, noise words, hidden, marks the main part."""
-        names, words, hidden, main = [], set(), False, False
+        """Normalised class and id, named as noise, hidden, marks the main part, named as noise outside it."""
+        names, noise, hidden, main, outer = [], False, False, False, False
         for a in _ATTRIBUTE.finditer(source):
             what, value = a[1].lower(), (a[2] or "").strip("\"'")
             if what in ("class", "id"):
                 parts = _CAMEL.sub("-", value).lower()
                 names.append("".join(c for c in parts if not c.isdigit()))
-                words.update(_WORD.findall(parts))
+                for name in parts.split():
+                    words = {w for w in _WORD.findall(name) if len(w) > 1}
+                    if words <= _NAMING:
+                        noise = noise or bool(words & NOISE_WORDS)
+                        outer = outer or bool(words & OUTER_WORDS)
             elif what == "role":
-                words.add(value.lower())
+                noise = noise or value.lower() in NOISE_WORDS
+                outer = outer or value.lower() in OUTER_WORDS
                 main = main or value.lower() == "main"
             elif what == "style":
                 hidden = hidden or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
             else:
                 hidden = hidden or value.lower() != "false"
-        return "|".join(names), words & NOISE_WORDS, hidden, main
+        return "|".join(names), noise, hidden, main, outer
 
     @staticmethod
     def _close(html: str, tag: str, at: int) -> int:
@@ -222,7 +248,7 @@ class Page:
     def text(self, low: frozenset | set) -> str:
         out = []
         for frame, text in self.blocks:
-            if frame[2] or (self.has_main and not frame[3]):
+            if frame[2] or (self.has_main and not frame[3]) or any(mark[0] for mark in frame[5]):
                 continue
             if frame[1] in low and not (frame[4] and frame[4][-1][1]):
                 continue

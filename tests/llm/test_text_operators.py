@@ -219,6 +219,19 @@ def test_style_tree_removes_what_repeats(spark):
     assert by[100].startswith("Same links")
 
 
+def test_html_marks_are_whole_names():
+    text = lambda body: html.Page(f"<html>{body}</html>").text(frozenset())
+    for body in ('<body class="has-sidebar">{}', '<div id="content-with-nav">{}</div>', '<body class="search">{}', '<div class="widget">{}</div>', '<my-app class="widget">{}</my-app>', '<div class="promo"><p>Not this</p>{}</div>'):
+        for tag in ("article", 'article class="post comments-open ad-free"', "main class=widget", "div role=main"):
+            end = tag.split()[0]
+            assert text(body.format(f"<{tag}><p>All of it</p></{end}>")).split("\n")[-1] == "All of it"
+    assert text('<article><p>One</p><div class="cookie-notice box">a</div><div id="ad-slot-3">b</div><span class="adBox">c</span></article>') == "One"
+    assert text('<article><p>One</p></article><div id=comments><article><p>Nice</p></article></div>') == "One"
+    assert text('<main><p>One</p><div id=comments><article><p>Nice</p></article></div></main>') == "One"
+    assert text('<article><div class="banner">In</div><div class="masthead"><p>two</p></div><p>three</p></article>') == "In\ntwo\nthree"
+    assert text('<div class="header">Out</div><div class="banner">Out</div><p>In</p>') == "In"
+
+
 def test_html_query(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").count()
     got = queries.op4_html(spark, sf).toPandas()
