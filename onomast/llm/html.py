@@ -7,8 +7,8 @@ blocks right under it). With m pages, its presentation importance is the entropy
 styles with base m, its content importance the mean over texts of 1 - log_m(pages with
 the text): 1 if every page differs, 0 if all are the same; with one page both are 1.
 A node's importance is (1 - g^l) * presentation + g^l * content, for l styles and
-g = 0.9. A branch all of whose nodes are below ``threshold`` is noise and removed from
-each page; as a node above keeps its own branch, this is decided where the text stands.
+g = 0.9. A branch (a node and all nodes below it, on any page of the host) all of whose
+nodes are below ``threshold`` is noise and removed from each page.
 
 Besides, markup says what it is: scripts, styles, forms, menus, headers and footers of
 the page, side bars, and elements whose class, id or role names adverts, notices,
@@ -22,7 +22,8 @@ it, and the prose right inside is kept even if copies of the page make it common
 What is kept: blocks in page order, character references decoded, white space inside a
 block made one space, trimmed, joined by one line end; nothing is cut. Null or empty
 pages have an empty text. A null URL, or one without ``://``, has the empty host, whose
-pages are merged like any other host's. Repeated pages count as they come.
+pages are merged like any other host's. Equal pages of a host count once in its tree, by
+weights that add up to 1.
 
 Statistics are added up per (host, node, text) before anything meets in one place, so a
 host with a third of all pages is no hot spot. The nodes to remove are broadcast if
@@ -42,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from onomast.llm._common import BROADCAST_BYTES, materialise, without
+from onomast.llm._common import BROADCAST_BYTES, materialise, maybe_broadcast, without
 from onomast.llm.urlfilter import host
 
 THRESHOLD, GAMMA = 0.4, 0.9
@@ -89,11 +90,12 @@ def key(parent: int, name: str) -> int:
 class Page:
     """Blocks of a page, each with its chain of nodes, and the nodes' child sequences."""
 
-    __slots__ = ("blocks", "children", "has_main")
+    __slots__ = ("blocks", "children", "has_main", "parents")
 
     def __init__(self, html: str):
         self.blocks: list[tuple[tuple, str]] = []
         self.children: dict[int, list[str]] = {}
+        self.parents: dict[int, int] = {}
         self.has_main = False
         # a frame: tag, node, noise, inside main, chain of (node, prose of main), words' marks: each [holds]
         root = ("", key(0, ""), False, False, (), ())
@@ -166,6 +168,7 @@ class Page:
             name = tag + ("." + attributes[0] if attributes and attributes[0] else "")
             node = key(top[1], name)
             self.children.setdefault(top[1], []).append(name)
+            self.parents[node] = top[1]
             starts_main = tag in MAIN_TAGS or bool(attributes and attributes[3])
             noise = top[2] or tag in NOISE_TAGS or bool(attributes and attributes[2]) or (tag == "header" and not top[3])
             marks = (*top[5], [True]) if marked and not starts_main and tag not in ("html", "body") else top[5]
@@ -233,7 +236,7 @@ class Page:
                         break
 
     def features(self) -> Iterator[tuple[int, int, int]]:
-        """(node, kind, feature): a style (0) once per page and node; each different text (1)."""
+        """(node, kind, feature): a style (0) and the node above (2) once per page and node; each different text (1)."""
         texts: dict[int, set[str]] = {}
         for frame, text in self.blocks:
             texts.setdefault(frame[1], set()).add(text)
@@ -241,6 +244,8 @@ class Page:
         for node in nodes:
             names = self.children.get(node, ())
             yield node, 0, key(node, ">".join(n for i, n in enumerate(names) if not i or names[i - 1] != n))
+            if node in self.parents:
+                yield node, 2, self.parents[node]
         for node, found in texts.items():
             for text in found:
                 yield node, 1, int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "little", signed=True)
@@ -259,9 +264,9 @@ class Page:
 def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found: Counter = Counter()
-        for name, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for name, html, weight in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             for feature in Page(html.as_py() or "").features():
-                found[name, *feature] += 1
+                found[name, *feature] += weight
             if len(found) > 200_000:
                 yield _counts(found)
                 found = Counter()
@@ -270,33 +275,54 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _counts(found: Counter) -> pa.RecordBatch:
     columns = list(zip(*found, strict=True)) if found else [[], [], [], []]
-    return pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(list(found.values()), pa.int64())], ["host", "node", "kind", "feature", "n"])
+    return pa.record_batch([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.int64()), pa.array(list(found.values()), pa.float64())], ["host", "node", "kind", "feature", "n"])
 
 
 def importance(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, node, pages, importance`` of every node of every host's style tree."""
-    given = pages.select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
-    seen = given.mapInArrow(_observe, "host string, node long, kind int, feature long, n long")
-    seen = seen.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
-    logs = F.log(F.col("n").cast("double"))
+    """``host, node, pages, importance, parent`` of every node of every host's style tree."""
+    given = pages.select(host(F.col(f"`{url}`")).alias("host"), F.coalesce(F.col(f"`{html}`"), F.lit("")).alias("html"))
+    same = ["host", "digest", "length"]
+    given = given.withColumns({"digest": F.xxhash64("html"), "length": F.length("html")})
+    copies = materialise(given.groupBy(*same).count().filter("count > 1"))
+    given = given.join(maybe_broadcast(copies, 96), same, "left").select("host", "html", (1.0 / F.coalesce("count", F.lit(1))).alias("weight"))
+    seen = given.mapInArrow(_observe, "host string, node long, kind int, feature long, n double")
+    # the weights of all copies of a page add up to 1, so each sum is a whole number
+    seen = seen.groupBy("host", "node", "kind", "feature").agg(F.round(F.sum("n")).alias("n"))
+    logs = F.log("n")
     node = seen.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"),
         F.sum(F.when(F.col("kind") == 0, F.col("n") * logs)).alias("nlogn"),
         F.count(F.when(F.col("kind") == 0, 1)).alias("styles"),
         F.avg(F.when(F.col("kind") == 1, logs)).alias("mean_log"),
+        F.max(F.when(F.col("kind") == 2, F.col("feature"))).alias("parent"),
     )
-    base = F.log(F.col("pages").cast("double"))
+    base = F.log("pages")
     # entropy of the styles over log m: (log m - sum(n log n) / m) / log m
     shown = F.when(F.col("pages") > 1, (base - F.col("nlogn") / F.col("pages")) / base).otherwise(F.lit(1.0))
     content = F.when(F.col("mean_log").isNull(), shown).when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("mean_log") / base)).otherwise(F.lit(1.0))
     g = F.pow(F.lit(GAMMA), F.col("styles"))
-    return node.select("host", "node", "pages", ((1 - g) * shown + g * content).alias("importance"))
+    return node.select("host", "node", F.col("pages").cast("long").alias("pages"), ((1 - g) * shown + g * content).alias("importance"), "parent")
+
+
+def _noise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host, the nodes of branches that are low throughout: those with no other node at or below them."""
+    for batch in batches:
+        out = []
+        for nodes, parents, lows in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            up, kept = dict(zip(nodes, parents, strict=True)), set()
+            for node, low in zip(nodes, lows, strict=True):
+                while not low and node is not None and node not in kept:
+                    kept.add(node)
+                    node = up.get(node)
+            out.append([node for node in nodes if node not in kept])
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["host", "low"])
 
 
 def extract(pages: DataFrame, *, url: str = "url", html: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """All columns but the page itself, with ``text`` and ``n_chars`` (code points)."""
-    low = importance(pages, url=url, html=html).filter(F.col("importance") < threshold).groupBy("host").agg(F.collect_list("node").alias("low"))
-    low = materialise(low)
+    tree = importance(pages, url=url, html=html).withColumn("is_low", F.coalesce(F.col("importance") < threshold, F.lit(False)))
+    tree = tree.groupBy("host").agg(F.collect_list(F.struct("node", "parent", "is_low")).alias("t")).select("host", "t.node", "t.parent", "t.is_low")
+    low = materialise(tree.mapInArrow(_noise, "host string, low array<long>").filter(F.size("low") > 0))
     size = low.agg(F.sum(F.size("low") * 8 + 64)).first()[0] or 0
     kept = without(pages.drop(html), "text", "n_chars")
     names = kept.columns

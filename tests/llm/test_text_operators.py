@@ -232,6 +232,20 @@ def test_html_marks_are_whole_names():
     assert text('<div class="header">Out</div><div class="banner">Out</div><p>In</p>') == "In"
 
 
+def test_style_tree_counts_copies_once_and_keeps_branches(spark):
+    plain = "<html><body><div><p>Only copies {0}</p></div></body></html>"
+    rows = [(i, "http://two.example/", plain.format("two")) for i in range(2)]
+    rows += [(10 + i, "http://most.example/", plain.format("a" if i < 20 else i)) for i in range(23)]
+    # the section's own text is the same on all pages, what stands below it differs; the menu is low throughout
+    page = "<html><body><ul><li>Menu<li>Links</ul><section>Lead<p>Body {0}</p></section></body></html>"
+    rows += [(100 + i, "http://branch.example/", page.format(i)) for i in range(8)]
+    by = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(by) == len(rows)
+    assert all(by[i] == "Only copies two" for i in range(2))
+    assert all(by[10 + i] == f"Only copies {'a' if i < 20 else i}" for i in range(23))
+    assert all(by[100 + i] == f"Lead\nBody {i}" for i in range(8))
+
+
 def test_html_query(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").count()
     got = queries.op4_html(spark, sf).toPandas()
