@@ -4,7 +4,8 @@ Every window of ``WINDOW`` bytes has a Shannon entropy (in thousandths of the la
 Windows are ranked by how rare their entropy is in the whole corpus, the rarest first;
 windows of nearly equal bytes come last. Each run of ``NEIGHBOURS`` windows votes for
 its leftmost best-ranked one, and windows with at least ``POPULAR`` votes are features
-(in a text of at most ``FEW`` windows all are; a text shorter than a window is one).
+(in a text of at most ``FEW`` windows all are, where none is so popular the ``FEW`` best-ranked; a
+text shorter than a window is one).
 A feature's 64-bit hash sets five bits of a Bloom filter of 2048 bits; after ``FULL``
 features the next filter of the chain begins. The fingerprint is the chain's bytes.
 
@@ -124,6 +125,11 @@ def digests(data: np.ndarray, offsets: np.ndarray, rank: np.ndarray) -> list[byt
         chosen = votes >= POPULAR
         small = np.where(n <= FEW, n, 0)
         chosen[np.repeat(offsets[:-1] - (np.cumsum(small) - small), small) + np.arange(int(small.sum()))] = True
+        # where no window is popular (all of one class, say), the best-ranked stand for the text
+        upto = np.concatenate([[0], np.cumsum(chosen)])
+        own = upto[np.minimum(offsets[:-1] + n, length)] - upto[np.minimum(offsets[:-1], length)]
+        for i in np.flatnonzero((n > FEW) & (own == 0)):
+            chosen[offsets[i] + np.argpartition(key[offsets[i] : offsets[i] + n[i]], FEW - 1)[:FEW]] = True
         at = np.flatnonzero(chosen)
         view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at].copy().view(np.uint64)
         feature_hash.append(mix64(mix64(view[:, 0]) ^ (view[:, 1] * np.uint64(0x9E3779B97F4A7C15))))

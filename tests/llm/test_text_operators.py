@@ -192,6 +192,17 @@ def test_fingerprints(spark):
     assert len(one) == 1 and one[0]["edited_sha256"] == hashlib.sha256(fingerprint.edited(long, long).encode()).hexdigest()
 
 
+def test_fingerprints_of_even_texts():
+    """Runs of one character and repeated units have features of their own."""
+    texts = [b"", b"a" * 500, b"b" * 500, b"abcdefgh" * 60, b"ijklmnop" * 60, b"a" * 3000]
+    rank = np.arange(fingerprint.CLASSES)
+    got = fingerprint.digests(*fingerprint._flat(texts), rank)
+    assert got[0] == b"" and all(got[1:]) and got[1] == got[5]
+    for i in range(1, 5):
+        assert got[i] == fingerprint.digests(*fingerprint._flat([texts[i]]), rank)[0]
+        assert all(fingerprint.likeness(got[i], got[j]) < 0.5 for j in range(5) if j != i)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><script>var a="</p>";</script><style>p{{}}</style></head><body><header><a href=/>Site</a></header><nav><ul><li>Home<li>About</ul></nav>
 <div class="cookie-notice">We use cookies</div><!-- <p>no</p> --><aside>Side</aside><article><h1>Title {0}</h1><p>First&nbsp;&eacute;  {0}
  line<br>more<p>Unclosed <b>bold {0}<div class="share">Share</div><form><input value="x">Send</form><ul><li>one {0}</li><li>two</li></ul></article><div id=comments><p>Nice</p></div><footer>&copy; me</footer>"""
