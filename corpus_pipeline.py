@@ -15,9 +15,12 @@ from onomast.llm._common import materialise, maybe_broadcast, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no language at all (``und``: no text, no letter) go; a missing ``lang`` is filled in."""
+    """Documents in no language at all (no text, no letter) go; a missing ``lang`` is filled in if any is given."""
     names = docs.columns
-    judged = langid.identify(docs, langid.train(docs)).filter(F.col("lang_pred") != langid.UNDETERMINED)
+    model = langid.train(docs)
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    judged = langid.identify(docs, model).filter(F.col("lang_pred") != langid.UNDETERMINED)
     return judged.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*names)
 
 

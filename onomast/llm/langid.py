@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from onomast.llm._common import cuts, hash53, nullable, utf8, without
+from onomast.llm._common import cuts, hash53, maybe_broadcast, nullable, utf8, without
 
 START = 256  # the symbol before a text's first byte, while counting
 BASE = 257
@@ -69,24 +69,25 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     """Learn from a sample of about ``rows_per_language`` whole rows of each language.
 
     The sample is the rows whose key hashes below rows_per_language / rows; it is
-    the model's only bound on data. Counting is distributed; ``max_grams`` of the
-    commonest (order + 1)-grams and ``max_contexts`` contexts bound the model itself,
-    whatever the texts hold.
+    the model's only bound on data. Counting is distributed; ``max_grams``
+    (order + 1)-grams and ``max_contexts`` contexts bound the model itself, whatever the
+    texts hold. The grams are the commonest of each language, as many of each: what a
+    language has no use for goes to the others.
     """
     labelled = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
-    if not rows:
-        return build([], order, max_contexts)
-    share = F.create_map(*[F.lit(x) for k, n in sorted(rows.items()) for x in (k, min(1.0, rows_per_language / n))])
-    sample = labelled.filter(hash53(F.lit("langid"), F.coalesce("key", F.lit(""))) < F.lit(float(1 << 52)) * share[F.col("lang")]).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("rows"))
+    sample = labelled.join(maybe_broadcast(sizes, 64), "lang").filter(hash53(F.lit("langid"), F.coalesce("key", F.lit(""))) < F.lit(float(1 << 52)) * share).select("lang", "text")
     counts = sample.mapInArrow(lambda it: _grams(it, order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    return build([tuple(r) for r in counts.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toLocalIterator()], order, max_contexts)
+    counts = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")))
+    return build([tuple(r) for r in counts.orderBy("place", "lang").limit(max_grams).drop("place").toLocalIterator()], order, max_contexts)
 
 
 def build(counts: Sequence[tuple[str, int, int]], order: int, max_contexts: int) -> Model:
     """The automaton from counts of (language, gram, n); all arithmetic is by level of the tree."""
     langs = tuple(sorted({c[0] for c in counts}))
-    lang_of = np.array([langs.index(c[0]) for c in counts], np.int64)
+    place = {lang: i for i, lang in enumerate(langs)}
+    lang_of = np.array([place[c[0]] for c in counts], np.int64)
     gram, n = np.array([c[1] for c in counts], np.int64), np.array([c[2] for c in counts], np.float64)
     seen = np.unique(gram % BASE)
     symbol = np.full(256, len(seen), np.int64)

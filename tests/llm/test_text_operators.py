@@ -152,6 +152,21 @@ def test_chat_query(spark, sf):
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_language_model_holds_every_language(spark):
+    rows = [(i, f"common words and more of them {i}", "en", "s", 0) for i in range(40)] + [(100, "zq xj", "rare", "s", 0)]
+    model = langid.train(spark.createDataFrame(rows, DOCS), max_grams=20)
+    assert model.langs == ("en", "rare")
+    some = spark.range(1300).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id % 1200) AS lang")
+    assert len(langid.train(some).langs) == 1200
+
+
+def test_language_stage_without_labels(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "words", None, "s", 5), (2, None, None, "s", 0), (3, "1 2 3", None, "s", 5), (4, "", None, "s", 0)], DOCS)
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
+
+
 def test_entropy_classes():
     rng = np.random.default_rng(0)
     data = np.concatenate([rng.integers(97, 110, 3000), np.full(100, 65), rng.integers(0, 256, 500)]).astype(np.uint8)
