@@ -64,7 +64,7 @@ def _unsafe(removed: DataFrame, ctx: Context, whole_names: bool = False) -> Data
     others = removed.filter("removed != ''").select("adm_party_id", "removed", "chosen").distinct().join(ctx.proposals.select("adm_party_id", "root_id", "norm_name", "type", "idf"), "adm_party_id").filter("root_id != chosen")
     r = X.normalize(F.col("removed"))
     others = others.withColumn("r", r)
-    covered = others.withColumn("c", X.soft_coverage(F.col("r"), F.col("norm_name"), X.token_weights(F.col("r"), F.col("norm_name"), F.col("idf")))).filter("c.mine >= 0.75 and c.theirs >= 0.75").select("adm_party_id", "removed")
+    covered = others.withColumn("c", X.soft_coverage(F.col("r"), F.col("norm_name"), F.col("idf"))).filter("c.mine >= 0.75 and c.theirs >= 0.75").select("adm_party_id", "removed")
     bad = brand.unionByName(covered)
     if whole_names:
         words = X.meaningful(F.col("norm_name"))
@@ -107,7 +107,7 @@ def safe_views(decisions: DataFrame, ctx: Context) -> DataFrame:
     p = ctx.proposals.join(w.select("adm_party_id", "old_root"), "adm_party_id").filter("root_id = old_root").withColumn("rn", F.row_number().over(two)).filter("rn <= 2").drop("old_root", "rn")
     clones = p.join(views.drop("old_root"), "adm_party_id").withColumn("mention_text", F.col("view")).withColumn("mention_id", F.concat("adm_party_id", F.lit(":view:"), F.col("x_kind")))
     clones = rescored(clones, ctx)
-    cover = X.soft_coverage(F.col("mention_norm"), F.col("norm_name"), X.token_weights(F.col("mention_norm"), F.col("norm_name"), F.col("idf")))
+    cover = X.soft_coverage(F.col("mention_norm"), F.col("norm_name"), F.col("idf"))
     clones = clones.withColumn("x_cover", cover)
     return _redecide(clones, decisions, ctx, F.col("x_cover.mine").between(0.75, 9) & F.col("x_cover.theirs").between(0.75, 9), "RULES_SAFE_VIEW_", "rules:safe_view_")
 
@@ -155,7 +155,7 @@ def second_pass(decisions: DataFrame, ctx: Context) -> DataFrame:
     typo = (F.size(x) == F.size(y)) & (F.size(x) > 0) & (F.size(differ) == 1) & (F.least(F.length(one["l"]), F.length(one["r"])) >= F.when(F.size(x) == 1, 8).otherwise(5))
     near = F.greatest(X.levenshtein_similarity(one["l"], one["r"]), F.when(X.singular(one["l"]) == X.singular(one["r"]), 0.94).otherwise(0.0)) >= 0.80
     p = settle(p.withColumn("typo", F.coalesce(clean & typo & near & (F.col("score") >= 0.35), F.lit(False))))
-    spelled = p.filter("typo").select("norm", "norm_name", "idf").dropDuplicates(["norm", "norm_name"]).withColumn("c", X.soft_coverage(F.col("norm"), F.col("norm_name"), X.token_weights(F.col("norm"), F.col("norm_name"), F.col("idf")))).filter("c.mine >= 0.88 and c.theirs >= 0.88").select("norm", "norm_name", F.lit(True).alias("spelled"))
+    spelled = p.filter("typo").select("norm", "norm_name", "idf").dropDuplicates(["norm", "norm_name"]).withColumn("c", X.soft_coverage(F.col("norm"), F.col("norm_name"), F.col("idf"))).filter("c.mine >= 0.88 and c.theirs >= 0.88").select("norm", "norm_name", F.lit(True).alias("spelled"))
     p = p.join(spelled, ["norm", "norm_name"], "left")
     article = (F.size(X.tokens(F.col("k_article"))) >= 2) & sole("article") & (raw.startswith("the ") != official.startswith("the ")) & (X.article_base(official) == F.col("k_article")) & (F.col("score") >= 0.55) & (lexical >= 0.55)
     has = lambda c, *ws: F.arrays_overlap(X.tokens(c), X.lits(ws))

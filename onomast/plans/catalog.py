@@ -186,7 +186,7 @@ def x25_soft_coverage(spark, sf):
     idf = scoring.token_idf(views.parties(spark, sf).select(F.col("party_name").alias("name")))
     d = scoring.with_weights(pairs(spark, sf).select(F.col("a").alias("mention_norm"), F.col("b").alias("norm_name")).distinct(), idf)
     a, b = F.col("mention_norm"), F.col("norm_name")
-    return d.withColumn("c", X.soft_coverage(a, b, X.token_weights(a, b, F.col("idf")))).select(a.alias("a"), b.alias("b"), "c.mine", "c.theirs")
+    return d.withColumn("c", X.soft_coverage(a, b, F.col("idf"))).select(a.alias("a"), b.alias("b"), "c.mine", "c.theirs")
 
 
 @register("x33_fragments")
