@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,24 +23,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder the cluster names; one of our own only where none is set and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="onomast-")
         spark.sparkContext.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return folder
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there.
 
     Unlike a local checkpoint the copy outlives any executor, and unlike an RDD
-    checkpoint it is columnar, so later reads are pruned.
+    checkpoint it is columnar, so later reads are pruned. ``forget`` deletes it.
     """
     spark = df.sparkSession
     path = f"{scratch(spark).rstrip('/')}/onomast-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._onomast_path = path
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``materialise`` that no plan still to run reads."""
+    for df in tables:
+        path = df.__dict__.pop("_onomast_path", None)
+        if path is not None:
+            _delete(df.sparkSession, path)
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:

@@ -5,28 +5,32 @@ end. In texts (and roles) every backslash, and every ``<`` that begins ``<turn``
 ``</turn``, gets a backslash before it (in roles ``>`` as well), so no text can be read
 as a control string and ``unescape`` gives back what was there.
 
-The rendered string is encoded once, with offsets. The spans of the assistant's texts
-and the spans of tokens are both sorted; binary search finds for each turn the tokens
-that meet it. These are under the loss mask, and ``loss_spans`` keeps the part of each
-that lies within the turn, so a token across a border never brings in the template.
+The rendered string is encoded once; as byte-level ids stand for bytes, their lengths added
+up are the offsets. The spans of the assistant's texts and the spans of tokens are both
+sorted; binary search finds for each turn the tokens that meet it. These are under the loss
+mask, and ``loss_spans`` keeps the part of each that lies within the turn, in code points, so
+a token across a border never brings in the template.
 
 Turns are ordered by ``turn`` (null first; ties by role, then text); equal rows are
 separate turns. Null text or role: empty. A null conversation id is one conversation.
 Conversations are streamed in order through each task, one in memory at a time: a
-conversation is one sequence. An empty table gives an empty result.
+conversation is one sequence. Only the four columns named are read, so others may be called
+anything. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from onomast.llm import tokens
+
 ASSISTANT = "assistant"
 _ESCAPE, _ESCAPE_ROLE = re.compile(r"\\|<(?=/?turn)"), re.compile(r"[\\>]|<(?=/?turn)")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
@@ -66,18 +70,6 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-@functools.lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    return tokenizer
-
-
 def align(offsets: np.ndarray, spans: list[tuple[int, int]]) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """The mask over tokens, and the parts of the string under it, in order."""
     mask = np.zeros(len(offsets), bool)
@@ -107,16 +99,23 @@ def format_conversations(turns: DataFrame, path: str, *, id: str = "conv_id") ->
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
 
     def rendered(groups: list[tuple[int | None, list[tuple[str, str]]]]) -> pa.RecordBatch:
-        tokenizer = _tokenizer(path)
         texts, spans = zip(*(render(g) for _, g in groups), strict=True)
-        ids, masks, parts = [], [], []
-        for coded, s in zip(tokenizer.encode_batch(list(texts), add_special_tokens=False), spans, strict=True):
-            mask, under = align(np.array(coded.offsets, np.int64).reshape(-1, 2), s)
-            ids.append(coded.ids)
-            masks.append(mask.tolist())
-            parts.append([{"start": a, "end": b} for a, b in under])
+        coded = tokens.encode(path, list(texts))
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids = np.fromiter(chain.from_iterable(coded), np.int32, int(sizes.sum()))
+        lengths, at = tokens.byte_lengths(path)[ids], np.concatenate([[0], np.cumsum(sizes)])
+        masks, parts = np.zeros(len(ids), bool), []
+        for i, (text, s) in enumerate(zip(texts, spans, strict=True)):
+            raw = np.frombuffer(text.encode(), np.uint8)
+            # where each code point begins, and which one a byte belongs to
+            begins = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+            end = np.cumsum(lengths[at[i] : at[i + 1]])
+            mask, under = align(np.stack([end - lengths[at[i] : at[i + 1]], end], 1), [(int(begins[a]), int(begins[b])) for a, b in s])
+            masks[at[i] : at[i + 1]] = mask
+            parts.append([{"start": int(a), "end": int(b)} for a, b in np.searchsorted(begins, np.array(under, np.int64).reshape(-1, 2))])
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        return pa.record_batch([pa.array([g[0] for g in groups], pa.int64()), pa.array(texts), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array(parts, span)], ["conv_id", "formatted", "input_ids", "loss_mask", "loss_spans"])
+        lists = [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in (ids, masks)]
+        return pa.record_batch([pa.array([g[0] for g in groups], pa.int64()), pa.array(texts), *lists, pa.array(parts, span)], ["conv_id", "formatted", "input_ids", "loss_mask", "loss_spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: list[tuple[int | None, list[tuple[str, str]]]] = []

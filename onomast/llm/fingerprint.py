@@ -7,26 +7,29 @@ its leftmost best-ranked one, and windows with at least ``POPULAR`` votes are fe
 (in a text of at most ``FEW`` windows all are, where none is so popular the ``FEW`` best-ranked; a
 text shorter than a window is one).
 A feature's 64-bit hash sets five bits of a Bloom filter of 2048 bits; after ``FULL``
-features the next filter of the chain begins. The fingerprint is the chain's bytes.
+features the next filter of the chain begins. The fingerprint is the chain's bytes, in base64.
 
 Likeness: each filter of the shorter chain looks for its best partner in the other.
 A pair's overlap is the number of common bits, less what chance gives filters so full,
 over the most there can be, less the same. The mean, by bits set, is from 0 to 1.
 Equal fingerprints have likeness 1, an empty one and another have 0.
 
-Null counts as an empty text, which has an empty fingerprint. Entropies of all windows
+Null counts as an empty text, which has an empty fingerprint. Repeated rows have one
+fingerprint; ids may be null or repeated (see ``neighbours``); very long texts are read whole,
+and their likeness takes time with the product of the chains' lengths. Only id and text are
+read, so other columns may be called anything. An empty table gives an empty result. Entropies of all windows
 of a batch are kept up to date byte by byte in strips that are walked side by side.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from onomast.llm._common import cuts, mix64, utf8
@@ -35,7 +38,7 @@ WINDOW, NEIGHBOURS, POPULAR, FEW, DULL = 16, 32, 6, 64, 250
 FILTER_BYTES, FULL, PER_FEATURE = 256, 160, 5
 BITS = FILTER_BYTES * 8
 CLASSES = 1001
-FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+FIELDS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 _C = np.arange(WINDOW + 2)
 _G = np.rint(np.where(_C > 0, _C * np.log2(np.maximum(_C, 1)), 0) * 4096).astype(np.int32)
@@ -187,9 +190,13 @@ def fingerprint(docs: DataFrame, rank: np.ndarray, *, text: str = "text", id: st
             data, offsets = utf8(batch.column(1))
             for lo, hi in cuts(offsets, 1 << 20):
                 found = digests(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], shared.value)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(found, pa.binary())], ["doc_id", "fingerprint"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([encoded(x) for x in found], pa.string())], ["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, fingerprint binary")
+    return docs.select(F.col(id).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, fingerprint string")
+
+
+def encoded(chain: bytes) -> str:
+    return base64.b64encode(chain).decode()
 
 
 def edited(text: str, following: str) -> str:
@@ -198,36 +205,49 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _range(id: Column, cut: list[int]) -> Column:
+    """Descending: the largest ids in 0, null ids in the last; a binary search in ``cut``."""
+    found = F.lit(0)
+    if cut:
+        steps = [1 << k for k in reversed(range(len(cut).bit_length()))]
+        at = lambda pos: F.get(F.array(*map(F.lit, cut)), pos)
+        found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda pos, step: F.when(F.coalesce(at(pos + step - 1) < id, F.lit(False)), pos + step).otherwise(pos))
+    return F.when(id.isNull(), len(cut) + 1).otherwise(len(cut) - found).cast("int")
+
+
 def neighbours(docs: DataFrame, rank: np.ndarray, *, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Each row's fingerprint, its edited text's, and the likeness to that and to the next row.
 
     The next row has the next smaller id (ties: by a hash of the text; null ids come
     last); after the last comes the first. Rows are dealt by ranges of ids, so each text
-    is shuffled once; the first row of each range is also sent to the range before.
+    is shuffled once; the first row of each range is also sent to the range before. An id
+    (or null) that fills several ranges has one of its own, parted by ranges of the hash.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     bins = min(65_536, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cut = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / bins) for i in range(1, bins)]) if bins > 1 else F.array(F.lit(0.5)), F.lit(20_000)).alias("q")).first()["q"]
-    cut = np.unique(np.array(cut or [], np.int64))
-
-    @F.pandas_udf("int")
-    def bin_of(ids):
-        # descending: the largest ids in bin 0, null ids in the last
-        out = len(cut) - np.searchsorted(cut, ids.fillna(0).to_numpy(np.int64), "left")
-        return pd.Series(np.where(ids.isna(), len(cut) + 1, out).astype(np.int32))
-
-    tops = {r["bin"]: r["top"] for r in rows.select(bin_of("doc_id").alias("bin"), "doc_id").groupBy("bin").agg(F.max("doc_id").alias("top")).collect()}  # a row for each bin
-    filled = sorted(tops)
-    before = {b: filled[i - 1] for i, b in enumerate(filled)}  # the first bin's goes to the last
-    shared = spark.sparkContext.broadcast(rank)
-    if not filled:
+    cut = rows.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / bins) for i in range(1, bins)]) if bins > 1 else F.array(F.lit(0.5)), F.lit(20_000)).alias("q")).first()["q"] or []
+    full = {x for x, y in zip(cut, cut[1:], strict=False) if x == y}
+    cut = sorted({*cut, *(x - 1 for x in full)})  # ``bins`` and as many again, at most
+    binned = rows.withColumn("range", _range(F.col("doc_id"), cut))
+    sizes = binned.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").eqNullSafe(F.max("doc_id")).alias("one")).collect()  # a row for each range
+    if not sizes:
         return spark.createDataFrame([], FIELDS)
-    borders = F.broadcast(spark.createDataFrame([(b, tops[b], before[b]) for b in filled], "bin int, top long, guest_of int"))  # at most ``bins`` rows
+    most = 2 * -(-sum(r["n"] for r in sizes) // bins)
+    parts = {r["range"]: -(-r["n"] // most) for r in sizes if r["one"] and r["n"] > most}
+    part = F.lit(0)
+    for r, n in parts.items():  # fewer than ``bins`` ids are that frequent
+        part = F.when(F.col("range") == r, F.least(F.lit(n - 1), F.floor((F.col("h") / 2.0**64 + 0.5) * n)).cast("int")).otherwise(part)
+    binned = binned.withColumn("part", part)
+    first = F.max(F.struct("doc_id", F.bitwise_not("h").alias("o")))  # of a range: the largest id, then the least hash; null is least
+    tops = sorted(((r["range"], r["part"], r["t"]["doc_id"], ~r["t"]["o"]) for r in binned.groupBy("range", "part").agg(first.alias("t")).collect()), key=lambda t: t[:2])
+    shared = spark.sparkContext.broadcast(rank)
+    # a range's bin is its place; the first bin's top is the last one's guest
+    borders = F.broadcast(spark.createDataFrame([(r, p, i, top, h, (i - 1) % len(tops)) for i, (r, p, top, h) in enumerate(tops)], "range int, part int, bin int, top long, top_h long, guest_of int"))
     own, guest = F.struct(F.col("bin"), F.lit(False).alias("guest")), F.struct(F.col("guest_of").alias("bin"), F.lit(True).alias("guest"))
-    binned = rows.withColumn("bin", bin_of("doc_id")).join(borders, "bin")
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, guest)).otherwise(F.array(own))
-    dealt = binned.withColumn("x", F.explode(copies)).select(F.col("x.bin").alias("bin"), F.col("x.guest").alias("guest"), "doc_id", "text", F.xxhash64("text").alias("h"))
+    placed = binned.join(borders, ["range", "part"])
+    copies = F.when(F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("h") == F.col("top_h")), F.array(own, guest)).otherwise(F.array(own))
+    dealt = placed.withColumn("x", F.explode(copies)).select(F.col("x.bin").alias("bin"), F.col("x.guest").alias("guest"), "doc_id", "text", "h")
     dealt = dealt.repartition("bin").sortWithinPartitions("bin", "guest", F.desc_nulls_last("doc_id"), "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,8 +271,8 @@ def neighbours(docs: DataFrame, rank: np.ndarray, *, text: str = "text", id: str
                         pa.array([a[2] for a, _ in pairs], pa.int64()),
                         pa.array([len(a[3]) for a, _ in pairs], pa.int64()),
                         pa.array([hashlib.sha256(t).hexdigest() for t in new]),
-                        pa.array([a[4] for a, _ in pairs], pa.binary()),
-                        pa.array(new_prints, pa.binary()),
+                        pa.array([encoded(a[4]) for a, _ in pairs]),
+                        pa.array([encoded(p) for p in new_prints]),
                         pa.array([likeness(a[4], p) for (a, _), p in zip(pairs, new_prints, strict=True)], pa.float64()),
                         pa.array([likeness(a[4], b[4]) for a, b in pairs], pa.float64()),
                     ],

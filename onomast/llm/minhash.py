@@ -22,10 +22,15 @@ bands of 5 minima a pair at the threshold itself is missed with probability 3e-6
 signature has as many minima again, and is passed down to 0.08 below the threshold, four
 standard deviations.
 
+Copies and stars of many are no hot spots: a band of more than ``CHUNK`` texts, and a star of
+more than ``MEMBERS``, are parted by a salt. Only what reads as a broadcast is one whose
+counted size allows it.
+
 Null or empty texts (no words) have no set and are linked with nothing; each is its own
 component. Rows with a null id are dropped. Rows with one id are one document: it has
 the sets of all of them, and a row is returned for each. Ties do not occur: ids decide.
-An empty table gives an empty result.
+Very long texts are read whole. Only id and text are read: other columns are not returned
+and may be called anything. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,12 +45,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onomast.llm._common import cuts, materialise, maybe_broadcast, mix64, utf8
+from onomast.llm._common import cuts, forget, materialise, maybe_broadcast, mix64, utf8
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 48, 5
 HASHES = 2 * BANDS * ROWS
 SLACK = 0.08
-CHUNK = 2048
+CHUNK, MEMBERS = 2048, 256
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -161,33 +166,44 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (a, salt, whether a member): the star's set is held while its members pass."""
+    stars: tuple | None = None
+    held: list[np.ndarray] = []
     for batch in batches:
-        known: dict[str, np.ndarray] = {}
-        size, distance = 0, []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            pair = []
-            for value in (x, y):
-                text = value.as_py() or ""
-                if text not in known:
-                    if size > 8 << 20:
-                        known, size = {}, 0
-                    raw = np.frombuffer(text.encode(), np.uint8)
-                    known[text] = sets(raw, np.array([0, len(raw)]))[0]
-                    size += len(raw)
-                pair.append(known[text])
-            both = len(np.intersect1d(*pair, assume_unique=True))
-            either = len(pair[0]) + len(pair[1]) - both
-            distance.append((both, either))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array([d[0] for d in distance], pa.int64()), pa.array([d[1] for d in distance], pa.int64())], ["a", "b", "both", "either"])
+        data, offsets = utf8(batch.column(4))
+        for lo, hi in cuts(offsets, 1 << 20):
+            part = batch.slice(lo, hi - lo)
+            a, salt, member, b = (part.column(i).to_pylist() for i in range(4))
+            out = []
+            for i, s in enumerate(sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])):
+                if not member[i]:
+                    if (a[i], salt[i]) != stars:
+                        stars, held = (a[i], salt[i]), []
+                    held.append(s)
+                elif (a[i], salt[i]) == stars:
+                    for star in held:  # one, unless its id has several rows
+                        both = len(np.intersect1d(star, s, assume_unique=True))
+                        out.append((a[i], b[i], both, len(star) + len(s) - both))
+            yield pa.record_batch([pa.array([x[j] for x in out], pa.int64()) for j in range(4)], ["a", "b", "both", "either"])
 
 
 def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """``a, b, linked, lo`` for pairs of ids: exact similarity of the whole texts (``doc_id, text``)."""
-    ids = materialise(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    """``a, b, linked, lo`` for pairs of ids: exact similarity of the whole texts (``doc_id, text``).
+
+    Each member's text goes to its star once, a star's once for ``MEMBERS`` members: stars of
+    many are parted by a salt, so none is one task's.
+    """
+    pairs = pairs.select("a", "b").distinct()
+    pairs = materialise(pairs)
+    stars = materialise(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("salts")))
+    ids = materialise(stars.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct())
     wanted = docs.join(maybe_broadcast(ids, 16), "doc_id", "left_semi")
-    left = pairs.select("a", "b").join(wanted.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(wanted.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    counted = both.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long, both long, either long")
+    many = stars.filter("salts > 1")
+    dealt = pairs.join(maybe_broadcast(many, 16), "a", "left").select("a", F.when(F.col("salts") > 1, F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).otherwise(0).alias("salt"), F.col("b").alias("doc_id"))
+    members = wanted.join(dealt, "doc_id").select("a", "salt", F.lit(True).alias("member"), F.col("doc_id").alias("b"), "text")
+    heads = wanted.join(stars.withColumnRenamed("a", "doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.lit(0).cast("long").alias("b"), "text")
+    rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
+    counted = rows.mapInArrow(_verify, "a long, b long, both long, either long")
     return counted.select("a", "b", (F.col("both") * 100 >= F.col("either") * percent).alias("linked"), (1 - F.col("both") / F.greatest("either", F.lit(1))).alias("lo"))
 
 
@@ -261,7 +277,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u != v").distinct())
     state = None
     while True:
-        edges = materialise(star(star(edges, True), False))
+        old, edges = edges, materialise(star(star(edges, True), False))
+        forget(old)
         now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state or not now[0]:
             break
@@ -278,8 +295,11 @@ def cluster(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent:
     reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
     reps = materialise(reps.select(F.col("doc_id").alias("rep"), "n", "bands", "sig"))
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    stars = keyed.groupBy("key").agg(F.min("rep").alias("star"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "star")
-    members = materialise(keyed.join(stars, "key").filter("rep != star"))
+    stars = materialise(keyed.groupBy("key").agg(F.min("rep").alias("star"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("key", "star", F.ceil(F.col("m") / CHUNK).cast("int").alias("parts")))
+    hot = stars.filter("parts > 1").select("key", F.col("parts").alias("salts"))
+    salted = keyed.join(maybe_broadcast(hot, 16), "key", "left").withColumn("salt", F.pmod(F.xxhash64("rep"), F.coalesce("salts", F.lit(1))).cast("int"))
+    spread = stars.select("key", "star", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    members = materialise(salted.join(spread, ["key", "salt"]).filter("rep != star").select("key", "rep", "star"))
     low = percent / 100 - SLACK
     pairs = members.select(F.col("star").alias("a"), F.col("rep").alias("b")).distinct()
 
@@ -301,14 +321,18 @@ def cluster(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent:
     far = known.unionByName(about).withColumnsRenamed({"a": "star", "b": "rep"})
     open_ = members.join(far, ["star", "rep"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("lo", F.coalesce("lo", F.lit(gap)))
     open_ = open_.join(found.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep", "left").withColumn("comp", F.coalesce("c", "rep")).drop("c")
+    open_ = materialise(open_)
     by = open_.groupBy("key").agg(F.min(F.when(~F.col("linked"), F.col("lo"))).alias("least"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("least is not null and c0 != c1")
-    kept = open_.join(by.select("key", "least"), "key").filter(~F.col("linked") | (F.col("lo") >= F.col("least") - gap - 1e-9))
+    by = materialise(by.select("key", "least"))
+    kept = open_.join(maybe_broadcast(by, 16), "key").filter(~F.col("linked") | (F.col("lo") >= F.col("least") - gap - 1e-9))
     kept = materialise(kept.select("key", "rep", "comp", (~F.col("linked")).alias("free")))
     sizes = kept.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("m > 1 and c0 != c1").select("key", F.ceil(F.col("m") / CHUNK).cast("int").alias("blocks"))
-    dealt = kept.join(sizes, "key").join(reps.select("rep", "n", "sig", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    sizes = materialise(sizes)
+    dealt = kept.join(maybe_broadcast(sizes, 16), "key").join(reps.select("rep", "n", "sig", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "rep", "comp", "free", "n", "sig", "bands")
     more = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(_pairs(low), "a long, b long").distinct()
     more = materialise(more.join(exact.select("a", "b"), ["a", "b"], "left_anti"))
+    forget(stars, members, guessed, open_, by, kept, sizes)
     if not more.isEmpty():
         second = materialise(verify(more, docs, percent).filter("linked").select("a", "b").distinct())
         if not second.isEmpty():

@@ -11,8 +11,10 @@ that key within them: a global shuffle that depends on keys and seed alone.
 
 Everything is DataFrame functions. A null source is a source of its own; a source
 without a weight gets ``default``; weights need not add up to 1, none may be negative,
-and if all weights are 0 nothing remains. Null keys hash as empty text and rows with
-equal keys are repeated alike. An empty table gives an empty mixture.
+and if all weights are 0 nothing remains. Null keys hash as empty text; rows with equal keys
+are repeated alike and dealt by all their columns. Texts are carried whole, other columns
+as they are but for ``replica`` and ``mix_key``, which are replaced. An empty table gives an
+empty mixture.
 """
 
 from __future__ import annotations
@@ -71,4 +73,6 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, *, source:
     )
     copies = joined.select(*names, drawn.alias("replica")).filter("replica > 0").withColumn("replica", F.explode(F.sequence(F.lit(0), F.col("replica") - 1)))
     keyed = copies.withColumn("mix_key", hash53(F.lit(seed), F.lit("order"), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), F.col("replica").cast("string")))
-    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
+    # rows with one key (or none) have one place in the order, but need not share a partition
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.repartition("mix_key", row).sortWithinPartitions("mix_key")

@@ -12,10 +12,12 @@ longer than ``limit``: the first piece takes the remainder, all others are full.
 3. The pieces of sequences with gaps, of all groups, are exchanged: dealt into fewer
    groups and packed again. A new packing replaces the old one only where it uses fewer
    sequences. This ends when the whole packing meets the bound of the whole histogram,
-   or two exchanges in a row gain nothing.
+   or two exchanges in a row gain nothing. ``excess`` then says for each piece how many
+   sequences its group has above its bound: 0 is certified, the rest is not.
 
 Null text: an empty document (its piece is the ``eos`` alone). Equal rows are separate
-pieces. Lengths below 1 or above ``limit`` in ``pack`` raise an error. An empty table
+pieces, ties of length are packed in any order, ids may be null. Very long texts are encoded
+whole. Lengths below 1 or above ``limit`` in ``pack`` raise an error. An empty table
 gives an empty result. Other columns are carried unless they clash with new ones.
 """
 
@@ -132,8 +134,8 @@ def _deal(df: DataFrame, groups: int, seed: int) -> DataFrame:
 
 
 def pack(parts: DataFrame, *, limit: int = LIMIT, group_rows: int = 65_536, exchanges: int = 8) -> DataFrame:
-    """Add ``sequence_id`` and ``offset``. Carry ids only if you need them; they are not needed here."""
-    clash = [c for c in parts.columns if c.lower() in ("sequence_id", "offset")]
+    """Add ``sequence_id``, ``offset`` and ``excess``. Carry ids only if you need them; they are not needed here."""
+    clash = [c for c in parts.columns if c.lower() in ("sequence_id", "offset", "excess")]
     parts = parts.drop(*clash)
     names = parts.columns
     # a number for each row, fixed by the written table: equal rows stay apart
@@ -173,9 +175,9 @@ def pack(parts: DataFrame, *, limit: int = LIMIT, group_rows: int = 65_536, exch
             break  # what is left is certified as a whole
     for part in final:
         done = done.unionByName(part)
-    whole = table.filter(F.col("length") == limit).select("row", F.lit(0).cast("long").alias("offset"), (F.lit(1 << 62) + F.col("row")).alias("sequence_id"))
-    placed = done.select("row", "offset", "sequence_id").unionByName(whole)
-    return table.drop("length").join(placed, "row").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "sequence_id", "offset")
+    whole = table.filter(F.col("length") == limit).select("row", F.lit(0).cast("long").alias("offset"), (F.lit(1 << 62) + F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("excess"))
+    placed = done.select("row", "offset", "sequence_id", F.greatest(F.lit(0), F.col("bins") - F.col("bound")).alias("excess")).unionByName(whole)
+    return table.drop("length").join(placed, "row").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "sequence_id", "offset", "excess")
 
 
 def _bins(df: DataFrame) -> int:

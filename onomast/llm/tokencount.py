@@ -7,8 +7,9 @@ is cut at L (sum of min(length, L)), and quantiles (the length at which the runn
 count reaches a share). The suffix sums run in two levels, within blocks of lengths and
 over block totals, so no task reads the whole histogram however many lengths there are.
 
-Null and empty texts have length 0. Rows are counted as they come, repeats included.
-An empty table gives an empty histogram.
+Null and empty texts have length 0. Rows are counted as they come, repeats and ties included;
+very long texts are encoded whole. Only the text is read, so other columns may be called
+anything and hold nulls. An empty table gives an empty histogram.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from onomast.llm import tokens
-from onomast.llm._common import cuts, utf8
+from onomast.llm._common import cuts, materialise, utf8
 
 BLOCK = 1024
 
@@ -39,7 +40,8 @@ def lengths(docs: DataFrame, path: str, *, text: str = "text") -> DataFrame:
 
 def histogram(lengths: DataFrame) -> DataFrame:
     """``n_tokens``, ``n_docs`` and the suffix sums, by length."""
-    by = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
+    # written, as it is read twice: a row for each length, and no text is encoded again
+    by = materialise(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)))
     totals = by.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # a row per 1024 lengths
     above = totals.select("block", F.coalesce(F.sum("d").over(after), F.lit(0)).alias("d_above"), F.coalesce(F.sum("t").over(after), F.lit(0)).alias("t_above"), F.sum("d").over(Window.partitionBy(F.lit(0))).alias("docs"), F.sum("t").over(Window.partitionBy(F.lit(0))).alias("tokens"))

@@ -40,6 +40,16 @@ def _encoders(path: str):
     return [tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("exact", PATTERN), ("plain", PLAIN))]
 
 
+@functools.lru_cache(maxsize=2)
+def byte_lengths(path: str) -> np.ndarray:
+    """How many bytes each id stands for."""
+    exact, _ = _encoders(path)
+    out = np.zeros(exact.n_vocab, np.int64)
+    for word, i in exact._mergeable_ranks.items():
+        out[i] = len(word)
+    return out
+
+
 def encode(path: str, texts: list[str | None]) -> list[list[int]]:
     exact, plain = _encoders(path)
     run, quick, full = _RUN.search, plain._core_bpe.encode_ordinary, exact.encode_ordinary

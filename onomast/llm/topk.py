@@ -17,9 +17,12 @@ the top k, so the result is exact.
 
 Every row is indexed. Queries are scanned in groups of bounded size (``group``), each
 broadcast as such, against all blocks. Vectors that are null or hold null or non-finite
-components, or whose dimension differs from the commonest, take no part. Rows that
-share a query's id are its own and are not candidates. A row with a null id takes no
-part. Empty tables give empty results.
+components take no part, nor do rows with a null id. An inner product needs two vectors
+of one length, so each length is searched by itself; empty vectors score 0 with one another.
+Rows that share a query's id are its own and are not candidates; an id with several vectors
+asks with the least of them. Components and scores beyond 64 bits are held at the nearest
+number of 64 bits, before ranking. Only id and vector are read, so other columns may be
+called anything. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -84,6 +87,10 @@ class Block:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, drop: int = DROP):
         self.ids, self.v, self.drop = ids, v, drop
+        self.valid = np.empty(-(-len(ids) // 64), np.uint64)
+        self.large = bool(v.size) and float(np.abs(v.astype(np.float64)).max()) >= 2.0**61
+        if self.large or not v.shape[1]:
+            return  # scored without slices
         self.low = int(v.min()) if v.size else 0
         high = (v - self.low) >> drop  # quantised, from 0
         self.bits = max(1, int(high.max()).bit_length()) if v.size else 1
@@ -124,8 +131,16 @@ class Block:
         bound = np.sqrt((r.astype(np.float64) ** 2).sum(1)) * self.norm + np.sqrt(((p << q_drop).astype(np.float64) ** 2).sum(1)) * self.rest_norm
         return sums, bound
 
+    def _all(self, q_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every row, by integers of any size, held within 64 bits: for numbers too large for slices."""
+        whole = q.astype(object) @ self.v.astype(object).T if q.shape[1] else np.zeros((len(q), len(self.ids)), object)
+        which, row = np.nonzero(q_ids[:, None] != self.ids[None, :])
+        return which, row, np.array([min(max(int(x), -(1 << 63)), (1 << 63) - 1) for x in whole[which, row]], np.int64)
+
     def top(self, q_ids: np.ndarray, q: np.ndarray, k: int = K, q_drop: int = DROP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query position, row, exact score) of every row that can be among a query's k best here."""
+        if not self.v.shape[1] or self.large or _huge(q, self.v):
+            return self._all(q_ids, q)
         sums, bound = self.approximate(q, q_drop)
         n = len(q)
         own = np.zeros((n, len(self.valid)), np.uint64)
@@ -161,6 +176,16 @@ class Block:
         return which, row, score
 
 
+def _stack(vectors: pd.Series, length: int) -> np.ndarray:
+    return np.array(vectors.to_list(), np.int64).reshape(-1, length) if length else np.empty((len(vectors), 0), np.int64)
+
+
+def _huge(q: np.ndarray, v: np.ndarray) -> bool:
+    """Whether products may leave 62 bits."""
+    most = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+    return most(q) * most(v) * max(1, q.shape[1]) >= 2.0**62 or max(most(q), most(v)) >= 2.0**61
+
+
 def _best(which: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Positions of each query's k best, ties to the smaller id."""
     order = np.lexsort((ids, -score, which))
@@ -172,11 +197,7 @@ def _best(which: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.n
 def search(index: DataFrame, queries: DataFrame, *, k: int = K, group: int = GROUP) -> DataFrame:
     """``query_id, rank, vec_id, score`` from tables of ``vec_id`` and integer vectors ``v``."""
     spark = index.sparkSession
-    sizes = index.select(F.size("v").alias("d")).groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes or not sizes[0]["d"]:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims = sizes[0]["d"]
-    index, queries = index.filter(F.size("v") == dims), queries.filter(F.size("v") == dims).dropDuplicates(["vec_id"])
+    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = queries.count()
     groups = max(1, -(-asked // group))
     found = None
@@ -184,31 +205,36 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = K, group: int = GRO
         part = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(groups)) == g).toPandas().sort_values("vec_id")  # about ``group`` rows
         if not len(part):
             continue
-        shared = spark.sparkContext.broadcast((part["vec_id"].to_numpy(np.int64), np.stack(part["v"].to_list()).astype(np.int64)))
+        asked_by = {d: (rows["vec_id"].to_numpy(np.int64), _stack(rows["v"], d)) for d, rows in part.groupby(part["v"].map(len))}
+        shared = spark.sparkContext.broadcast(asked_by)
 
         def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            q_ids, q = shared.value
-            kept = np.empty((0, 3), np.int64)
-            held: list[pd.DataFrame] = []
-
-            def fold(kept: np.ndarray, held: list[pd.DataFrame]) -> np.ndarray:
-                rows = pd.concat(held)
-                block = Block(rows["vec_id"].to_numpy(np.int64), np.stack(rows["v"].to_list()).astype(np.int64))
+            best = {d: np.empty((0, 3), np.int64) for d in shared.value}
+            held: dict[int, list[pd.DataFrame]] = {d: [] for d in best}
+
+            def fold(d: int) -> None:
+                q_ids, q = shared.value[d]
+                rows = pd.concat(held[d])
+                held[d] = []
+                block = Block(rows["vec_id"].to_numpy(np.int64), _stack(rows["v"], d))
                 step = max(1, (1 << 17) // (8 * max(1, len(block.valid))))
                 for lo in range(0, len(q), step):
                     which, row, score = block.top(q_ids[lo : lo + step], q[lo : lo + step], k)
                     mine = _best(which, block.ids[row], score, k)
-                    kept = np.concatenate([kept, np.stack([which[mine] + lo, block.ids[row[mine]], score[mine]], 1)])
-                return kept[_best(kept[:, 0], kept[:, 1], kept[:, 2], k)]
+                    best[d] = np.concatenate([best[d], np.stack([which[mine] + lo, block.ids[row[mine]], score[mine]], 1)])
+                best[d] = best[d][_best(*best[d].T, k)]
 
             for frame in frames:
-                for lo in range(0, len(frame), BLOCK):
-                    held.append(frame.iloc[lo : lo + BLOCK])
-                    if sum(map(len, held)) >= BLOCK:
-                        kept, held = fold(kept, held), []
-            if held:
-                kept = fold(kept, held)
-            yield pd.DataFrame({"query_id": q_ids[kept[:, 0]], "vec_id": kept[:, 1], "score": kept[:, 2]})
+                for d, rows in frame.groupby(frame["v"].map(len)):
+                    for lo in range(0, len(rows) if d in best else 0, BLOCK):
+                        held[d].append(rows.iloc[lo : lo + BLOCK])
+                        if sum(map(len, held[d])) >= BLOCK:
+                            fold(d)
+            for d in best:
+                if held[d]:
+                    fold(d)
+                kept = best[d]
+                yield pd.DataFrame({"query_id": shared.value[d][0][kept[:, 0]], "vec_id": kept[:, 1], "score": kept[:, 2]})
 
         best = index.mapInPandas(run, "query_id long, vec_id long, score long")
         found = best if found is None else found.unionByName(best)

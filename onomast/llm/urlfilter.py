@@ -13,7 +13,9 @@ wins, ties to the later in the list. URLs that no rule fits get the list's verdi
 Host: what stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: from there up to ``?``, ``#`` or the end. A null URL, or one without
 ``://``, has an empty host and path, fits no rule and is allowed. Repeated URLs are
-judged alike, empty tables give empty results, an empty list blocks nothing.
+judged alike, empty tables give empty results, an empty list blocks nothing. Other columns
+are carried as they are; those called like a result are replaced. Up to ``MAX_RULES`` rules
+are one CASE expression; more are a table that pages are joined with.
 """
 
 from __future__ import annotations
@@ -23,12 +25,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from onomast.llm._common import maybe_broadcast, without
+from onomast.llm._common import materialise, maybe_broadcast, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS, BITS_PER_URL = 8, 16
-#: Rules become one CASE expression; more belong in a table of their own.
-MAX_RULES = 1000
+MAX_RULES = 200
 
 
 def host(url: Column) -> Column:
@@ -51,8 +52,6 @@ def canonical(url: Column) -> Column:
 
 def rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """The longest fitting rule, as text, and its verdict; null if none fits."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
     name = verdict = F.lit(None).cast("string")
     for at, prefix, says in sorted(rules, key=lambda r: len(r[0]) + len(r[1])):
         fits = ((host_ == at) | host_.endswith("." + at)) & path_.startswith(prefix)
@@ -61,6 +60,26 @@ def rule(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]) ->
     return name, verdict
 
 
+def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFrame:
+    """Add ``onomast rule`` and ``onomast verdict`` by a join, for any number of rules.
+
+    A page's candidates are its host's suffixes with its path's beginnings of the lengths that
+    rules have: an equi-join. It runs on distinct (host, path), of which a salt deals repeats.
+    """
+    spark = pages.sparkSession
+    table = spark.createDataFrame([(h, p, v, len(h) + len(p), i) for i, (h, p, v) in enumerate(rules)], "rh string, rp string, verdict string, size int, at int")
+    lengths = sorted({len(p) for _, p, _ in rules})
+    h, p = F.col("`onomast host`"), F.col("`onomast path`")
+    parts = F.split(h, r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    starts = F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(p)), lambda n: F.substring(p, F.lit(1), n))
+    asked = materialise(pages.select(h, p).distinct())
+    keys = asked.withColumn("rh", F.explode(suffixes)).withColumn("rp", F.explode(starts))
+    best = keys.join(table, ["rh", "rp"]).groupBy(h, p).agg(F.max_by(F.struct(F.concat("rh", "rp").alias("name"), "verdict"), F.struct("size", "at")).alias("r"))
+    best = materialise(best.select(h, p, F.col("r.name").alias("onomast rule"), F.col("r.verdict").alias("onomast verdict")))
+    return pages.join(maybe_broadcast(best, 256), ["onomast host", "onomast path"], "left")
+
+
 def _bits(url: Column, blocks: int) -> tuple[Column, list[Column]]:
     h = F.xxhash64(url)
     g = F.xxhash64(url, F.lit(1))
@@ -78,28 +97,31 @@ def judge(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, s
 
     ``listed``: one column of canonical URLs (nulls and repeats are passed over).
     """
-    exact = listed.toDF("canon").filter("canon is not null and canon != ''").distinct()
+    exact = materialise(listed.toDF("canon").filter("canon is not null and canon != ''").distinct())
     n = exact.count()
     blocks = max(1, -(-n * BITS_PER_URL // 512))
     pages = without(pages, "host", "path", "rule", "verdict", "listed")
     names = [F.col(f"`{c}`") for c in pages.columns]
     u = F.col(f"`{url}`")
-    h, p = host(u), path(u)
-    says, verdict = rule(F.col("`onomast host`"), F.col("`onomast path`"), rules)
-    parsed = pages.select(*names, h.alias("onomast host"), p.alias("onomast path"))
+    parsed = pages.select(*names, host(u).alias("onomast host"), path(u).alias("onomast path"))
+    if len(rules) > MAX_RULES:
+        parsed = ruled(parsed, rules)
+    else:
+        says, verdict = rule(F.col("`onomast host`"), F.col("`onomast path`"), rules)
+        parsed = parsed.withColumns({"onomast rule": says, "onomast verdict": verdict})
     block, words = _bits(F.col("`onomast canon`"), blocks)
-    asked = parsed.select("*", says.alias("onomast rule"), verdict.alias("onomast verdict"), canonical(u).alias("onomast canon"))
-    asked = asked.withColumn("onomast block", block)
+    asked = parsed.withColumn("onomast canon", canonical(u)).withColumn("onomast block", block)
     small = maybe_broadcast(bloom(exact, blocks), 72, min(blocks, n)).alias("b")
     tested = asked.alias("a").join(small, F.col("a.`onomast block`") == F.col("b.block"), "left")
     passes = F.lit(True)
     for i, w in enumerate(words):
         passes = passes & (F.col(f"b.w{i}").bitwiseAND(w) != 0)
     tested = tested.select("a.*", F.coalesce(F.col("`onomast verdict`").isNull() & (F.col("`onomast canon`") != "") & passes, F.lit(False)).alias("onomast maybe"))
-    misses = tested.filter(~F.col("`onomast maybe`")).withColumn("onomast hit", F.lit(False))
-    hits = tested.filter(F.col("`onomast maybe`")).join(exact.select(F.col("canon").alias("onomast canon"), F.lit(True).alias("onomast found")), "onomast canon", "left")
-    hits = hits.withColumn("onomast hit", F.coalesce(F.col("`onomast found`"), F.lit(False))).drop("onomast found")
-    out = misses.unionByName(hits)
+    # only possible hits can meet the list; the others get keys of their own, so that they are dealt evenly
+    key = F.when(F.col("`onomast maybe`"), F.col("`onomast canon`")).otherwise(F.xxhash64(*names).cast("string"))
+    met = exact.select(F.col("canon").alias("onomast key"), F.lit(True).alias("onomast possible"), F.lit(True).alias("onomast hit"))
+    keyed = tested.withColumn("onomast key", key).withColumnRenamed("onomast maybe", "onomast possible")
+    out = keyed.join(maybe_broadcast(met, 160, n), ["onomast key", "onomast possible"], "left").withColumn("onomast hit", F.coalesce(F.col("`onomast hit`"), F.lit(False)))
     return out.select(
         *names,
         F.col("`onomast host`").alias("host"),
