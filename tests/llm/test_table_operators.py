@@ -107,6 +107,31 @@ def test_topk_against_brute_force(spark):
     assert topk.search(none, none).count() == 0
 
 
+def test_topk_of_odd_tables(spark):
+    """Lengths apart, empty vectors, one id with several vectors, numbers beyond 64 bits; no case depends on the order of rows."""
+    rows = [(0, []), (100, []), (3, []), (200, [0.5]), (4, [1.0]), (5, [2.0]), (300, [1.0, 0.0]), (300, [-1.0, 0.0]), (300, [3.0, 1.0]), (6, [2.0, 0.0]), (7, [2.0, 0.0]), (7, [4.0, 0.0])]
+    rows += [(400, [1e16, 1e16, 1.0]), (8, [1e16, 1e16, 0.0]), (9, [-1e300, 1.0, 0.0]), (10, [1.0, 1.0, 1.0])]
+    for seed in range(2):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3 + seed)
+        index = topk.integers(df)
+        got: dict = {}
+        for r in topk.search(index, index.filter("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        most, k = 2**63 - 1, 1024 * 1024
+        assert got[0] == [(3, 0), (100, 0)] and got[100] == [(0, 0), (3, 0)] and got[200] == [(5, k), (4, k // 2)]
+        assert got[300] == [(6, -2 * k), (7, -2 * k), (7, -4 * k)]
+        assert got[400] == [(8, most), (10, most), (9, -most - 1)]
+
+
+def test_many_rules_are_joined(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url").unionByName(spark.createDataFrame([(-1, None), (-2, "x"), (-3, "http://example.com")], "page_id long, url string"))
+    rules = [*queries.RULES, ("example.com", "", "allow"), ("com", "/en/", "allow")]
+    listed = pages.filter("page_id % 3 = 0").select(urlfilter.canonical(F.col("url")))
+    few = urlfilter.judge(pages, listed, rules)
+    many = urlfilter.judge(pages, listed, rules + [(f"h{i}.test", f"/{i}", "block") for i in range(urlfilter.MAX_RULES)])
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.select(few.columns).collect()))
+
+
 def shingles(text):
     words = re.findall("[^\x20\x09-\x0d]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)} if words else set()

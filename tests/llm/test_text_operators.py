@@ -1,7 +1,12 @@
 """Language ID, token counts, chat formatting, fingerprints and HTML against plain Python."""
 
+import base64
+import functools
 import hashlib
 import random
+import time
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -60,6 +65,71 @@ def test_langid_held_out(spark):
     assert len(held) > 100 and (held.lang == held.lang_pred).mean() > 0.97
 
 
+def ppm(train, order):
+    """Probability of a byte after a context, by language, straight from the definition."""
+    counts: dict[tuple, dict[int, int]] = {}
+    for lang, texts in train.items():
+        for text in texts:
+            for i, byte in enumerate(text):
+                for k in range(min(i, order) + 1):
+                    followers = counts.setdefault((lang, text[i - k : i]), {})
+                    followers[byte] = followers.get(byte, 0) + 1
+
+    @functools.cache
+    def left(lang, context):
+        """What the bytes not seen here have in the shorter context, all together."""
+        return sum(p(lang, context[1:], b) if context else 1 / 256 for b in range(256) if b not in counts[lang, context])
+
+    @functools.cache
+    def p(lang, context, byte):
+        seen = counts.get((lang, context))
+        below = p(lang, context[1:], byte) if context else 1 / 256
+        if not seen:
+            return below
+        total, distinct = sum(seen.values()), len(seen)
+        if byte in seen:
+            return seen[byte] / (total + (distinct if left(lang, context) > 0 else 0))
+        return distinct / (total + distinct) * below / left(lang, context)
+
+    return p
+
+
+def test_langid_query_against_brute_force(spark, sf):
+    """The registered query on all short texts: code lengths straight from the definition."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op6_langid(spark, sf).collect()}
+    train: dict[str, list[bytes]] = {}
+    rows = docs.collect()
+    sizes: dict[str, int] = {}
+    learn = [r for r in rows if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    for r in learn:
+        sizes[r["lang"]] = sizes.get(r["lang"], 0) + 1
+    for r in learn:
+        if int(hashlib.md5(f"langid|{r['doc_id']}".encode()).hexdigest()[:13], 16) < (1 << 52) * min(1.0, 400 / sizes[r["lang"]]):
+            train.setdefault(r["lang"], []).append(r["text"].encode())
+    p, langs = ppm(train, 3), sorted(train)
+    checked = 0
+    for r in rows:
+        text = (r["text"] or "").encode()
+        assert got[r["doc_id"]]["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und" and got[r["doc_id"]]["score"] == 0
+        elif len(text) < 300:
+            bits = [-sum(np.log2(p(lang, text[max(0, i - 3) : i], text[i])) for i in range(len(text))) for lang in langs]
+            checked += 1
+            assert got[r["doc_id"]]["lang_pred"] == langs[int(np.argmin(bits))]
+            assert got[r["doc_id"]]["score"] == pytest.approx(1 / sum(2 ** -(b - min(bits)) for b in bits), abs=0.05)
+    assert checked > 5 and len(got) == len(rows)
+
+
+def test_language_groups_do_not_matter(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, many = (langid.train(docs, most_bytes=n) for n in (1 << 30, 1))
+    assert len(one.groups) == 1 and len(many.groups) == len(one.langs) > 1
+    result = lambda m: {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.identify(docs, m, keep=["doc_id"]).collect()}
+    assert result(one) == result(many)
+
+
 def test_code_lengths_by_hand():
     """The automaton's sums against a direct evaluation of the tree."""
     train = {"x": b"abracadabra", "y": b"banana bandana"}
@@ -70,31 +140,8 @@ def test_code_lengths_by_hand():
         for i in range(order, len(line)):
             code = sum(line[i - b] * langid.BASE**b for b in range(order + 1))
             grams[lang, code] = grams.get((lang, code), 0) + 1
-    model = langid.build([(lang, code, n) for (lang, code), n in grams.items()], order, 10_000)
-    kept = {}
-    for k in (2,):  # contexts of two bytes seen once are pruned
-        for text in train.values():
-            for i in range(len(text) - k):
-                kept[text[i : i + k]] = kept.get(text[i : i + k], 0) + 1
-
-    def follow(lang, context):
-        out: dict[int, int] = {}
-        for i in range(len(context), len(train[lang])):
-            if train[lang][i - len(context) : i] == context:
-                out[train[lang][i]] = out.get(train[lang][i], 0) + 1
-        return out
-
-    def p(lang, context, byte):
-        below = (lambda b: 1 / 256) if not context else (lambda b: p(lang, context[1:], b))
-        seen = follow(lang, context)
-        if (context and len(context) == 2 and kept.get(context, 0) < 2) or not seen:
-            return below(byte)
-        total, distinct = sum(seen.values()), len(seen)
-        if byte in seen:
-            return seen[byte] / (total + distinct)
-        rest = sum(below(b) for b in range(256) if b not in seen)
-        return distinct / (total + distinct) * below(byte) / rest
-
+    model = langid.build(np.array([k[0] for k in grams], object), np.array([k[1] for k in grams]), np.array(list(grams.values()), float), order)
+    p = ppm({lang: [text] for lang, text in train.items()}, order)
     for text in (b"abra", b"bandana!", b"\xff", b"zzz banana"):
         got = langid.code_lengths(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0] / langid.FIXED
         for j, lang in enumerate(model.langs):
@@ -154,10 +201,13 @@ def test_chat_query(spark, sf):
 
 def test_language_model_holds_every_language(spark):
     rows = [(i, f"common words and more of them {i}", "en", "s", 0) for i in range(40)] + [(100, "zq xj", "rare", "s", 0)]
-    model = langid.train(spark.createDataFrame(rows, DOCS), max_grams=20)
+    model = langid.train(spark.createDataFrame(rows, DOCS))
     assert model.langs == ("en", "rare")
     some = spark.range(1300).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id % 1200) AS lang")
     assert len(langid.train(some).langs) == 1200
+    # what was seen once counts too
+    once = spark.createDataFrame([(1, "qqq", "a"), (2, "zzz", "b")], "doc_id long, text string, lang string")
+    assert [r["lang_pred"] for r in langid.identify(spark.createDataFrame([(1, "zz"), (2, "qq")], "doc_id long, text string"), langid.train(once)).orderBy("doc_id").collect()] == ["b", "a"]
 
 
 def test_language_stage_without_labels(spark):
@@ -200,13 +250,103 @@ def test_fingerprints(spark):
         assert r["n_chars"] == len(body or "") and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert texts[5][0]["fingerprint"] == texts[7][0]["fingerprint"] != texts[9][0]["fingerprint"]
     assert texts[7][0]["near_next"] == 1 and texts[9][0]["near_next"] < 0.2 and texts[9][0]["near_edited"] > 0.3
-    assert fingerprint.likeness(texts[11][0]["fingerprint"], texts[5][0]["fingerprint"]) > 0.8
-    assert bytes(texts[2][0]["fingerprint"]) == b""
+    chain = lambda key: base64.b64decode(texts[key][0]["fingerprint"])
+    assert fingerprint.likeness(chain(11), chain(5)) > 0.8 and texts[2][0]["fingerprint"] == ""
+    assert dict(fingerprint.neighbours(df, rank).dtypes)["fingerprint"] == "string"
     assert fingerprint.neighbours(df.limit(0), rank).count() == 0
     one = fingerprint.neighbours(df.filter("doc_id = 5"), rank).collect()
     assert len(one) == 1 and one[0]["edited_sha256"] == hashlib.sha256(fingerprint.edited(long, long).encode()).hexdigest()
 
 
+def test_fingerprint_neighbours_of_hot_and_large_ids(spark):
+    """Rows of one id, of none, and of ids beyond what doubles hold: each row has the next one, once."""
+    big = 2**53
+    docs = [(big + i, f"text {i}") for i in range(40)] + [(5, f"hot {i}") for i in range(300)] + [(None, f"none {i}") for i in range(200)] + [(-3, "low"), (-(2**63), "least"), (2**63 - 1, "most"), (5, "hot 7")]
+    rng = random.Random(1)
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), hashed[d[1]]))
+    want = sorted((str(key), hashlib.sha256(fingerprint.edited(text, nxt).encode()).hexdigest()) for (key, text), (_, nxt) in zip(order, [*order[1:], order[0]], strict=True))
+    got = fingerprint.neighbours(df, fingerprint.rarity(df)).collect()
+    assert sorted((str(r["doc_id"]), r["edited_sha256"]) for r in got) == want
+
+
+def test_fingerprint_query_against_brute_force(spark, sf):
+    """The registered query: digests and likeness from plain Python, one window at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in docs}
+    entropy = lambda w: int(np.rint(1000 * (1 - sum(np.rint(c * np.log2(c) * 4096) if c > 1 else 0 for c in Counter(w).values()) / (16 * 4 * 4096))))
+    classes = {}
+
+    def windows(data):
+        if data not in classes:
+            classes[data] = [entropy(data[i : i + 16]) for i in range(len(data) - 15)]
+        return classes[data]
+
+    total = Counter(c for t in texts.values() for c in windows(t.encode()))
+    key = lambda c: (2**63 if c < 250 else total.get(c, 0), c)
+    rank = {c: i for i, c in enumerate(sorted(range(1001), key=key))}
+    mix = lambda x: int(fingerprint.mix64(np.array([x], np.uint64))[0])
+
+    def digest(text):
+        data = text.encode()
+        if not data:
+            return b""
+        ranks = [rank[c] for c in windows(data)]
+        if not ranks:
+            chosen = [int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little")]
+        else:
+            places = range(len(ranks))
+            if len(ranks) > 64:
+                votes = Counter(min(range(i, i + 32), key=lambda j: (ranks[j], j)) for i in range(len(ranks) - 31))
+                places = sorted(i for i, n in votes.items() if n > 5) or sorted(sorted(places, key=lambda j: (ranks[j], j))[:64])
+            chosen = [mix(mix(int.from_bytes(data[i : i + 8], "little")) ^ (int.from_bytes(data[i + 8 : i + 16], "little") * 0x9E3779B97F4A7C15 % 2**64)) for i in places]
+        out = b""
+        for lo in range(0, len(chosen), 160):
+            bits = 0
+            for h in chosen[lo : lo + 160]:
+                for i in range(5):
+                    place = (h >> 11 * i) % 2048
+                    bits |= 1 << (place ^ 7)  # the first bit is a byte's highest
+            out += bits.to_bytes(256, "little")
+        return out
+
+    def like(x, y):
+        if x == y or not x or not y:
+            return float(x == y)
+        a, b = sorted(([int.from_bytes(v[i : i + 256], "little") for i in range(0, len(v), 256)] for v in (x, y)), key=len)
+        best = []
+        for f in a:
+            scores = []
+            for g in b:
+                chance = f.bit_count() * g.bit_count() / 2048
+                scores.append(min(1, max(0, ((f & g).bit_count() - chance) / max(min(f.bit_count(), g.bit_count()) - chance, 1e-9))))
+            best.append((max(scores), f.bit_count()))
+        return sum(s * n for s, n in best) / sum(n for _, n in best)
+
+    got = {r["doc_id"]: r for r in queries.op7_fingerprints(spark, sf).collect()}
+    order = sorted(texts, reverse=True)
+    assert set(got) == set(texts)
+    some = sorted(order, key=lambda i: len(texts[i]))[:120]  # the classes above are of all texts; digests of the shorter ones
+    for key_ in some:
+        following = texts[order[(order.index(key_) + 1) % len(order)]]
+        r, new = got[key_], fingerprint.edited(texts[key_], following)
+        assert base64.b64decode(r["fingerprint"]) == digest(texts[key_]) and base64.b64decode(r["edited_fingerprint"]) == digest(new)
+        assert r["near_edited"] == pytest.approx(like(digest(texts[key_]), digest(new))) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
+        if len(following) < 4000:
+            assert r["near_next"] == pytest.approx(like(digest(texts[key_]), digest(following)))
+
+
+def test_token_count_query_against_the_library(spark, sf):
+    lengths = sorted(len(e.ids) for e in library().encode_batch([r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()], add_special_tokens=False))
+    got = {r["n_tokens"]: r for r in queries.op8_tokencount(spark, sf).collect()}
+    assert set(got) == set(lengths)
+    for n, r in got.items():
+        assert r["n_docs"] == lengths.count(n) and r["docs_at_least"] == sum(x >= n for x in lengths) and r["tokens_at_least"] == sum(x for x in lengths if x >= n)
+        assert r["tokens_cut_here"] == sum(min(x, n) for x in lengths) and r["total_tokens"] == sum(lengths) and r["total_docs"] == len(lengths)
+
+
 def test_fingerprints_of_even_texts():
     """Runs of one character and repeated units have features of their own."""
     texts = [b"", b"a" * 500, b"b" * 500, b"abcdefgh" * 60, b"ijklmnop" * 60, b"a" * 3000]
@@ -272,7 +412,65 @@ def test_style_tree_counts_copies_once_and_keeps_branches(spark):
     assert all(by[100 + i] == f"Lead\nBody {i}" for i in range(8))
 
 
+def article(page):
+    """The text of the article of the test pages, by the library's parser: their markup is regular."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        blocks, now, inside = None, "", False
+
+        def cut(self):
+            if self.now.split():
+                self.blocks.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            self.now += " " if tag == "br" else ""
+            if tag in ("p", "h1", "article"):
+                self.cut()
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "article"):
+                self.cut()
+            self.inside &= tag != "article"
+
+        def handle_data(self, data):
+            self.now += data if self.inside else ""
+
+    reader = Reader()
+    reader.blocks = []
+    reader.feed(page)
+    reader.close()
+    return "\n".join(reader.blocks)
+
+
 def test_html_query(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").count()
-    got = queries.op4_html(spark, sf).toPandas()
-    assert len(got) == pages and (got.n_chars == got.text.str.len()).all() and (got.n_chars > 0).mean() > 0.99
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    got = {r["page_id"]: r for r in queries.op4_html(spark, sf).collect()}
+    assert len(got) == len(pages)
+    for r in pages:
+        assert got[r["page_id"]]["text"] == article(r["html"]) and got[r["page_id"]]["n_chars"] == len(article(r["html"])) and got[r["page_id"]]["url"] == r["url"]
+
+
+def test_style_tree_needs_no_markup(spark):
+    """The pages with all telling names taken away: the trees find the articles."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").withColumn("host", F.regexp_extract("url", "://([^/?#]*)", 1)).filter("host like 'm.%' or host like 'www.%'").select("page_id", "url", "html")
+    bare = F.col("html")
+    for i, tag in enumerate(("nav", "article", "footer")):
+        bare = F.regexp_replace(F.regexp_replace(bare, f"<{tag}>", f'<div class="k{chr(97 + i)}">'), f"</{tag}>", "</div>")
+    bare = F.regexp_replace(bare, 'class="ad"', 'class="kd"')
+    want = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in html.extract(pages.withColumn("html", bare)).collect()}
+    trees = html.plans(pages.withColumn("html", bare)).count()
+    assert trees > 5 and sum(got[i] == want[i] for i in want) >= 0.97 * len(want) > 100
+
+
+def test_html_is_read_in_linear_time():
+    n = 200_000
+    for page in ("<div>" * n, "<div>x" * n, '<a "' * n, "<span class=ad>x" * n, "<b class=ad><p>x" * n, "<ul><li>" + "<div>" * n + "<li></li>" * n, "<div>" * n + "</p></section>" * n, "<!--" * n, "<div class=ad>x" * n):
+        began = time.process_time()
+        html.Page(page).text()
+        assert time.process_time() - began < 60
+    assert html.Page("a<b class=ad>x<p>y").text() == "ax\ny" and html.Page("a<b class=ad>x<p>y</b>c").text() == "a\nc" and html.Page("a<b class=ad>x<article>m</article></b>c").text() == "m"
+    assert html.Page('a <i "b>c').text() == "a c" and html.Page("1 < 2 <").text() == "1 < 2 <"
