@@ -53,14 +53,26 @@ def override(decisions: DataFrame, new: DataFrame) -> DataFrame:
     return shaped(decisions.join(new.select("adm_party_id"), "adm_party_id", "left_anti")).unionByName(shaped(new))
 
 
-def ranked(proposals: DataFrame, *group: str) -> DataFrame:
-    """The best proposal of each root with its ``target`` score, guard, rank and runner-up."""
+def support(proposals: DataFrame) -> DataFrame:
+    """``adm_party_id, root_id, support``: how many mentions of a record speak for a root."""
+    return proposals.groupBy("adm_party_id", "root_id").agg(F.count_distinct("mention_id").alias("support"))
+
+
+def ranked(proposals: DataFrame, *group: str, target=None) -> DataFrame:
+    """The best proposal of each root with its ``target`` score, guard, rank and runner-up.
+
+    ``target(own, runner)`` gives another target score than the rules'; it may use the row's
+    exact, collisions, path and ``support``, which is added for it.
+    """
+    if target is not None:
+        counted = support(proposals) if "mention_id" not in group else None
+        proposals = proposals.withColumn("support", F.lit(1)) if counted is None else proposals.join(counted, ["adm_party_id", "root_id"])
     best = Window.partitionBy(*group, "root_id").orderBy(F.desc("score"), F.desc("name"), "party_id", "mention_id")
     whole = Window.partitionBy(*group)
     r = proposals.withColumn("rn", F.row_number().over(best)).filter("rn = 1")
     r = r.withColumn("identity_rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), "root_id")))
     r = r.withColumn("first", F.max("score").over(whole)).withColumn("second", F.coalesce(F.max(F.when(F.col("identity_rank") == 2, F.col("score"))).over(whole), F.lit(0.0)))
-    r = r.withColumn("target", scoring.target(F.col("score"), F.when(F.col("identity_rank") == 1, F.col("second")).otherwise(F.col("first")))).withColumn("guard", scoring.guard())
+    r = r.withColumn("target", (target or scoring.target)(F.col("score"), F.when(F.col("identity_rank") == 1, F.col("second")).otherwise(F.col("first")))).withColumn("guard", scoring.guard())
     r = r.withColumn("any_free", F.max(F.col("guard").isNull()).over(whole)).withColumn("pool", F.col("guard").isNull() | ~F.col("any_free"))
     order = Window.partitionBy(*group).orderBy(F.desc("pool"), F.desc("target"), "root_id")
     r = r.withColumn("place", F.row_number().over(order))
@@ -88,9 +100,9 @@ def decided(winners: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return shaped(winners.select(*rest, *[v.alias(k) for k, v in columns.items()]))
 
 
-def plain(records: DataFrame, proposals: DataFrame, policy: Policy, plain_only: bool = True) -> DataFrame:
+def plain(records: DataFrame, proposals: DataFrame, policy: Policy, target=None) -> DataFrame:
     """One decision for each record of ``records`` (adm_party_id, raw_name, plain, parse_warning)."""
-    top = ranked(proposals, "adm_party_id").filter("place = 1")
+    top = ranked(proposals, "adm_party_id", target=target).filter("place = 1")
     mine = records.select("adm_party_id", "raw_name", "plain", "parse_warning")
     joined = mine.join(top.drop("raw_name", "plain", "parse_warning"), "adm_party_id").join(retrieved(proposals), "adm_party_id")
     limit = F.when(F.col("plain"), F.lit(policy.plain)).otherwise(F.lit(policy.system))
@@ -147,7 +159,7 @@ def with_short_name(proposals: DataFrame, parties: DataFrame, policy: Policy) ->
     return p.withColumn("short_name", F.coalesce(good & (one | many), F.lit(False)))
 
 
-def connectors(records: DataFrame, mentions: DataFrame, proposals: DataFrame, parties: DataFrame, policy: Policy) -> DataFrame:
+def connectors(records: DataFrame, mentions: DataFrame, proposals: DataFrame, parties: DataFrame, policy: Policy, target=None) -> DataFrame:
     """Decisions of names joined by OBO or VIA: each segment on its own, the left one preferred."""
     ids = records.select("adm_party_id", "raw_name")
     kinds = mentions.groupBy("adm_party_id").agg(F.collect_set("connector_before").alias("kinds"), F.max(F.coalesce(F.col("parse_warning") == "MALFORMED_CONNECTOR", F.lit(False))).alias("malformed"))
@@ -156,7 +168,7 @@ def connectors(records: DataFrame, mentions: DataFrame, proposals: DataFrame, pa
     refused = shaped(kinds.withColumn("reason", forced).filter("reason is not null").select("adm_party_id", "raw_name", F.lit("NO_MATCH").alias("decision"), "reason", F.lit(0.0).alias("confidence"), F.col("reason").alias("parse_warning"), F.col("reason").alias("resolution")))
     open_ = kinds.filter(forced.isNull()).select("adm_party_id", "raw_name", F.element_at("kinds", 1).alias("kind"))
     segments = mentions.join(open_, "adm_party_id").select("adm_party_id", "raw_name", "kind", "mention_id", "position", "text")
-    tops = ranked(with_short_name(proposals.join(open_.select("adm_party_id"), "adm_party_id", "left_semi"), parties, policy), "adm_party_id", "mention_id").filter("place = 1")
+    tops = ranked(with_short_name(proposals.join(open_.select("adm_party_id"), "adm_party_id", "left_semi"), parties, policy), "adm_party_id", "mention_id", target=target).filter("place = 1")
     tops = settle(tops.drop("raw_name", "position", "plain", "parse_warning", "text"))
     s = segments.join(tops, ["adm_party_id", "mention_id"], "left")
     short = F.coalesce(F.lit(policy.short_names) & F.col("guard").isNull() & (F.col("target") < policy.system) & (F.col("target") >= policy.floor) & (F.col("margin") >= policy.short_margin) & F.col("short_name"), F.lit(False))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from onomast.functions import ids
 from onomast.functions import text as X
+from onomast.operators.settle import numbered
 
 TRUE = ("1", "true", "yes", "y", "verified")
 
@@ -46,12 +47,16 @@ def clean(rows: DataFrame) -> DataFrame:
 def records(rows: DataFrame, verified: DataFrame, account: str) -> DataFrame:
     """Ids, eligibility and split of cleaned rows (raw_name, label, parent_id, source_row).
 
-    ``verified`` (party_id, party_name): a parent counts as verified by id or by name.
+    ``verified`` (party_id, party_name): a parent counts as verified by id or by name; a column
+    ``parent_verified`` of ``rows`` says so itself where it is filled in.
     """
     names = verified.select(F.col("party_id").alias("k")).unionByName(verified.select(X.normalize(F.col("party_name")).alias("k"))).distinct().withColumn("hit", F.lit(True))
     keyed = rows.withColumn("k", F.col("parent_id")).join(names, "k", "left").withColumnRenamed("hit", "by_id").drop("k")
     keyed = keyed.withColumn("k", X.normalize(F.col("parent_id"))).join(names, "k", "left").drop("k")
     up = F.coalesce(F.col("by_id"), F.col("hit"), F.lit(False))
+    if "parent_verified" in rows.columns:
+        said = F.trim(F.col("parent_verified").cast("string"))
+        up = F.when(F.coalesce(said, F.lit("")) != "", as_bool(said)).otherwise(up)
     out = keyed.withColumn("parent_is_verified", up).drop("by_id", "hit")
     out = out.withColumn("eligible", (F.coalesce(F.trim("parent_id"), F.lit("")) == "") | ~F.col("parent_is_verified"))
     out = out.withColumn("adm_party_id", ids.stable_id("adm", F.lit(account), F.col("source_row"), F.col("raw_name")))
@@ -63,12 +68,41 @@ def records(rows: DataFrame, verified: DataFrame, account: str) -> DataFrame:
 def catalog(rows: DataFrame, account: str) -> DataFrame:
     """``party_id, party_name, index``: the known labels in list order."""
     names = rows.filter(known(F.col("label"))).select(F.trim("label").alias("party_name")).distinct()
-    # a number for each name without one global sort: count per first letters, then number within them
-    letter = F.substring(F.lower("party_name"), 1, 2)
-    counts = names.groupBy(letter.alias("k")).agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("k").orderBy(F.lower("party_name"), "party_name"))
-    numbered = names.withColumn("k", letter).withColumn("rn", within).join(counts.select("k", "before"), "k")
-    return numbered.select(ids.stable_id("verified", F.lit(account), F.col("party_name")).alias("party_id"), "party_name", (F.col("before") + F.col("rn") - 1).alias("index"))
+    placed = numbered(names, [F.lower("party_name"), F.col("party_name")])
+    return placed.select(ids.stable_id("verified", F.lit(account), F.col("party_name")).alias("party_id"), "party_name", "index")
+
+
+def prefix(records: DataFrame, limit: int, order: str = "source_row") -> DataFrame:
+    """The first ``limit`` records in source order: a limit the caller asks for."""
+    return records.orderBy(order).limit(limit)
+
+
+def listed(df: DataFrame, verified: str = "party_name", raw: str = "raw_name", key: str = "adm_party_id") -> DataFrame:
+    """Rows as they are handed out: by verified name, then written name, both without case, then id."""
+    return df.orderBy(F.lower(F.coalesce(verified, F.lit(""))), F.lower(raw), key)
+
+
+def sample_summary(rows: DataFrame) -> DataFrame:
+    """``category, n, names``: how many rows a category has, and their names joined."""
+    return rows.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("raw_name")), "; ").alias("names"))
+
+
+#: How the sample writes a canonical name, as (category, pattern of {name} and {base}).
+SAMPLE_FORMS = (("verified", "{name}"), ("plain", "{base}"), ("upper", "{upper}"), ("segment", "{base} - Partner"), ("connector", "{name} OBO Public Sector Client"))
+
+
+def sample(spark: SparkSession, names: list[str]) -> DataFrame:
+    """A small labelled table (raw_name, label, parent_id, category, source_row) made of canonical names.
+
+    Each name is written in the forms of ``SAMPLE_FORMS``; besides, there are a child of a
+    verified party, an unknown organisation, an unlabelled row and a blank one.
+    """
+    rows = []
+    for name in names:
+        base = name.rsplit(" ", 1)[0] if " " in name else name
+        rows += [(form.format(name=name, base=base, upper=base.upper()), name, None, category) for category, form in SAMPLE_FORMS]
+    rows += [(f"{names[0]} Holdings", f"{names[0]} Holdings", names[0], "child"), ("Riverside Rowing Club", "UNKNOWN", None, "unknown"), ("FES", None, None, "unlabelled"), ("", names[0], None, "blank")]
+    return spark.createDataFrame([(*r, i + 2) for i, r in enumerate(rows)], "raw_name string, label string, parent_id string, category string, source_row int")
 
 
 def jobs(parties: DataFrame, account: str, cutoff: float = 0.0, size: int = 100) -> DataFrame:

@@ -2,9 +2,9 @@
 
 All of it runs on *distinct* mention texts that carry how many mentions have them: ranks
 and scores depend on the text alone, while document counts weigh by mentions. The
-similarity join is an equi-join of postings on the gram, a map-side-combined sum of
-products and a top-k window (``WindowGroupLimit``); nothing is broadcast by hand and AQE
-splits the postings of frequent grams.
+similarity join is an equi-join of the postings of rare grams, with a prefix filter that
+loses nothing, exact cosines of the candidates and a top-k window (``WindowGroupLimit``);
+nothing is broadcast by hand and AQE splits the postings of frequent grams.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from onomast.functions import text as X
+from onomast.operators.settle import settle
 
 
 @dataclass(frozen=True)
@@ -66,51 +67,73 @@ def weights(texts: DataFrame, kind: str, idf: DataFrame, key: str) -> DataFrame:
     return w.join(norm, key).select(key, "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def _split(w: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
+    """(text, gram, w) and each text's rest (text, rest, tail): its commonest grams, of norm ``share`` at most together."""
+    order = Window.partitionBy("text").orderBy("idf", F.desc("gram"))
+    placed = w.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    common = placed.filter(F.col("tail") <= share)
+    rest = common.groupBy("text").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("rest"), F.max("tail").alias("tail"))
+    return placed.filter(F.col("tail") > share).select("text", "gram", "w"), rest
+
+
 def cosine_top(mentions: DataFrame, names: DataFrame, kind: str, floor: float, top: int, idf: DataFrame) -> DataFrame:
-    """``text, name, score, rank``: each text's best ``top`` names above ``floor``."""
-    left = weights(mentions, kind, idf, "text").withColumnRenamed("w", "wl")
-    right = weights(names.select(F.col("name"), F.col("name").alias("text")), kind, idf, "name").withColumnRenamed("w", "wr")
-    scores = left.join(right, "gram").groupBy("text", "name").agg(F.round(F.sum(F.col("wl") * F.col("wr")), 12).alias("score")).filter(F.col("score") > floor)
+    """``text, name, score, rank``: each text's best ``top`` names above ``floor``.
+
+    Prefix filtering, without loss: of each mention the commonest grams, half the floor in
+    norm together, are not joined, so what nearly all names have (a legal form) meets nothing.
+    What they could add to a cosine is bounded by their norm; pairs that cannot reach the floor
+    with it are dropped, and the others get the exact remainder from the name's weights.
+    """
+    known = settle(idf)
+    left = weights(mentions, kind, known, "text").join(known, "gram")
+    right = settle(weights(names.select(F.col("name"), F.col("name").alias("text")), kind, known, "name"))
+    rare, rest = _split(settle(left), floor / 2)
+    met = rare.withColumnRenamed("w", "wl").join(right.withColumnRenamed("w", "wr"), "gram").groupBy("text", "name").agg(F.sum(F.col("wl") * F.col("wr")).alias("part"))
+    open_ = met.join(rest, "text", "left").filter(F.col("part") + F.coalesce("tail", F.lit(0.0)) > floor - 1e-9)
+    whole = right.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("all"))
+    both = open_.join(whole, "name")
+    more = F.aggregate(F.map_entries("rest"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.try_element_at(F.col("all"), e["key"]), F.lit(0.0)))
+    scores = both.select("text", "name", F.round(F.col("part") + F.coalesce(more, F.lit(0.0)), 12).alias("score")).filter(F.col("score") > floor)
     best = Window.partitionBy("text").orderBy(F.desc("score"), "name")
     return scores.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top)
 
 
-def vector_top(names: DataFrame, mentions: DataFrame, top: int, floor: float) -> DataFrame:
+QUERY_ROWS = 4096
+
+
+def vector_top(names: DataFrame, mentions: DataFrame, top: int, floor: float, digits: int = 12) -> DataFrame:
     """``name, text, score``: each name's ``top`` mentions by cosine of unit vectors (``v``).
 
-    Names are the query side: a bounded batch of them is packed into one row and broadcast,
-    the mentions are scanned once for each batch.
+    Names are the query side. They are dealt into groups of about ``QUERY_ROWS``, mentions into
+    blocks, and each block meets each group in one task: what is held is one of each, and
+    nothing passes through the driver. A block gives at most ``top`` rows for a name. Scores are
+    rounded to ``digits`` before they are compared; ties go to the smaller text.
     """
     import numpy as np
     import pandas as pd
 
-    rows = names.select("name", "v").toLocalIterator()
-    found, batch = None, []
-
-    def scan(part: list) -> DataFrame:
-        shared = names.sparkSession.sparkContext.broadcast(([r["name"] for r in part], np.array([r["v"] for r in part], np.float32)))
-
-        def run(frames):
-            ids, q = shared.value
-            for frame in frames:
-                if len(frame):
-                    s = np.stack(frame["v"].to_list()).astype(np.float32) @ q.T
-                    for j in range(len(ids)):
-                        at = np.argsort(-s[:, j], kind="stable")[:top]
-                        at = at[s[at, j] >= floor]
-                        if len(at):
-                            yield pd.DataFrame({"name": ids[j], "text": frame["text"].to_numpy()[at], "score": s[at, j].astype(float)})
-
-        return mentions.select("text", "v").mapInPandas(run, "name string, text string, score double")
-
-    for row in rows:
-        batch.append(row)
-        if len(batch) == 4096:
-            part, batch = scan(batch), []
-            found = part if found is None else found.unionByName(part)
-    if batch or found is None:
-        part = scan(batch) if batch else names.sparkSession.createDataFrame([], "name string, text string, score double")
-        found = part if found is None else found.unionByName(part)
+    size = lambda df: max(1, -(-df.count() // QUERY_ROWS))
+    groups, blocks = size(names), size(mentions)
+    slot = lambda col, n: F.pmod(F.xxhash64(col), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = names.select(F.col("name").alias("id"), "v", F.lit(True).alias("asks"), slot("name", groups).alias("g")).withColumn("b", every(blocks))
+    held = mentions.select(F.col("text").alias("id"), "v", F.lit(False).alias("asks"), slot("text", blocks).alias("b")).withColumn("g", every(groups))
+
+    def meet(frame: pd.DataFrame) -> pd.DataFrame:
+        q, rows = frame[frame["asks"]], frame[~frame["asks"]]
+        out = []
+        if len(q) and len(rows):
+            texts, v = rows["id"].to_numpy(), np.stack(rows["v"].to_list()).astype(np.float64)
+            order = np.argsort(texts, kind="stable")
+            texts, v = texts[order], v[order]
+            for name, x in zip(q["id"], q["v"], strict=True):
+                s = np.round(v @ np.asarray(x, np.float64), digits)
+                at = np.argsort(-s, kind="stable")[:top]
+                at = at[s[at] >= floor]
+                out.append(pd.DataFrame({"name": name, "text": texts[at], "score": s[at]}))
+        return pd.concat(out) if out else pd.DataFrame({"name": [], "text": [], "score": []})
+
+    found = asked.unionByName(held).groupBy("g", "b").applyInPandas(meet, "name string, text string, score double")
     best = Window.partitionBy("name").orderBy(F.desc("score"), "text")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("name", "text", "score")
 
@@ -128,26 +151,51 @@ def hits(mentions: DataFrame, variants: DataFrame, cfg: Retrieval = Retrieval(),
     texts = distinct_texts(mentions)
     names = variants.select("name", F.col("norm_name").alias("norm")).distinct()
     top = cfg.roots * cfg.variants
-    none = F.lit(None).cast("double")
     parts = []
     same = texts.withColumn("norm", X.normalize(F.col("text"))).join(names, "norm").select("text", "name")
-    parts.append(same.select("text", "name", F.lit("exact").alias("source"), F.lit(1.0).alias("exact"), F.lit(1.0).alias("char"), F.lit(1.0).alias("word"), F.lit(0.0).alias("rrf"), none.alias("embedding")))
+    parts.append(hit_rows(same, "exact"))
     for kind, floor in (("char", cfg.char_floor), ("word", cfg.word_floor)):
         own = idf[kind] if idf else fit(texts, kind)
-        best = cosine_top(texts, names, kind, floor, top, own)
-        parts.append(best.select("text", "name", F.lit(kind).alias("source"), F.lit(0.0).alias("exact"), (F.col("score") if kind == "char" else F.lit(0.0)).alias("char"), (F.col("score") if kind == "word" else F.lit(0.0)).alias("word"), (1.0 / (cfg.k + F.col("rank"))).alias("rrf"), none.alias("embedding")))
+        parts.append(hit_rows(cosine_top(texts, names, kind, floor, top, own), kind, cfg.k))
     if vectors is not None:
-        parts.append(vectors.select("text", "name", F.lit("embedding").alias("source"), F.lit(0.0).alias("exact"), F.lit(0.0).alias("char"), F.lit(0.0).alias("word"), F.lit(0.0).alias("rrf"), F.col("score").alias("embedding")))
+        parts.append(hit_rows(vectors, "embedding"))
+    return merged(parts, top)
+
+
+def hit_rows(found: DataFrame, source: str, k: int = 60) -> DataFrame:
+    """Rows of one retriever as ``merged`` takes them: ``found`` has text, name, and score and rank where it ranks."""
+    zero, one, none = F.lit(0.0), F.lit(1.0), F.lit(None).cast("double")
+    exact = source == "exact"
+    score = lambda kind: one if exact else F.col("score").cast("double") if kind == source else zero
+    rrf = 1.0 / (k + F.col("rank")) if source in ("char", "word") else zero
+    return found.select("text", "name", F.lit(source).alias("source"), (one if exact else zero).alias("exact"), score("char").alias("char"), score("word").alias("word"), rrf.alias("rrf"), (F.col("score").cast("double") if source == "embedding" else none).alias("embedding"))
+
+
+def merged(parts: list[DataFrame], top: int) -> DataFrame:
+    """Hits of all retrievers, one row for each (text, name); all exact ones and the ``top`` best others of a text."""
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    merged = every.groupBy("text", "name").agg(*[F.max(c).alias(c) for c in ("exact", "char", "word")], F.sum("rrf").alias("rrf"), F.max("embedding").alias("embedding"), F.array_sort(F.collect_set("source")).alias("sources"))
-    merged = merged.withColumn("lexical", F.greatest("char", "word"))
+    found = every.groupBy("text", "name").agg(*[F.max(c).alias(c) for c in ("exact", "char", "word")], F.sum("rrf").alias("rrf"), F.max("embedding").alias("embedding"), F.array_sort(F.collect_set("source")).alias("sources"))
+    found = found.withColumn("lexical", F.greatest("char", "word"))
     order = Window.partitionBy("text").orderBy(F.desc("exact"), F.desc("rrf"), F.desc(F.greatest("lexical", F.coalesce("embedding", F.lit(0.0)))), "name")
-    placed = merged.withColumn("rn", F.row_number().over(order)).withColumn("same", F.sum(F.col("exact").cast("int")).over(Window.partitionBy("text")))
+    placed = found.withColumn("rn", F.row_number().over(order)).withColumn("same", F.sum(F.col("exact").cast("int")).over(Window.partitionBy("text")))
     return placed.filter((F.col("exact") == 1) | (F.col("rn") - F.col("same") <= top)).drop("rn", "same")
 
 
+def root_percentiles(short: DataFrame) -> DataFrame:
+    """How many roots a text has: median, 95th percentile (interpolated) and most. ``short``: text, root_id."""
+    n = short.groupBy("text").agg(F.count_distinct("root_id").alias("n"))
+    return n.agg(F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.95).alias("p95"), F.max("n").alias("most"))
+
+
+def cap_counters(found: DataFrame, variants: DataFrame, closure: DataFrame, cfg: Retrieval = Retrieval()) -> DataFrame:
+    """How many texts met a cap: more roots than are kept, or a root with more variants than are kept."""
+    owned = found.select("text", "name").join(variants.select("name", "party_id", "norm_name"), "name").join(closure.select("party_id", "root_id"), "party_id")
+    per = owned.groupBy("text", "root_id").agg(F.count_distinct("party_id", "norm_name").alias("v")).groupBy("text").agg(F.count(F.lit(1)).alias("roots"), F.max("v").alias("most"))
+    return per.agg(F.count_if(F.col("roots") > cfg.roots).alias("root_cap_hits"), F.count_if(F.col("most") > cfg.variants).alias("variant_cap_hits"))
+
+
 def shortlist(found: DataFrame, variants: DataFrame, closure: DataFrame, cfg: Retrieval = Retrieval()) -> DataFrame:
     """Hits with their owners and roots: the best variants of each root, the best roots of each text.
 

@@ -9,6 +9,25 @@ from onomast.functions import text as X
 from onomast.functions import vocab
 
 
+def intake(records: DataFrame) -> DataFrame:
+    """``records`` (eligible, is_verified, raw_name) with ``why`` they are left out; null: they take part."""
+    out = ~F.coalesce("eligible", F.lit(False)) | F.coalesce("is_verified", F.lit(False))
+    return records.withColumn("why", F.when(out, "INELIGIBLE_OR_VERIFIED").when(F.trim(F.coalesce("raw_name", F.lit(""))) == "", "BLANK"))
+
+
+def family_index(mentions: DataFrame) -> DataFrame:
+    """``token, adm_party_id, mention_text``: records by the first meaningful word of their preferred mention.
+
+    The preferred mention is the first; names with a parse warning or several kinds of
+    connectors are left out. Narrower than a fuzzy search: a party that stands behind a
+    connector only is not found.
+    """
+    kinds = F.size(F.collect_set("connector_before"))
+    g = mentions.groupBy("adm_party_id").agg(F.min_by("text", "position").alias("mention_text"), kinds.alias("kinds"), F.count("parse_warning").alias("warnings"))
+    first = F.try_element_at(X.name_tokens(F.col("mention_text")), F.lit(1))
+    return g.filter("kinds <= 1 and warnings = 0").select(first.alias("token"), "adm_party_id", "mention_text").filter("token is not null")
+
+
 def indexed(verified: DataFrame) -> DataFrame:
     """``party_id, party_name, words, form, anchor``, ready to join on the anchor."""
     return verified.select("party_id", "party_name", X.name_tokens(F.col("party_name")).alias("words"), X.stated_form(F.col("party_name")).alias("form")).withColumn("anchor", F.try_element_at("words", F.lit(1))).filter("anchor is not null")
@@ -111,6 +130,63 @@ def transition(before: DataFrame, after: DataFrame) -> DataFrame:
     return both.withColumn("transition", label)
 
 
+def withhold(verified: DataFrame, withheld: DataFrame) -> DataFrame:
+    """The catalog as it was before the parties of ``withheld`` (party_id) came."""
+    return verified.join(withheld.select("party_id").distinct(), "party_id", "left_anti")
+
+
+def coverage(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """How many names have a strong suggestion, only candidates for review, or nothing."""
+    strong = F.col("decision") == "MATCH"
+    some = decisions.select("adm_party_id", "decision").join(candidates.select("adm_party_id").distinct().withColumn("review", F.lit(True)), "adm_party_id", "left")
+    only = ~strong & F.coalesce("review", F.lit(False))
+    g = some.agg(F.count(F.lit(1)).alias("n_names"), F.count_if(strong).alias("strong_names"), F.count_if(only).alias("review_only_names"))
+    rest = F.col("n_names") - F.col("strong_names") - F.col("review_only_names")
+    return g.withColumn("no_suggestion_names", rest).withColumn("suggestion_coverage", F.when(F.col("n_names") > 0, 1 - rest / F.col("n_names")))
+
+
+def two_snapshots(names: DataFrame, verified: DataFrame, withheld: DataFrame, build) -> dict[str, DataFrame]:
+    """The same names against the catalog without the withheld parties, then with them.
+
+    ``build(names, verified)`` gives (decisions, review candidates). Returned: ``changes`` by
+    record, ``movements`` (their counts), ``before`` and ``after`` (coverage).
+    """
+    early, early_review = build(names, withhold(verified, withheld))
+    late, late_review = build(names, verified)
+    moved = transition(early, late)
+    return {"changes": moved.filter("transition != 'UNCHANGED'"), "movements": moved.groupBy("transition").agg(F.count(F.lit(1)).alias("n")), "before": coverage(early, early_review), "after": coverage(late, late_review)}
+
+
+def label_gaps(candidates: DataFrame, indexed_: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labelled pairs (adm_party_id, party_id) that are no candidates: never indexed, or indexed and not qualified."""
+    known = labels.filter("scorable").select("adm_party_id", F.col("expected").alias("party_id"), "split")
+    missed = known.join(candidates.select("adm_party_id", "party_id"), ["adm_party_id", "party_id"], "left_anti")
+    seen = indexed_.select("adm_party_id", "party_id").distinct().withColumn("seen", F.lit(True))
+    return missed.join(seen, ["adm_party_id", "party_id"], "left").select("adm_party_id", "party_id", "split", F.when(F.col("seen"), "INDEXED_BUT_NOT_FAMILY_QUALIFIED").otherwise("NOT_RETRIEVED_FOR_PARTY").alias("reason"))
+
+
+def audit(pairs: DataFrame, indexed_: DataFrame, labels: DataFrame, verified: DataFrame) -> DataFrame:
+    """Each party's figures: pairs by status, known labels and their gaps, held-out precision and recall.
+
+    ``pairs``: adm_party_id, party_id, status; ``labels``: adm_party_id, expected, split, scorable.
+    """
+    from onomast.operators.evaluate import HELD_OUT, ratio
+
+    known = labels.filter("scorable").select("adm_party_id", F.col("expected").alias("party_id"), F.col("split").isin(*HELD_OUT).alias("held"))
+    heldout_rows = labels.filter(F.col("scorable") & F.col("split").isin(*HELD_OUT)).select("adm_party_id", F.lit(True).alias("judged"))
+    strong = F.col("status") == "STRONG"
+    j = pairs.join(known, ["adm_party_id", "party_id"], "left").join(heldout_rows, "adm_party_id", "left")
+    g = j.groupBy("party_id").agg(
+        F.count(F.lit(1)).alias("candidate_pairs"), *[F.count_if(F.col("status") == x).alias(f"n_{x.lower()}") for x in ("STRONG", "REVIEW", "DROPPED")],
+        F.count_if(F.col("held")).alias("held_out_found"), F.count_if(strong & F.col("held")).alias("held_out_right"), F.count_if(strong & F.coalesce("judged", F.lit(False))).alias("held_out_strong"),
+    )
+    have = known.groupBy("party_id").agg(F.count(F.lit(1)).alias("known_labels"), F.count_if("held").alias("held_out_labels"))
+    gaps = label_gaps(pairs, indexed_, labels).groupBy("party_id").agg(F.count_if(F.col("reason") == "NOT_RETRIEVED_FOR_PARTY").alias("index_misses"), F.count_if(F.col("reason") != "NOT_RETRIEVED_FOR_PARTY").alias("gate_exclusions"))
+    out = verified.select("party_id", "party_name").join(g, "party_id", "left").join(have, "party_id", "left").join(gaps, "party_id", "left")
+    out = out.fillna(0, [c for c in out.columns if c not in ("party_id", "party_name")])
+    return out.withColumns({"held_out_candidate_recall": ratio(F.col("held_out_found"), F.col("held_out_labels")), "held_out_strong_precision": ratio(F.col("held_out_right"), F.col("held_out_strong")), "held_out_strong_recall": ratio(F.col("held_out_right"), F.col("held_out_labels"))}).drop("held_out_found", "held_out_right", "held_out_strong")
+
+
 def independent(proposals: DataFrame, records: DataFrame, decisions: DataFrame, policy) -> DataFrame:
     """Each party judged on its own: ``adm_party_id, party_id, status, why``.
 

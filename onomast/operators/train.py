@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,7 +18,10 @@ from onomast.functions import text as X
 from onomast.operators import evaluate, retrieval, scoring
 from onomast.operators.settle import settle
 
-TARGET = ("score", "score", "runner", "gap", "exact", "inverse_collisions")
+#: What the target model sees of a root: its score, that of a second model (or its own, and whether
+#: there is one), the strongest rival's, the gap, exactness, collisions, mentions, depth.
+TARGET = ("own", "second", "has_second", "runner", "gap", "exact", "inverse_collisions", "support", "depth")
+ROUNDS = 160
 
 
 @dataclass
@@ -31,8 +35,11 @@ class Model:
 
 
 def partition(adm_party_id: Column) -> Column:
-    """0, 1 or 2, from a hash of the id, for fitting, calibrating and choosing a threshold."""
-    return (F.conv(F.substring(F.sha2(adm_party_id, 256), 1, 8), 16, 10).cast("long") % 3).cast("int")
+    """0, 1 or 2, from the first 8 hex digits of the id (of its hash, if it has no such), for fitting,
+    calibrating and choosing a threshold."""
+    own = F.substring(F.replace(adm_party_id, F.lit("-"), F.lit("")), 1, 8)
+    digits = F.when(own.rlike("^[0-9a-fA-F]{8}$"), own).otherwise(F.substring(F.sha2(adm_party_id, 256), 1, 8))
+    return (F.conv(digits, 16, 10).cast("long") % 3).cast("int")
 
 
 def pairs(labels: DataFrame, verified: DataFrame, negatives: int = 3, most: int = 100_000) -> DataFrame:
@@ -56,19 +63,66 @@ def pairs(labels: DataFrame, verified: DataFrame, negatives: int = 3, most: int
 
 
 def matrix(rows: DataFrame, idf: DataFrame, grams: dict[str, DataFrame]) -> DataFrame:
-    """Features of pairs, as at inference but for a reciprocal rank taken as the first."""
-    out = rows.withColumn("type", F.lit("official")).withColumn("collisions", F.lit(1).cast("long")).withColumn("confidence", F.lit(None).cast("double")).withColumn("rrf", F.lit(2.0 / 61)).withColumn("embedding", F.lit(None).cast("double"))
+    """Features of pairs, as at inference but for reciprocal ranks taken as the first where a cosine passes its floor."""
+    cfg = retrieval.Retrieval()
+    out = rows.withColumn("type", F.lit("official")).withColumn("collisions", F.lit(1).cast("long")).withColumn("confidence", F.lit(None).cast("double")).withColumn("embedding", F.lit(None).cast("double"))
     for kind in ("char", "word"):
         out = out.join(retrieval.pair_cosine(out, kind, grams[kind], "mention_text", "name", kind), ["mention_text", "name"])
+    first = 1.0 / (cfg.k + 1)
+    same = (X.normalize(F.col("mention_text")) != "") & (X.normalize(F.col("mention_text")) == X.normalize(F.col("name")))
+    out = out.withColumns({kind: F.when(same, 1.0).otherwise(F.col(kind)) for kind in ("char", "word")})
+    out = out.withColumn("rrf", F.when(F.col("char") >= cfg.char_floor, first).otherwise(0.0) + F.when(F.col("word") >= cfg.word_floor, first).otherwise(0.0))
     return scoring.score(settle(scoring.named(out)), idf)
 
 
+def learn(labels: DataFrame, verified: DataFrame, mentions: DataFrame, rounds: int = ROUNDS, version: str = "") -> Model:
+    """All of it: pairs (synthetic ones, if labels give fewer than 20 or one class), candidates, models.
+
+    ``mentions`` (text) fit the grams' statistics, as they do at inference.
+    """
+    texts = retrieval.distinct_texts(mentions)
+    grams = {kind: settle(retrieval.fit(texts, kind)) for kind in retrieval.GRAMS}
+    idf = settle(scoring.token_idf(verified.select(F.col("party_name").alias("name"))))
+    rows = settle(pairs(labels, verified))
+    sizes = rows.groupBy("label").count().collect()
+    if len(sizes) < 2 or sum(r["count"] for r in sizes) < 20:
+        rows = synthetic(verified)
+    return fit(matrix(rows, idf, grams), matrix(candidates(labels, verified), idf, grams), rounds=rounds, version=version)
+
+
+def synthetic(verified: DataFrame) -> DataFrame:
+    """Pairs for a catalog without labels: each name with its own writings, and with the two next names."""
+    from onomast.operators.settle import numbered
+
+    names = settle(numbered(verified.select(F.col("party_name").alias("name")).distinct(), [F.col("name")], "at"))
+    n = names.count()
+    own = names.select("at", "name", F.explode(F.array(F.col("name"), X.normalize(F.col("name")), F.replace("name", F.lit(" "), F.lit("")))).alias("mention_text")).withColumn("label", F.lit(1))
+    others = names.select(F.col("at").alias("other"), F.col("name").alias("wrong"))
+    wrong = names.withColumn("other", F.explode(F.array(*[F.pmod(F.col("at") + i, F.lit(max(1, n))) for i in (1, 2)]))).join(others, "other").select("at", F.col("wrong").alias("name"), F.col("name").alias("mention_text"), F.lit(0).alias("label"))
+    rows = own.unionByName(wrong)
+    return rows.select(F.concat(F.lit("synthetic-"), F.col("at").cast("string")).alias("adm_party_id"), "mention_text", F.col("name").alias("party_id"), "name", "label")
+
+
+def candidates(labels: DataFrame, verified: DataFrame, most: int = 10) -> DataFrame:
+    """The same columns for CALIBRATION rows: each plain name with its ``most`` nearest verified names and its own."""
+    rows = labels.filter("scorable and split = 'CALIBRATION'").filter(X.record_case(F.col("raw_name")) == "PLAIN")
+    truth = rows.join(verified.select(F.col("party_id").alias("expected"), F.col("party_name").alias("name")), "expected").select("adm_party_id", F.col("raw_name").alias("mention_text"), "expected", F.col("expected").alias("party_id"), "name")
+    texts = truth.groupBy(F.col("mention_text").alias("text")).agg(F.count(F.lit(1)).alias("copies"))
+    names = verified.select(F.col("party_name").alias("name")).distinct()
+    near = retrieval.cosine_top(texts, names, "char", 0.0, most, settle(retrieval.fit(texts, "char")))
+    others = truth.select("adm_party_id", "mention_text", "expected").join(near.select(F.col("text").alias("mention_text"), "name"), "mention_text").join(verified.select("party_id", F.col("party_name").alias("name")), "name")
+    every = truth.unionByName(others.select(truth.columns)).dropDuplicates(["adm_party_id", "party_id"])
+    return every.select("adm_party_id", "mention_text", "party_id", "name", (F.col("party_id") == F.col("expected")).cast("int").alias("label"))
+
+
 def with_rivals(rows: DataFrame) -> DataFrame:
-    """``runner`` and ``gap`` of each candidate against the strongest other of its record."""
+    """The columns of ``TARGET`` for each candidate, against the strongest other of its record."""
     whole = Window.partitionBy("adm_party_id")
     placed = rows.withColumn("rn", F.row_number().over(whole.orderBy(F.desc("score"), "party_id")))
     first, second = F.max("score").over(whole), F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("score"))).over(whole), F.lit(0.0))
-    return placed.withColumn("runner", F.when(F.col("rn") == 1, second).otherwise(first)).withColumn("gap", F.col("score") - F.col("runner"))
+    placed = placed.withColumn("runner", F.when(F.col("rn") == 1, second).otherwise(first))
+    one = F.lit(1.0)
+    return placed.withColumns({"own": F.col("score"), "second": F.col("score"), "has_second": F.lit(0.0), "gap": F.col("score") - F.col("runner"), "inverse_collisions": one, "support": one, "depth": one})
 
 
 def probability(model: PipelineModel, rows: DataFrame, out: str) -> DataFrame:
@@ -76,28 +130,88 @@ def probability(model: PipelineModel, rows: DataFrame, out: str) -> DataFrame:
     return scored.withColumn(out, vector_to_array("probability")[1]).drop("probability", "rawPrediction", "prediction", "v")
 
 
-def fit(rows: DataFrame, target_precision: float = 0.98, fallback: float = 0.90, version: str = "") -> Model:
-    """``rows``: a feature matrix with label. Too few rows or one class only: rules alone."""
-    rows = settle(rows.withColumn("part", partition(F.col("adm_party_id"))))
+def apply(model: Model, proposals: DataFrame) -> DataFrame:
+    """``proposals`` with the identity model's ``score``, capped and raised as the rules' is; ``rules_score`` keeps that."""
+    kept = proposals.withColumn("rules_score", F.col("score"))
+    if model.identity is None:
+        return kept
+    return probability(model.identity, kept.drop("score"), "score").withColumn("score", scoring.identity(F.col("score")))
+
+
+def target(model: Model):
+    """A target score as ``decide.ranked`` takes it: logistic model and calibrator as one expression."""
+    if model.target is None and model.calibrator is None:
+        return None
+
+    def of(own: Column, runner: Column) -> Column:
+        value = scoring.target(own, runner)
+        if model.target is not None:
+            stage = model.target.stages[-1]
+            seen = {"own": own, "second": own, "has_second": F.lit(0.0), "runner": runner, "gap": own - runner, "exact": F.col("exact"), "inverse_collisions": 1.0 / F.greatest(F.lit(1), F.col("collisions")), "support": F.col("support"), "depth": F.size("path")}
+            z = F.lit(float(stage.intercept))
+            for name, weight in zip(TARGET, stage.coefficients.toArray().tolist(), strict=True):
+                z = z + F.lit(weight) * seen[name]
+            value = 1.0 / (1.0 + F.exp(-z))
+        return value if model.calibrator is None else calibrated(model.calibrator, value)
+
+    return of
+
+
+def calibrated(calibrator, value: Column) -> Column:
+    """The isotonic regression's line through its boundaries, level beyond them."""
+    xs, ys = calibrator.boundaries.toArray().tolist(), calibrator.predictions.toArray().tolist()
+    out = F.lit(ys[-1])
+    for (x0, y0), (x1, y1) in reversed(list(zip(zip(xs, ys, strict=True), zip(xs[1:], ys[1:], strict=True), strict=False))):
+        line = F.lit(y0) if x1 <= x0 else F.lit(y0) + (value - x0) * ((y1 - y0) / (x1 - x0))
+        out = F.when(value < x1, line).otherwise(out)
+    return F.when(value <= xs[0], F.lit(ys[0])).otherwise(out)
+
+
+def _decisions(rows: DataFrame) -> DataFrame:
+    """Each record's best candidate: ``score, correct``."""
+    best = rows.withColumn("rn", F.row_number().over(Window.partitionBy("adm_party_id").orderBy(F.desc("p"), "party_id")))
+    return best.filter("rn = 1").select(F.col("p").alias("score"), (F.col("label") == 1).alias("correct"))
+
+
+def fit(rows: DataFrame, calibration: DataFrame | None = None, target_precision: float = 0.98, fallback: float = 0.90, minimum: int = 100, rounds: int = ROUNDS, version: str = "") -> Model:
+    """``rows``: the feature matrix of training pairs with label; ``calibration``: that of ``candidates``.
+
+    The identity model learns from all training pairs. Calibration records are dealt into three
+    parts by their id: the target model learns from the first, the isotonic calibrator from the
+    second, the third chooses the threshold; if a part has fewer than five records, all choose
+    the threshold. Too few pairs (20) or one class only: rules alone.
+    """
+    rows = settle(rows)
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2 or sum(sizes.values()) < 20:
         return Model(None, None, None, fallback, fallback, version)
     features = [c for c in scoring.FEATURES if c in rows.columns]
-    identity = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="v"), GBTClassifier(featuresCol="v", labelCol="label", maxIter=20, stepSize=0.08, maxDepth=4, seed=42)]).fit(rows.filter("part = 0"))
-    scored = settle(with_rivals(probability(identity, rows.drop("score"), "score")))
-    balance = scored.withColumn("w", F.when(F.col("label") == 1, F.lit(sum(sizes.values()) / (2 * sizes[1]))).otherwise(F.lit(sum(sizes.values()) / (2 * sizes[0]))))
-    target = Pipeline(stages=[VectorAssembler(inputCols=list(dict.fromkeys(TARGET)), outputCol="v"), LogisticRegression(featuresCol="v", labelCol="label", weightCol="w", maxIter=50)]).fit(balance.filter("part != 2"))
-    judged = settle(probability(target, scored, "p"))
-    held = judged.filter("part = 1")
-    calibrator = None
-    if held.count() >= 20 and held.select("label").distinct().count() == 2:
-        calibrator = IsotonicRegression(featuresCol="p", labelCol="label").fit(held.select("p", F.col("label").cast("double").alias("label")))
-        judged = calibrator.transform(judged).withColumn("p", F.col("prediction")).drop("prediction")
-    last = judged.filter("part = 2")
-    best = last.withColumn("rn", F.row_number().over(Window.partitionBy("adm_party_id").orderBy(F.desc("p"), "party_id"))).filter("rn = 1").select(F.col("p").alias("score"), (F.col("label") == 1).alias("correct"))
-    n = best.count()
-    limit = evaluate.threshold(best, target_precision, min(100, max(5, n // 2)), fallback)
-    return Model(identity, target, calibrator, limit, limit, version)
+    identity = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="v"), GBTClassifier(featuresCol="v", labelCol="label", maxIter=rounds, stepSize=0.08, maxDepth=4, seed=42, checkpointInterval=-1)]).fit(rows)
+    model = Model(identity, None, None, fallback, fallback, version)
+    if calibration is None:
+        return model
+    held = settle(with_rivals(probability(identity, calibration.drop("score"), "score")).withColumn("part", partition(F.col("adm_party_id"))))
+    counts = {r["part"]: r["n"] for r in held.groupBy("part").agg(F.count_distinct("adm_party_id").alias("n")).collect()}
+    if min(counts.get(i, 0) for i in range(3)) < 5:
+        held = held.withColumn("part", F.lit(2))
+    first = held.filter("part = 0")
+    classes = {r["label"]: r["n"] for r in first.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    plain = F.greatest(F.lit(0.0), scoring.target(F.col("own"), F.col("runner")))
+    if len(classes) == 2:
+        weight = F.when(F.col("label") == 1, F.lit(sum(classes.values()) / (2 * classes[1]))).otherwise(F.lit(sum(classes.values()) / (2 * classes[0])))
+        model.target = Pipeline(stages=[VectorAssembler(inputCols=list(TARGET), outputCol="v"), LogisticRegression(featuresCol="v", labelCol="label", weightCol="w", maxIter=500)]).fit(first.withColumn("w", weight))
+        judged = settle(probability(model.target, held, "p"))
+    else:
+        judged = held.withColumn("p", plain)
+    second = settle(_decisions(judged.filter("part = 1")))
+    told = second.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("correct").alias("classes"), F.count_distinct(F.round("score", 6)).alias("scores")).first()
+    if told["n"] >= 20 and told["classes"] == 2 and told["scores"] >= 3:
+        model.calibrator = IsotonicRegression(featuresCol="p", labelCol="label").fit(second.select(F.col("score").alias("p"), F.col("correct").cast("double").alias("label")))
+    third = _decisions(judged.filter("part = 2"))
+    third = settle(third if model.calibrator is None else third.withColumn("score", calibrated(model.calibrator, F.col("score"))))
+    n = third.count()
+    model.threshold = model.plain_threshold = evaluate.threshold(third, target_precision, min(minimum, max(5, n // 2)), fallback)
+    return model
 
 
 def save(spark: SparkSession, model: Model, path: str) -> None:
@@ -105,11 +219,14 @@ def save(spark: SparkSession, model: Model, path: str) -> None:
         part = getattr(model, name)
         if part is not None:
             part.write().overwrite().save(f"{path}/{name}")
-    spark.createDataFrame([(json.dumps({"threshold": model.threshold, "plain_threshold": model.plain_threshold, "version": model.version, "features": scoring.FEATURES}),)], "value string").write.mode("overwrite").text(f"{path}/meta")
+    spark.createDataFrame([(json.dumps({"threshold": model.threshold, "plain_threshold": model.plain_threshold, "version": model.version, "features": scoring.FEATURES, "parts": [n for n in ("identity", "target", "calibrator") if getattr(model, n) is not None]}),)], "value string").write.mode("overwrite").text(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str, version: str | None = None) -> Model | None:
-    """A saved model, or None if there is none; another data version or feature list is an error."""
+    """A saved model, or None if there is none; another data version or feature list is an error.
+
+    A part that was not saved, or cannot be read, is left to the rules.
+    """
     from pyspark.ml.regression import IsotonicRegressionModel
 
     try:
@@ -118,4 +235,11 @@ def load(spark: SparkSession, path: str, version: str | None = None) -> Model |
         return None
     if (version is not None and meta["version"] != version) or meta["features"] != list(scoring.FEATURES):
         raise RuntimeError("the model was trained on other data or features")
-    return Model(PipelineModel.load(f"{path}/identity"), PipelineModel.load(f"{path}/target"), IsotonicRegressionModel.load(f"{path}/calibrator"), meta["threshold"], meta["plain_threshold"], meta["version"])
+    parts = {}
+    for name, kind in (("identity", PipelineModel), ("target", PipelineModel), ("calibrator", IsotonicRegressionModel)):
+        try:
+            parts[name] = kind.load(f"{path}/{name}") if name in meta["parts"] else None
+        except Exception as e:  # noqa: BLE001
+            warnings.warn(f"{name} of the model could not be loaded; the rules decide instead: {e}", stacklevel=2)
+            parts[name] = None
+    return Model(parts["identity"], parts["target"], parts["calibrator"], meta["threshold"], meta["plain_threshold"], meta["version"])

@@ -175,21 +175,108 @@ def x38_name_tokens(spark, sf):
     return views.parties(spark, sf).select("party_id", F.array_join(X.name_tokens(F.col("party_name")), " ").alias("meaningful"))
 
 
-@register("x26_name_views")
-def x26_name_views(spark, sf):
-    """At most three other writings of each name."""
-    return views.written(spark, sf).select("adm_party_id", F.posexplode(X.name_views(F.col("raw_name"))).alias("place", "v")).select("adm_party_id", "place", "v.kind", "v.view", "v.removed")
+SINGULAR = "CASE WHEN length({0}) >= 6 AND ends_with({0}, 'ies') THEN left({0}, length({0}) - 3) || 'y' WHEN length({0}) >= 5 AND ends_with({0}, 's') THEN left({0}, length({0}) - 1) ELSE {0} END"
+ALIKE = f"CASE WHEN t = u THEN 1.0 WHEN {SINGULAR.format('t')} = {SINGULAR.format('u')} THEN 0.94 WHEN least(length(t), length(u)) >= 5 AND 1 - levenshtein(t, u) / greatest(length(t), length(u)) >= 0.78 THEN 1 - levenshtein(t, u) / greatest(length(t), length(u)) ELSE 0.0 END"
+
+
+@register("x24_token_similarity", f"{SETS}, e AS (SELECT DISTINCT unnest(x) AS t, y FROM s), f AS (SELECT DISTINCT t, unnest(y) AS u FROM e) SELECT t, u, round({ALIKE}, 6) AS similarity FROM f")
+def x24_token_similarity(spark, sf):
+    p = pairs(spark, sf).select("a", "b").distinct()
+    t = p.select(F.explode(F.array_distinct(X.tokens(F.col("a")))).alias("t"), F.col("b")).select("t", F.explode(F.array_distinct(X.tokens(F.col("b")))).alias("u")).distinct()
+    return t.select("t", "u", F.round(X.token_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
 
 
-@register("x25_soft_coverage")
+MEANT = f"list_filter({words('{0}')}, lambda t: NOT list_contains([{', '.join(repr(w) for w in X.NOT_WORDS)}], t))"
+
+
+@register(
+    "x25_soft_coverage",
+    f"""WITH RECURSIVE {SETS[5:]}, {IDF}, m AS (SELECT DISTINCT a, b, {MEANT.replace('{0}', 'a')} AS x, {MEANT.replace('{0}', 'b')} AS y FROM pairs),
+c AS (SELECT a, b, i, j, x[i] AS t, y[j] AS u FROM m, unnest(range(1, len(x) + 1)) AS p(i), unnest(range(1, len(y) + 1)) AS q(j)),
+w AS (SELECT c.*, {ALIKE} AS sim, greatest(1.0, coalesce(k.idf, 1.0)) AS l, greatest(1.0, coalesce(n.idf, 1.0)) AS r FROM c LEFT JOIN idf k ON k.token = t LEFT JOIN idf n ON n.token = u),
+o AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY sim DESC, i DESC, j DESC) AS k FROM w WHERE sim > 0),
+g(a, b, k, ui, uj, gl, gr) AS (SELECT a, b, 0::BIGINT, []::BIGINT[], []::BIGINT[], 0.0::DOUBLE, 0.0::DOUBLE FROM m
+  UNION ALL SELECT g.a, g.b, o.k, CASE WHEN list_contains(ui, o.i) OR list_contains(uj, o.j) THEN ui ELSE list_append(ui, o.i) END, CASE WHEN list_contains(ui, o.i) OR list_contains(uj, o.j) THEN uj ELSE list_append(uj, o.j) END,
+    CASE WHEN list_contains(ui, o.i) OR list_contains(uj, o.j) THEN gl ELSE gl + o.sim * o.l END, CASE WHEN list_contains(ui, o.i) OR list_contains(uj, o.j) THEN gr ELSE gr + o.sim * o.r END
+  FROM g JOIN o ON o.a = g.a AND o.b = g.b AND o.k = g.k + 1),
+z AS (SELECT a, b, arg_max(gl, k) AS gl, arg_max(gr, k) AS gr FROM g GROUP BY a, b),
+sl AS (SELECT a, b, sum(greatest(1.0, coalesce(idf, 1.0))) AS n FROM (SELECT a, b, unnest(x) AS token FROM m) LEFT JOIN idf USING (token) GROUP BY a, b),
+sr AS (SELECT a, b, sum(greatest(1.0, coalesce(idf, 1.0))) AS n FROM (SELECT a, b, unnest(y) AS token FROM m) LEFT JOIN idf USING (token) GROUP BY a, b)
+SELECT z.a, z.b, round(coalesce(CASE WHEN sr.n IS NULL THEN 0 ELSE gl / sl.n END, 0), 6) AS mine, round(coalesce(CASE WHEN sl.n IS NULL THEN 0 ELSE gr / sr.n END, 0), 6) AS theirs FROM z LEFT JOIN sl ON sl.a = z.a AND sl.b = z.b LEFT JOIN sr ON sr.a = z.a AND sr.b = z.b""",
+)
 def x25_soft_coverage(spark, sf):
+    """Greedy one-to-one coverage, both ways."""
     idf = scoring.token_idf(views.parties(spark, sf).select(F.col("party_name").alias("name")))
     d = scoring.with_weights(pairs(spark, sf).select(F.col("a").alias("mention_norm"), F.col("b").alias("norm_name")).distinct(), idf)
     a, b = F.col("mention_norm"), F.col("norm_name")
-    return d.withColumn("c", X.soft_coverage(a, b, F.col("idf"))).select(a.alias("a"), b.alias("b"), "c.mine", "c.theirs")
+    return d.withColumn("c", X.soft_coverage(a, b, F.col("idf"))).select(a.alias("a"), b.alias("b"), F.round("c.mine", 6).alias("mine"), F.round("c.theirs", 6).alias("theirs"))
+
+
+SEGMENTS = "list_filter(list_transform(regexp_split_to_array({0}, '{1}'), lambda p: trim(p)), lambda p: p <> '')"
+_DASH = "[-–—|/]"
+VIEW_SEP, PART_SEP = f"-{{2,}}|\\s+{_DASH}\\s*|\\s*{_DASH}\\s+", f"\\s+{_DASH}\\s+|\\s+{_DASH}\\s*|\\s*{_DASH}\\s+"
+PAREN = "^(.+?)\\s*\\(([^()]+)\\)\\s*\\.?$"
+
+
+@register(
+    "x26_name_views",
+    f"""{CTE}, r AS (SELECT adm_party_id, trim(raw_name) AS raw, {N} AS whole FROM written),
+p AS (SELECT *, {SEGMENTS.replace('{0}', 'raw').replace('{1}', VIEW_SEP)} AS seg, {words('whole')} AS w FROM r),
+v AS (SELECT adm_party_id, whole, unnest(list_filter([
+  CASE WHEN len(seg) > 1 THEN {{'o': 1, 'kind': 'first_segment', 'view': seg[1], 'removed': array_to_string(seg[2:], ' ')}} END,
+  CASE WHEN len(seg) > 1 THEN {{'o': 2, 'kind': 'last_segment', 'view': seg[-1], 'removed': array_to_string(seg[:len(seg) - 1], ' ')}} END,
+  CASE WHEN regexp_matches(raw, '{PAREN}') THEN {{'o': 3, 'kind': 'without_parenthetical', 'view': trim(regexp_extract(raw, '{PAREN}', 1)), 'removed': trim(regexp_extract(raw, '{PAREN}', 2))}} END,
+  CASE WHEN len(w) = 2 AND len(list_filter(w, lambda t: length(t) BETWEEN 3 AND 12)) = 2 THEN {{'o': 4, 'kind': 'compact_spacing', 'view': array_to_string(w, ''), 'removed': ''}} END,
+  CASE WHEN len(list_filter(w, lambda t: length(t) >= 6 AND ends_with(t, 'ies'))) > 0 THEN {{'o': 5, 'kind': 'plural_ies', 'view': array_to_string(list_transform(w, lambda t: CASE WHEN length(t) >= 6 AND ends_with(t, 'ies') THEN left(t, length(t) - 3) || 'y' ELSE t END), ' '), 'removed': ''}} END], lambda x: x IS NOT NULL)) AS v FROM p),
+n AS (SELECT *, {norm('v.view')} AS n FROM v), u AS (SELECT *, row_number() OVER (PARTITION BY adm_party_id, n ORDER BY v.o) AS again FROM n),
+k AS (SELECT *, row_number() OVER (PARTITION BY adm_party_id ORDER BY v.o) - 1 AS place FROM u WHERE again = 1 AND length(n) >= 3 AND n <> whole)
+SELECT adm_party_id, place::INTEGER AS place, v.kind AS kind, v.view AS view, v.removed AS removed FROM k WHERE place < 3""",
+)
+def x26_name_views(spark, sf):
+    """At most three other writings of each name."""
+    return views.written(spark, sf).select("adm_party_id", F.posexplode(X.name_views(F.col("raw_name"))).alias("place", "v")).select("adm_party_id", "place", "v.kind", "v.view", "v.removed")
+
 
+CUTS = "regexp_extract_all({0}, '[^\\p{L}\\p{N}]*[\\p{L}\\p{N}]+')"
+_EDGES = "' ' || chr(9) || '.,:;-/' || chr(8211) || chr(8212) || '|()'"
+PREFIXES = f"""c AS (SELECT *, {CUTS.replace('{0}', 'raw_name')} AS cut FROM written_),
+b AS (SELECT c.* EXCLUDE (cut), k, array_to_string(cut[1:k], '') AS written, cut[k] AS last FROM c, unnest(range(1, least({{most}}, len(cut)) + 1)) AS x(k)),
+q AS (SELECT *, trim(written) AS prefix, {norm('written')} AS norm, trim(substr(raw_name, length(written) + 1), {_EDGES}) AS remainder FROM b)"""
 
-@register("x33_fragments")
+
+@register("x27_anchored", f"{CTE}, written_ AS (SELECT adm_party_id, raw_name, {norm('party_name')} AS official FROM written JOIN parties ON expected = party_id), {PREFIXES.replace('{most}', '1000000')}, t AS (SELECT *, {MEANT.replace('{0}', 'official')} AS told, len(list_filter({words('official')}, lambda t: list_contains({LEGAL}, t))) > 0 AS legal FROM q), h AS (SELECT *, row_number() OVER (PARTITION BY adm_party_id ORDER BY k) AS rn FROM t WHERE norm = official AND length({norm('remainder')}) > 1 AND (len(told) > 1 OR (legal AND len(told) = 1 AND length(told[1]) >= 8))) SELECT adm_party_id, prefix, remainder FROM h WHERE rn = 1")
+def x27_anchored(spark, sf):
+    """Names that begin with the whole official name of their party."""
+    w, p = views.written(spark, sf), views.parties(spark, sf)
+    j = w.join(p, w.expected == p.party_id).select("adm_party_id", X.anchored(F.col("raw_name"), X.normalize(F.col("party_name"))).alias("a"))
+    return j.filter("a.prefix is not null").select("adm_party_id", "a.prefix", "a.remainder")
+
+
+PLACES = "[" + ", ".join(repr(x) for x in sorted(set(vocab.LOCATIONS))) + "]"
+KNOWN_PHRASES = "|".join(sorted({*vocab.STRUCTURE, *vocab.REGIONAL_LEGAL, *vocab.LOCATIONS}, key=lambda p: (-p.count(" "), p)))
+REGIONAL = f"list_filter({words('{0}')}, lambda t: NOT list_contains([{', '.join(repr(w) for w in vocab.REGIONAL_LEGAL)}], t))"
+
+
+@register(
+    "x31_regional",
+    f"""{CTE}, m AS (SELECT adm_party_id, {REGIONAL.replace('{0}', norm('raw_name'))} AS r, {REGIONAL.replace('{0}', norm('party_name'))} AS c FROM written JOIN parties ON expected = party_id),
+e AS (SELECT adm_party_id, array_to_string(list_concat(r[:i - 1], r[i + len(c):]), ' ') || ' ' AS rest FROM m, unnest(range(1, len(r) - len(c) + 2)) AS x(i) WHERE len(c) > 0 AND len(r) > len(c) AND r[i:i + len(c) - 1] = c),
+f AS (SELECT *, regexp_extract_all(rest, '({KNOWN_PHRASES}) ', 1) AS found FROM e)
+SELECT DISTINCT adm_party_id FROM f WHERE array_to_string(found, ' ') || ' ' = rest AND len(list_filter(found, lambda t: list_contains({PLACES}, t))) > 0""",
+)
+def x31_regional(spark, sf):
+    """Names that are their party's core and geography."""
+    w, p = views.written(spark, sf), views.parties(spark, sf)
+    core = lambda c: X.regional_core(X.normalize(F.col(c)))
+    return w.join(p, w.expected == p.party_id).filter(X.regional_match(core("raw_name"), core("party_name"))).select("adm_party_id")
+
+
+@register(
+    "x33_fragments",
+    f"""{CTE}, r AS (SELECT adm_party_id, trim(raw_name) AS raw, regexp_matches(trim(raw_name), '{PAREN}') AS par FROM written),
+p AS (SELECT *, CASE WHEN par THEN 'parentheses' WHEN contains(raw, '|') THEN 'pipe' ELSE 'separator' END AS delimiter, list_filter(CASE WHEN par THEN [trim(regexp_extract(raw, '{PAREN}', 1)), trim(regexp_extract(raw, '{PAREN}', 2))] ELSE {SEGMENTS.replace('{0}', 'raw').replace('{1}', PART_SEP)} END, lambda x: length({norm('x')}) >= 3) AS pieces FROM r)
+SELECT adm_party_id, delimiter, (i - 1)::INTEGER AS position, pieces[i] AS text FROM p, unnest(range(1, len(pieces) + 1)) AS q(i) WHERE len(pieces) BETWEEN 2 AND 4 AND len(list_distinct(list_transform(pieces, lambda x: {norm('x')}))) > 1""",
+)
 def x33_fragments(spark, sf):
     return views.written(spark, sf).select("adm_party_id", F.explode(X.fragments(F.col("raw_name"))).alias("f")).select("adm_party_id", "f.delimiter", "f.position", "f.text")
 
@@ -254,9 +341,12 @@ def f03_eligibility(spark, sf):
     return prepare.records(rows, p, "acc").select(F.col("own").alias("party_id"), "eligible")
 
 
-@register("f05_as_bool", "SELECT o_orderkey, lower(trim(o_orderstatus)) IN ('1', 'true', 'yes', 'y', 'verified') AS flag FROM orders")
+SAID = "CASE o_orderkey % 9 WHEN 0 THEN ' Yes ' WHEN 1 THEN 'TRUE' WHEN 2 THEN 'no' WHEN 3 THEN '1' WHEN 4 THEN 'verified' WHEN 5 THEN NULL WHEN 6 THEN 'y' WHEN 7 THEN '0' ELSE o_orderstatus END"
+
+
+@register("f05_as_bool", f"SELECT o_orderkey, coalesce(lower(trim({SAID})) IN ('1', 'true', 'yes', 'y', 'verified'), false) AS flag FROM orders")
 def f05_as_bool(spark, sf):
-    return views.tables(spark, sf, "orders")["orders"].select("o_orderkey", prepare.as_bool(F.col("o_orderstatus")).alias("flag"))
+    return views.tables(spark, sf, "orders")["orders"].select("o_orderkey", prepare.as_bool(F.expr(SAID)).alias("flag"))
 
 
 @register("w23_catalog_order", "WITH n AS (SELECT DISTINCT trim(p_name || ' ' || p_type) AS party_name FROM part) SELECT party_name, (row_number() OVER (ORDER BY lower(party_name), party_name) - 1)::BIGINT AS index FROM n")
@@ -358,23 +448,28 @@ def j03_word_cosine(spark, sf):
     return _cosine(spark, sf, "word", 0.4).filter("score > 0.4")
 
 
-@register("j04_vector_top", "WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE label = 0), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_cosine_similarity(q.e, c.embedding)::DOUBLE, 4) AS score FROM q, embeddings c), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) SELECT query_id, count(*) AS hits, round(max(score), 3) AS best FROM r WHERE rn <= 5 GROUP BY query_id")
+@register("j04_vector_top", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings), s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_inner_product(q.e, c.e) / (q.n * c.n), 6) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM s) SELECT query_id, vec_id, round(score, 4) AS score FROM r WHERE rn <= 5")
 def j04_vector_top(spark, sf):
+    """For each query its five nearest vectors, by cosine."""
     e = views.tables(spark, sf, "embeddings")["embeddings"]
-    names = e.filter("label = 0").select(F.col("vec_id").cast("string").alias("name"), F.col("embedding").alias("v"))
-    found = retrieval.vector_top(names, e.select(F.col("vec_id").cast("string").alias("text"), F.col("embedding").alias("v")), 5, -1.0)
-    return found.groupBy(F.col("name").cast("long").alias("query_id")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.max("score"), 3).alias("best"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+    unit = e.withColumn("n", norm).select("vec_id", F.transform("embedding", lambda x: x.cast("double") / F.col("n")).alias("v"))
+    key = F.lpad(F.col("vec_id").cast("string"), 20, "0")  # so that ties go to the smaller id
+    found = retrieval.vector_top(unit.filter("vec_id % 20 = 0").select(key.alias("name"), "v"), unit.select(key.alias("text"), "v"), 5, -1.0, digits=6)
+    return found.select(F.col("name").cast("long").alias("query_id"), F.col("text").cast("long").alias("vec_id"), F.round("score", 4).alias("score"))
 
 
 @register("j08_anti_ledger", f"{CTE} SELECT adm_party_id FROM written WHERE adm_party_id NOT IN (SELECT adm_party_id FROM written WHERE expected LIKE '%large')")
 def j08_anti_ledger(spark, sf):
     w = views.written(spark, sf)
-    return w.join(w.filter("expected like '%large'").select("adm_party_id"), "adm_party_id", "left_anti").select("adm_party_id")
+    return matcher.fresh(w, w.filter("expected like '%large'").select("adm_party_id")).select("adm_party_id")
 
 
 @register("j09_semi_ids", f"{CTE} SELECT adm_party_id FROM written WHERE expected IN (SELECT party_id FROM parties WHERE parent_id IS NOT NULL)")
 def j09_semi_ids(spark, sf):
-    return views.written(spark, sf).withColumnRenamed("expected", "party_id").join(views.parties(spark, sf).filter("parent_id is not null"), "party_id", "left_semi").select("adm_party_id")
+    w = views.written(spark, sf)
+    wanted = w.withColumnRenamed("expected", "party_id").join(views.parties(spark, sf).filter("parent_id is not null"), "party_id", "left_semi").select("adm_party_id")
+    return matcher.chosen(w, wanted).select("adm_party_id")
 
 
 ROOTED = f"WITH RECURSIVE {CTE[5:]}, up(party_id, cur) AS (SELECT party_id, party_id FROM parties UNION ALL SELECT up.party_id, p.parent_id FROM up JOIN parties p ON p.party_id = up.cur WHERE p.parent_id IS NOT NULL), rooted AS (SELECT up.party_id, cur AS root_id, r.party_name AS root_name, o.party_name, {norm('o.party_name')} AS n FROM up JOIN parties r ON r.party_id = up.cur AND r.parent_id IS NULL JOIN parties o ON o.party_id = up.party_id)"
@@ -397,7 +492,10 @@ def j14_prefix_owners(spark, sf):
     return decide.short_name_indexes(matcher.rooted(views.parties(spark, sf)), wanted)[1]
 
 
-@register("j17_raw_prefixes")
+OFFICIAL = f"trim(regexp_replace({base(norm('party_name'))}, '^((the|a|an)( |$))+', ''))"
+
+
+@register("j17_raw_prefixes", f"{CTE}, written_ AS (SELECT adm_party_id, raw_name FROM written), {PREFIXES.replace('{most}', '25')}, l AS (SELECT *, lag(norm) OVER (PARTITION BY adm_party_id ORDER BY k) AS before FROM q), v AS (SELECT party_id, {OFFICIAL} AS norm FROM parties) SELECT l.norm, adm_party_id, party_id FROM l JOIN v ON l.norm = v.norm WHERE l.norm <> '' AND (before IS NULL OR before <> l.norm)")
 def j17_raw_prefixes(spark, sf):
     p = views.written(spark, sf).select("adm_party_id", F.explode(X.raw_prefixes(F.col("raw_name"))).alias("p")).select("adm_party_id", F.col("p.norm").alias("norm"))
     v = views.parties(spark, sf).select("party_id", X.official_base(X.normalize(F.col("party_name"))).alias("norm"))
@@ -409,9 +507,9 @@ def j17_raw_prefixes(spark, sf):
 DECISIONS = f"""{ROOTED}, w AS (SELECT adm_party_id, raw_name, expected, {N} AS n FROM written),
 x AS (SELECT w.adm_party_id, min(r.root_id) AS root_id, count(DISTINCT r.root_id) AS k FROM w JOIN rooted r ON r.n = w.n GROUP BY 1),
 y AS (SELECT w.adm_party_id, min(r.root_id) AS root_id, count(DISTINCT r.root_id) AS k FROM w JOIN rooted r ON {base('r.n')} = {base('w.n')} AND {base('w.n')} <> '' GROUP BY 1),
-d AS (SELECT w.adm_party_id, w.raw_name, coalesce(x.root_id, y.root_id) AS party_id, CASE WHEN x.k = 1 THEN 0.999 WHEN y.k = 1 THEN 0.985 WHEN y.k > 1 THEN 0.6 ELSE 0.0 END AS confidence, CASE WHEN x.k = 1 OR y.k = 1 THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, e.root_id AS expected, length(w.raw_name) % 5 <> 0 AS scorable, w.n LIKE '%ltd%' AS odd
+d AS (SELECT w.adm_party_id, w.raw_name, coalesce(x.root_id, y.root_id) AS party_id, CASE WHEN x.k = 1 THEN 0.999 WHEN y.k = 1 THEN 0.985 WHEN y.k > 1 THEN 0.6 ELSE 0.0 END AS confidence, CASE WHEN x.k = 1 OR y.k = 1 THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, e.root_id AS expected, length(w.raw_name) % 5 <> 0 AS scorable, x.root_id AS xr, y.root_id AS yr
   FROM w LEFT JOIN x USING (adm_party_id) LEFT JOIN y USING (adm_party_id) LEFT JOIN rooted e ON e.party_id = w.expected),
-j AS (SELECT *, decision = 'MATCH' AS matched, decision = 'MATCH' AND scorable AND coalesce(party_id = expected, false) AS correct FROM d)"""
+j AS (SELECT *, decision = 'MATCH' AS matched, decision = 'MATCH' AND scorable AND coalesce(party_id = expected, false) AS correct, scorable AND coalesce(xr = expected OR yr = expected, xr = expected, yr = expected, false) AS retrieved FROM d)"""
 
 
 def structural(spark, sf):
@@ -432,12 +530,13 @@ def report(spark, sf):
 
 
 WIL = "CASE WHEN n_judged > 0 THEN round((n_correct / n_judged + 1.96 * 1.96 / (2 * n_judged) {0} 1.96 * sqrt(n_correct / n_judged * (1 - n_correct / n_judged) / n_judged + 1.96 * 1.96 / (4 * n_judged * n_judged::DOUBLE))) / (1 + 1.96 * 1.96 / n_judged), 6) END"
-PACK = f"SELECT {{0}}n_rows, n_scorable, n_matched, n_judged, n_correct, round(CASE WHEN n_judged > 0 THEN n_correct / n_judged END, 6) AS precision_, round(CASE WHEN n_scorable > 0 THEN n_correct / n_scorable END, 6) AS recall_, {WIL.format('-')} AS precision_low, {WIL.format('+')} AS precision_high FROM (SELECT {{0}}count(*) AS n_rows, count(*) FILTER (scorable) AS n_scorable, count(*) FILTER (matched) AS n_matched, count(*) FILTER (matched AND scorable) AS n_judged, count(*) FILTER (correct) AS n_correct FROM j {{1}})"
-KEEP = ["n_rows", "n_scorable", "n_matched", "n_judged", "n_correct"]
+_P, _R = "CASE WHEN n_judged > 0 THEN n_correct / n_judged END", "CASE WHEN n_scorable > 0 THEN n_correct / n_scorable END"
+PACK = f"SELECT {{0}}n_rows, n_scorable, n_matched, n_judged, n_correct, n_retrieved, round(CASE WHEN {_P} + {_R} > 0 THEN 2 * {_P} * {_R} / ({_P} + {_R}) END, 6) AS f1, round(CASE WHEN n_rows > 0 THEN n_matched / n_rows END, 6) AS coverage, round(CASE WHEN n_scorable > 0 THEN n_retrieved / n_scorable END, 6) AS retrieval_recall, round(CASE WHEN n_judged > 0 THEN n_correct / n_judged END, 6) AS precision_, round(CASE WHEN n_scorable > 0 THEN n_correct / n_scorable END, 6) AS recall_, {WIL.format('-')} AS precision_low, {WIL.format('+')} AS precision_high FROM (SELECT {{0}}count(*) AS n_rows, count(*) FILTER (scorable) AS n_scorable, count(*) FILTER (matched) AS n_matched, count(*) FILTER (matched AND scorable) AS n_judged, count(*) FILTER (correct) AS n_correct, count(*) FILTER (retrieved) AS n_retrieved FROM j {{1}})"
+KEEP = ["n_rows", "n_scorable", "n_matched", "n_judged", "n_correct", "n_retrieved"]
 
 
 def _pack(rows, *by):
-    return evaluate.pack(rows, *by).select(*by, *KEEP, *[F.round(c, 6).alias(c) for c in ("precision_", "recall_", "precision_low", "precision_high")])
+    return evaluate.pack(rows, *by).select(*by, *KEEP, *[F.round(c, 6).alias(c) for c in ("precision_", "recall_", "f1", "coverage", "retrieval_recall", "precision_low", "precision_high")])
 
 
 @register("a10_metrics", f"{DECISIONS} {PACK.format('', '')}")
@@ -458,9 +557,9 @@ def a12_confidence_bins(spark, sf):
     return evaluate.bins(report(spark, sf))
 
 
-@register("a13_funnel", f"{DECISIONS} SELECT count(*) AS n_rows, count(*) FILTER (scorable) AS n_scorable, count(*) FILTER (scorable AND matched) AS n_decided, count(*) FILTER (correct) AS n_correct FROM j")
+@register("a13_funnel", f"{DECISIONS} SELECT count(*) AS n_rows, count(*) FILTER (scorable) AS n_scorable, count(*) FILTER (retrieved) AS n_retrieved, count(*) FILTER (scorable AND matched) AS n_decided, count(*) FILTER (correct) AS n_correct FROM j")
 def a13_funnel(spark, sf):
-    return evaluate.funnel(report(spark, sf)).drop("n_retrieved")
+    return evaluate.funnel(report(spark, sf))
 
 
 @register("a14_macro_recall", f"{DECISIONS}, e AS (SELECT expected, count(*) FILTER (correct) / count(*) AS r FROM j WHERE scorable GROUP BY expected) SELECT count(*) AS n_entities, round(avg(r), 9) AS macro_recall FROM e")
@@ -473,9 +572,9 @@ def a18_party_summary(spark, sf):
     return evaluate.party_summary(report(spark, sf)).select("party_id", F.col("n_truth").cast("long").alias("n_truth"), F.col("n_found").cast("long").alias("n_found"), "n_correct")
 
 
-@register("a21_threshold_sweep", f"{DECISIONS}, b AS (SELECT least(floor(round((confidence - 0.6) / 0.05, 9)), 6)::INTEGER AS cut, count(*) FILTER (scorable) AS n, count(*) FILTER (scorable AND party_id = expected) AS c FROM j WHERE confidence >= 0.6 AND party_id IS NOT NULL GROUP BY 1) SELECT round(cut * 0.05 + 0.6, 4) AS cutoff, (sum(n) OVER (ORDER BY cut DESC))::BIGINT AS n_emitted, (sum(c) OVER (ORDER BY cut DESC))::BIGINT AS n_correct FROM b")
+@register("a21_threshold_sweep", f"{DECISIONS}, b AS (SELECT least(floor(round((confidence - 0.6) / 0.05, 9)), 6)::INTEGER AS cut, count(*) FILTER (scorable) AS n, count(*) FILTER (scorable AND party_id = expected) AS c FROM j WHERE confidence >= 0.6 AND party_id IS NOT NULL GROUP BY 1) SELECT round(cut * 0.05 + 0.6, 4) AS cutoff, (sum(n) OVER (ORDER BY cut DESC))::BIGINT AS n_emitted, (sum(c) OVER (ORDER BY cut DESC))::BIGINT AS n_correct, round(CASE WHEN sum(n) OVER (ORDER BY cut DESC) > 0 THEN sum(c) OVER (ORDER BY cut DESC) / sum(n) OVER (ORDER BY cut DESC) END, 6) AS precision_ FROM b")
 def a21_threshold_sweep(spark, sf):
-    return evaluate.sweep(report(spark, sf)).drop("precision_")
+    return evaluate.sweep(report(spark, sf)).withColumn("precision_", F.round("precision_", 6))
 
 
 @register("a27_threshold", f"{DECISIONS}, s AS (SELECT round(confidence, 4) AS s, count(*) AS n, count(*) FILTER (correct) AS c FROM j WHERE party_id IS NOT NULL GROUP BY 1), r AS (SELECT s, sum(n) OVER (ORDER BY s DESC) AS n, sum(c) OVER (ORDER BY s DESC) AS c FROM s) SELECT coalesce((SELECT s FROM r WHERE n >= 5 AND c >= 0.5 * n ORDER BY c DESC, s LIMIT 1), 0.9)::DOUBLE AS threshold")
@@ -491,11 +590,12 @@ def a15_disagreements(spark, sf):
     return evaluate.disagreements(d, strict)
 
 
-@register("x36_error_buckets", f"{DECISIONS} SELECT CASE WHEN NOT scorable THEN 'NOT_SCORABLE' WHEN correct THEN 'CORRECT' WHEN matched THEN 'WRONG_MATCH' ELSE 'OTHER_OR_MISS' END AS bucket, count(*) AS n FROM j GROUP BY 1")
+@register("x36_error_buckets", f"{DECISIONS} SELECT CASE WHEN NOT scorable THEN 'NOT_SCORABLE' WHEN correct THEN 'CORRECT' WHEN matched THEN 'WRONG_MATCH' WHEN NOT retrieved THEN 'RETRIEVAL_MISS' WHEN length(raw_name) % 3 = 0 THEN 'EXPECTED_GUARDED' WHEN length(raw_name) % 3 = 1 THEN 'AMBIGUITY' ELSE 'SUPPORT_REJECTION' END AS bucket, count(*) AS n FROM j GROUP BY 1")
 def x36_error_buckets(spark, sf):
-    rows = report(spark, sf).withColumn("reason", F.lit("OTHER"))
-    b = evaluate.error_bucket()
-    return rows.withColumn("bucket", F.when(b.isin("RETRIEVAL_MISS", "OTHER"), "OTHER_OR_MISS").otherwise(b)).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    """Buckets of errors; the reasons of refused rows are dealt by the length of their names."""
+    n = F.length("raw_name") % 3
+    reason = F.when(n == 0, "DIGIT_CONFLICT").when(n == 1, "CANDIDATE_COLLISION").otherwise("INSUFFICIENT_SUPPORT")
+    return report(spark, sf).withColumn("reason", reason).groupBy(evaluate.error_bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("w20_representatives", f"{CTE}, k AS (SELECT party_id, party_name, {TOKENS.replace('{0}', 'party_name')} AS t FROM parties), r AS (SELECT *, string_split(t, ' ')[1] AS anchor, row_number() OVER (PARTITION BY string_split(t, ' ')[1] ORDER BY len(string_split(t, ' ')), length(party_name), lower(party_name), party_id) AS rn FROM k) SELECT anchor, party_id AS adm_party_id, party_name AS raw_name FROM r WHERE rn = 1")
@@ -518,8 +618,8 @@ def k10_pages(spark, sf):
 
 @register("a07_root_percentiles", f"{CTE}, c AS (SELECT expected, count(*) AS n FROM written GROUP BY expected) SELECT quantile_cont(n, 0.5) AS p50, quantile_cont(n, 0.95) AS p95, max(n) AS most FROM c")
 def a07_root_percentiles(spark, sf):
-    c = views.written(spark, sf).groupBy("expected").agg(F.count(F.lit(1)).alias("n"))
-    return c.agg(F.percentile("n", 0.5).alias("p50"), F.percentile("n", 0.95).alias("p95"), F.max("n").alias("most"))
+    rows = views.written(spark, sf).select(F.col("expected").alias("text"), F.col("adm_party_id").alias("root_id"))
+    return retrieval.root_percentiles(rows)
 
 
 # --- decisions ------------------------------------------------------------------------
@@ -552,19 +652,17 @@ def d01_proposals(spark, sf):
 
 @register("w08_runner_up", "WITH p AS (SELECT o_custkey AS rec, o_orderkey AS root, round(o_totalprice / 600000.0, 6) AS s FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY s DESC, root) AS k, max(s) OVER (PARTITION BY rec) AS f FROM p), q AS (SELECT *, coalesce(max(CASE WHEN k = 2 THEN s END) OVER (PARTITION BY rec), 0.0) AS g FROM r) SELECT rec, root, k::INTEGER AS place, round(greatest(0.0, least(0.999, s * (0.92 + least(0.08, greatest(0.0, s - CASE WHEN k = 1 THEN g ELSE f END))))), 4) AS target FROM q")
 def w08_runner_up(spark, sf):
-    p = views.tables(spark, sf, "orders")["orders"].select(F.col("o_custkey").alias("rec"), F.col("o_orderkey").alias("root"), F.round(F.col("o_totalprice") / 600000.0, 6).alias("s"))
-    w = Window.partitionBy("rec")
-    r = p.withColumn("place", F.row_number().over(w.orderBy(F.desc("s"), "root")))
-    second = F.coalesce(F.max(F.when(F.col("place") == 2, F.col("s"))).over(w), F.lit(0.0))
-    r = r.withColumn("g", F.when(F.col("place") == 1, second).otherwise(F.max("s").over(w)))
-    return r.select("rec", "root", "place", F.round(scoring.target(F.col("s"), F.col("g")), 4).alias("target"))
+    o = views.tables(spark, sf, "orders")["orders"]
+    p = o.select(F.col("o_custkey").alias("rec"), F.col("o_orderkey").alias("root_id"), F.col("o_orderkey").cast("string").alias("name"), F.col("o_orderkey").alias("party_id"), F.lit("m").alias("mention_id"), F.round(F.col("o_totalprice") / 600000.0, 6).alias("score"), *[F.lit(0.0).alias(c) for c in ("exact", "digit_conflict", "distinctive_conflict")])
+    return decide.ranked(p, "rec").select("rec", F.col("root_id").alias("root"), F.col("identity_rank").alias("place"), F.round("target", 4).alias("target"))
 
 
 @register("w04_rrf", "WITH s AS (SELECT l_orderkey AS q, l_partkey AS d, max(l_quantity) AS a, max(l_extendedprice) AS b FROM lineitem GROUP BY 1, 2), r AS (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY a DESC, d) AS i, row_number() OVER (PARTITION BY q ORDER BY b DESC, d) AS k FROM s) SELECT q, d, round(1.0 / (60 + i) + 1.0 / (60 + k), 9) AS rrf FROM r")
 def w04_rrf(spark, sf):
-    s = views.tables(spark, sf, "lineitem")["lineitem"].groupBy(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("d")).agg(F.max("l_quantity").alias("a"), F.max("l_extendedprice").alias("b"))
-    rank = lambda c: F.row_number().over(Window.partitionBy("q").orderBy(F.desc(c), "d"))
-    return s.select("q", "d", F.round(1.0 / (60 + rank("a")) + 1.0 / (60 + rank("b")), 9).alias("rrf"))
+    s = views.tables(spark, sf, "lineitem")["lineitem"].groupBy(F.col("l_orderkey").alias("text"), F.col("l_partkey").alias("name")).agg(F.max("l_quantity").alias("a"), F.max("l_extendedprice").alias("b"))
+    rank = lambda c: F.row_number().over(Window.partitionBy("text").orderBy(F.desc(c), "name"))
+    found = retrieval.merged([retrieval.hit_rows(s.select("text", "name", (F.col(c) * 0).alias("score"), rank(c).alias("rank")), kind) for kind, c in (("char", "a"), ("word", "b"))], 1_000_000)
+    return found.select(F.col("text").alias("q"), F.col("name").alias("d"), F.round("rrf", 9).alias("rrf"))
 
 
 @register("d17_request_cutoff", f"{DECISIONS} SELECT adm_party_id, CASE WHEN matched AND confidence < 0.99 THEN 'NO_MATCH' ELSE decision END AS decision, CASE WHEN matched AND confidence < 0.99 THEN 'BELOW_REQUEST_CUTOFF' END AS reason FROM j")

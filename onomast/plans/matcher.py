@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.functions import text as X
-from onomast.operators import decide, graph, recovery, retrieval, scoring
+from onomast.operators import decide, graph, recovery, retrieval, scoring, train
 from onomast.operators.settle import settle
 
 
@@ -38,6 +40,16 @@ def proposals(all_mentions: DataFrame, parties: DataFrame, idf: DataFrame, cfg:
     return all_mentions.filter("text != ''").select("mention_id", "adm_party_id", "text", *[c for c in ("position",) if c in all_mentions.columns]).join(scored, "text").drop("text")
 
 
+def fresh(records: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Records whose id the ledger (adm_party_id) has not mapped yet."""
+    return records.join(ledger.select("adm_party_id").distinct(), "adm_party_id", "left_anti")
+
+
+def chosen(records: DataFrame, ids: DataFrame) -> DataFrame:
+    """Records whose id is on the list (adm_party_id)."""
+    return records.join(ids.select("adm_party_id").distinct(), "adm_party_id", "left_semi")
+
+
 def prepared(records: DataFrame) -> DataFrame:
     """Records with ``plain`` and ``parse_warning``."""
     found = X.mentions(F.col("raw_name"))
@@ -45,11 +57,16 @@ def prepared(records: DataFrame) -> DataFrame:
     return records.withColumn("raw_name", F.coalesce("raw_name", F.lit(""))).withColumn("parse_warning", warning).withColumn("plain", (F.size(found) == 1) & ~F.coalesce(warning == "MALFORMED_CONNECTOR", F.lit(False)))
 
 
-def baseline(records: DataFrame, all_mentions: DataFrame, props: DataFrame, parties: DataFrame, policy: decide.Policy) -> DataFrame:
-    """Plain names by the plain policy, all others segment by segment."""
-    single = decide.plain(records.filter("plain"), props.join(records.filter("plain").select("adm_party_id"), "adm_party_id", "left_semi"), policy)
+def baseline(records: DataFrame, all_mentions: DataFrame, props: DataFrame, parties: DataFrame, policy: decide.Policy, target=None, pooled: bool = False) -> DataFrame:
+    """Plain names by the plain policy, all others segment by segment.
+
+    ``pooled``: the older way, all segments of a name compete as if they were one.
+    """
+    if pooled:
+        return decide.plain(records, props, policy, target)
+    single = decide.plain(records.filter("plain"), props.join(records.filter("plain").select("adm_party_id"), "adm_party_id", "left_semi"), policy, target)
     joined = records.filter("not plain")
-    return single.unionByName(decide.connectors(joined, all_mentions, props.join(joined.select("adm_party_id"), "adm_party_id", "left_semi"), parties, policy))
+    return single.unionByName(decide.connectors(joined, all_mentions, props.join(joined.select("adm_party_id"), "adm_party_id", "left_semi"), parties, policy, target))
 
 
 def match_flat(verified: DataFrame, unverified: DataFrame, policy: decide.Policy = decide.Policy(multiword=False)) -> DataFrame:
@@ -88,17 +105,24 @@ def context(parties: DataFrame, records: DataFrame, policy: decide.Policy, flat:
     return recovery.Context(prepared_records, props, own, grams, idf, policy, cutoff), all_mentions
 
 
-def match(parties: DataFrame, records: DataFrame, policy: decide.Policy = decide.Policy(system=0.90), ledger: DataFrame | None = None, jobs: DataFrame | None = None, labels: DataFrame | None = None, cfg: retrieval.Retrieval = retrieval.Retrieval()) -> dict[str, DataFrame]:
-    """Every stage's decisions: baseline, enhanced, multipart, final.
+def match(parties: DataFrame, records: DataFrame, policy: decide.Policy = decide.Policy(system=0.90), ledger: DataFrame | None = None, jobs: DataFrame | None = None, labels: DataFrame | None = None, cfg: retrieval.Retrieval = retrieval.Retrieval(), model: train.Model | None = None, pooled: bool = False) -> dict[str, DataFrame]:
+    """Every stage's decisions: baseline, enhanced, multipart, final; with a ``model`` also its own, ``model``.
+
+    The rules' stages build on the rules' scores alone; a trained model decides beside them,
+    by its scores, target, calibration and thresholds.
 
     ``records`` may have ``eligible``; ``ledger`` (adm_party_id) holds ids already mapped.
     Both are anti-joined before anything is indexed, and reported as such.
     """
     eligible = records.filter(F.coalesce("eligible", F.lit(True))) if "eligible" in records.columns else records
-    fresh = eligible.join(ledger.select("adm_party_id").distinct(), "adm_party_id", "left_anti") if ledger is not None else eligible
-    ctx, all_mentions = context(parties, fresh, policy, cfg=cfg)
+    open_ = fresh(eligible, ledger) if ledger is not None else eligible
+    ctx, all_mentions = context(parties, open_, policy, cfg=cfg)
     stages: dict[str, DataFrame] = {}
-    base = baseline(ctx.records, all_mentions, ctx.proposals, ctx.parties, policy)
+    if model is not None:
+        own = replace(policy, system=model.threshold, plain=model.plain_threshold, containment=False, short_names=False)
+        learned = baseline(ctx.records, all_mentions, settle(train.apply(model, ctx.proposals)), ctx.parties, own, train.target(model), pooled)
+        stages["model"] = settle(decide.request_cutoff(learned, jobs) if jobs is not None else learned)
+    base = baseline(ctx.records, all_mentions, ctx.proposals, ctx.parties, policy, pooled=pooled)
     done = settle(decide.request_cutoff(base, jobs) if jobs is not None else base)
     stages["baseline"] = done
     for stage in (recovery.unique_short_name, recovery.safe_views, recovery.core_anchor, recovery.second_pass, recovery.regional):
@@ -108,7 +132,7 @@ def match(parties: DataFrame, records: DataFrame, policy: decide.Policy = decide
     done = settle(recovery.multipart(done, ctx, again, labels))
     stages["multipart"] = done
     done = settle(recovery.name_anchor(done, ctx))
-    forced = records.join(fresh.select("adm_party_id"), "adm_party_id", "left_anti")
+    forced = records.join(open_.select("adm_party_id"), "adm_party_id", "left_anti")
     reason = F.when(F.lit("eligible" not in records.columns), "ALREADY_MAPPED").otherwise(F.when(F.coalesce(F.col("eligible") if "eligible" in records.columns else F.lit(True), F.lit(True)), "ALREADY_MAPPED").otherwise("INELIGIBLE_PARENT_VERIFIED"))
     stages["final"] = done.unionByName(decide.shaped(forced.select("adm_party_id", "raw_name", F.lit("NO_MATCH").alias("decision"), reason.alias("reason"), F.lit(0.0).alias("confidence"))))
     return stages

@@ -5,9 +5,9 @@ import importlib.util
 import pytest
 from pyspark.sql import functions as F
 
-from onomast.operators import evaluate, graph, prepare, suggest, train
-from onomast.operators.settle import settle
-from onomast.plans import views
+from onomast.operators import decide, evaluate, graph, prepare, scoring, suggest, train
+from onomast.operators.settle import numbered, settle
+from onomast.plans import matcher, views
 from onomast.sources import io
 from onomast.streaming import incremental
 
@@ -19,10 +19,72 @@ def test_closure(spark):
         graph.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "party_id string, parent_id string"))
 
 
+def test_closure_of_any_depth(spark):
+    rows = [(f"p{i:03}", f"p{i - 1:03}" if i else None) for i in range(150)] + [("orphan", "nobody")]
+    got = {r["party_id"]: r for r in graph.closure(spark.createDataFrame(rows, "party_id string, parent_id string").repartition(5)).collect()}
+    assert all(got[f"p{i:03}"]["root_id"] == "p000" and got[f"p{i:03}"]["depth"] == i + 1 and got[f"p{i:03}"]["path"] == [f"p{j:03}" for j in range(i, -1, -1)] for i in range(150))
+    assert (got["orphan"]["root_id"], got["orphan"]["path"]) == ("nobody", ["orphan", "nobody"])
+    with pytest.raises(ValueError):
+        graph.closure(spark.createDataFrame([("x", "a"), ("a", "b"), ("b", "c"), ("c", "a")], "party_id string, parent_id string"))
+
+
+def test_parents_in_order(spark):
+    """Against taking suggestions one by one in the order of child ids."""
+    import random
+
+    rng = random.Random(4)
+    for n in (6, 25):
+        ids_ = [f"p{i:02}" for i in range(n)]
+        old = {x: None for x in ids_}
+        for i, x in enumerate(ids_):
+            if i and rng.random() < 0.3:
+                old[x] = rng.choice(ids_[:i])
+        asked = {x: rng.choice(ids_) for x in ids_ if rng.random() < 0.9}
+        parent, want = dict(old), []
+        for x in sorted(asked):
+            at, seen = asked[x], []
+            while at is not None:
+                seen.append(at)
+                at = parent[at]
+            if parent[x] is None and x not in seen:
+                parent[x] = asked[x]
+                want.append((x, asked[x]))
+        p = spark.createDataFrame([(x, f"Name {x}", old[x]) for x in ids_], "party_id string, party_name string, parent_id string")
+        got = graph.reconcile_parents(spark, p, spark.createDataFrame([(x, f"name {y} Inc") for x, y in asked.items()] , "party_id string, parent_name string"))
+        assert sorted((r[0], r[1]) for r in got.collect()) == want
+        whole = {r["party_id"]: r["parent_id"] for r in graph.with_parents(p, got).collect()}
+        assert whole == parent
+
+
+def test_snapshots(spark, tmp_path):
+    path = str(tmp_path / "graph")
+    none = graph.load_snapshot(spark, path, "acc")
+    assert none.count() == 0
+    one = graph.add_parties(none, spark.createDataFrame([("a", "Alpha")], "party_id string, party_name string"))
+    assert graph.save_snapshot(one, path, "acc") and not graph.save_snapshot(graph.load_snapshot(spark, path, "acc"), path, "acc")
+    two = graph.add_parties(graph.load_snapshot(spark, path, "acc"), spark.createDataFrame([("a", "Alpha Inc"), ("b", "Beta")], "party_id string, party_name string"))
+    assert graph.save_snapshot(two, path, "acc")
+    assert {(r["party_id"], r["party_name"]) for r in graph.load_snapshot(spark, path, "acc").collect()} == {("a", "Alpha Inc"), ("b", "Beta")}
+    with pytest.raises(ValueError):
+        graph.load_snapshot(spark, path, "other")
+    p = spark.createDataFrame([("a", "A", None), ("b", "B", "a"), ("c", "C", "b")], "party_id string, party_name string, parent_id string")
+    assert [tuple(r) for r in graph.one_party(p, "b").collect()] == [("b", "B", None)]
+    scoped = graph.in_scope(p, p.filter("party_id != 'a'"))
+    assert {(r["party_id"], r["parent_id"]) for r in scoped.collect()} == {("b", None), ("c", "b")}
+
+
+def test_expansions(spark):
+    requests = spark.createDataFrame([("r1", "a"), ("r2", "b")], "ref string, party_id string")
+    answers = spark.createDataFrame([("r1", 2, "late"), ("r1", 1, "first"), ("r3", 1, "stray"), ("r2", 1, "two")], "ref string, at int, name string")
+    assert {tuple(r) for r in graph.correlate(requests, answers).select("party_id", "name").collect()} == {("a", "first"), ("b", "two")}
+    raw = spark.createDataFrame([("a", "Big Parent", "Big Parent", "alias", "0.9"), ("a", "AKA", "Big Parent", "alias", "1.7"), ("a", "Odd", None, "place", "0.9"), ("a", "Low", None, "alias", "x")], "party_id string, name string, parent_name string, type string, confidence string")
+    assert [(r["name"], r["confidence"]) for r in graph.validate_expansions(raw).collect()] == [("AKA", 1.0)]
+
+
 def test_parents_do_not_close_cycles(spark):
     p = spark.createDataFrame([("a", "Alpha Inc", None), ("b", "Beta Inc", None), ("c", "Beta Inc", None)], "party_id string, party_name string, parent_id string")
     got = graph.reconcile_parents(spark, p, spark.createDataFrame([("b", "Alpha"), ("a", "Alpha Inc"), ("c", "Beta")], "party_id string, parent_name string")).collect()
-    assert [(r[0], r[1]) for r in got] == [("b", "a")]
+    assert sorted((r[0], r[1]) for r in got) == [("b", "a"), ("c", "b")]  # its own name is not counted for c
     two = spark.createDataFrame([("a", "Alpha Inc", None), ("b", "Beta Inc", None)], "party_id string, party_name string, parent_id string")
     got = graph.reconcile_parents(spark, two, spark.createDataFrame([("a", "Beta"), ("b", "Alpha")], "party_id string, parent_name string")).collect()
     assert [(r[0], r[1]) for r in got] == [("a", "b")]
@@ -54,16 +116,58 @@ def test_wilson_and_threshold(spark):
     assert evaluate.threshold(scores, 0.95, 5, 0.5) == 0.8 and evaluate.threshold(scores, 1.1, 5, 0.5) == 0.5
 
 
-def test_training(spark, sf, tmp_path):
-    rows = spark.range(240).select(F.concat(F.lit("r"), (F.col("id") / 2).cast("int").cast("string")).alias("adm_party_id"), F.col("id").cast("string").alias("party_id"), (F.col("id") % 2).cast("int").alias("label"), *[((F.col("id") % 2) * 0.5 + (F.col("id") % 7) / 20).alias(c) for c in ("exact", "char_ratio", "inverse_collisions")], ((F.col("id") % 2) * 0.6 + 0.2).alias("score"))
-    model = train.fit(rows, version="v1")
-    assert model.identity is not None and 0 < model.threshold <= 1
+def test_training(spark, tmp_path):
+    """All training pairs fit the identity model; calibration records, by their id, the rest."""
+    feature = lambda noise: [((F.col("id") % 2) * 0.5 + (F.col("id") % 7) / 20 + noise).alias(c) for c in ("exact", "char_ratio", "inverse_collisions")]
+    shape = lambda n, noise: spark.range(n).select(F.sha2((F.col("id") / 2).cast("int").cast("string"), 256).alias("adm_party_id"), F.col("id").cast("string").alias("party_id"), (F.col("id") % 2).cast("int").alias("label"), *feature(noise), ((F.col("id") % 2) * 0.6 + 0.2).alias("score"))
+    rows, held = shape(240, F.lit(0.0)), shape(300, (F.col("id") % 11) / 30)
+    model = train.fit(rows, held, rounds=5, version="v1")
+    assert model.identity.stages[-1].getNumTrees == 5 and model.target is not None and 0 < model.threshold <= 1
     train.save(spark, model, str(tmp_path / "m"))
-    assert train.load(spark, str(tmp_path / "m"), "v1").threshold == model.threshold
+    back = train.load(spark, str(tmp_path / "m"), "v1")
+    assert back.threshold == model.threshold and (back.calibrator is None) == (model.calibrator is None)
     with pytest.raises(RuntimeError):
         train.load(spark, str(tmp_path / "m"), "v2")
     assert train.load(spark, str(tmp_path / "none")) is None
-    assert train.fit(rows.limit(5)).identity is None
+    rules = train.fit(rows.limit(5))
+    assert rules.identity is None
+    train.save(spark, rules, str(tmp_path / "rules"))
+    assert train.load(spark, str(tmp_path / "rules")).identity is None
+    # the target as one expression is what the fitted model says
+    judged = train.with_rivals(train.probability(model.identity, held.drop("score"), "score")).withColumn("collisions", F.lit(1)).withColumn("path", F.array(F.lit("x")))
+    pair = train.probability(model.target, judged, "p").withColumn("q", train.target(train.Model(None, model.target, None, 0, 0, ""))(F.col("score"), F.col("runner")))
+    assert pair.filter("abs(p - q) > 1e-9").count() == 0
+
+
+def test_calibration_is_the_regression(spark):
+    from pyspark.ml.regression import IsotonicRegression
+
+    points = spark.createDataFrame([(0.1, 0.0), (0.3, 1.0), (0.3, 0.0), (0.5, 0.0), (0.7, 1.0), (0.9, 1.0)], "p double, label double")
+    fitted = IsotonicRegression(featuresCol="p", labelCol="label").fit(points)
+    some = spark.range(101).select((F.col("id") / 100).alias("p"))
+    assert fitted.transform(some).withColumn("q", train.calibrated(fitted, F.col("p"))).filter("abs(q - prediction) > 1e-9").count() == 0
+
+
+def test_learning_in_the_matcher(spark, sf):
+    p = settle(views.parties(spark, sf).limit(40))
+    w = settle(views.written(spark, sf).join(p.select(F.col("party_id").alias("expected")), "expected", "left_semi").limit(80))
+    labels = w.withColumns({"scorable": F.lit(True), "split": F.when(F.crc32("adm_party_id") % 3 == 0, "CALIBRATION").otherwise("TRAIN")})
+    model = train.learn(labels, p, w.select(F.col("raw_name").alias("text")), rounds=3)
+    ctx, mentions = matcher.context(p.limit(8), w.limit(8), decide.Policy())
+    learned = train.apply(model, ctx.proposals)
+    assert learned.filter("score < 0 or score > 1 or rules_score is null").count() == 0
+    got = matcher.baseline(ctx.records, mentions, settle(learned), ctx.parties, decide.Policy(), train.target(model))
+    assert got.count() == ctx.records.count()
+    pairs = train.synthetic(p)
+    n = p.select("party_name").distinct().count()
+    assert {r["label"]: r["count"] for r in pairs.groupBy("label").count().collect()} == {1: 3 * n, 0: 2 * n}
+
+
+def test_rerank(spark):
+    rows = [("r", "a", "m", "A", 0.7), ("r", "b", "m", "B", 0.69), ("s", "a", "m", "A", 0.999), ("s", "b", "m", "B", 0.1)]
+    p = spark.createDataFrame(rows, "adm_party_id string, root_id string, mention_text string, name string, score double")
+    got = {(r["adm_party_id"], r["root_id"]): round(r["score"], 6) for r in scoring.rerank(p, spark.createDataFrame([("m", "A", 0.2), ("m", "B", 0.9)], "mention_text string, name string, ce double")).collect()}
+    assert got == {("r", "a"): 0.475, ("r", "b"): 0.7845, ("s", "a"): 0.999, ("s", "b"): 0.1}
 
 
 def test_training_pairs(spark, sf):
@@ -122,7 +226,7 @@ def test_contract(spark, sf):
     assert len(e.oracle_sql()) > 45
 
 
-@pytest.mark.parametrize("name", ["x04_normalize", "x07_mentions", "f06_split", "g04_closure", "j02_char_cosine", "a10_metrics", "d23_name_only", "d17_request_cutoff", "w08_runner_up"])
+@pytest.mark.parametrize("name", ["x04_normalize", "x07_mentions", "x25_soft_coverage", "x26_name_views", "x27_anchored", "x31_regional", "x33_fragments", "j17_raw_prefixes", "f06_split", "g04_closure", "j02_char_cosine", "j03_word_cosine", "j04_vector_top", "a10_metrics", "d23_name_only", "d17_request_cutoff", "w04_rrf", "w08_runner_up"])
 def test_oracle(spark, sf, name):
     import duckdb
 
@@ -137,8 +241,86 @@ def test_oracle(spark, sf, name):
     assert key(got) == key(want)
 
 
+def test_reports(spark):
+    rules = spark.createDataFrame([("1", "MATCH", "a", "T"), ("2", "MATCH", "b", "RULES_SAFE_VIEW_CORE_ANCHOR"), ("3", "NO_MATCH", "a", None), ("4", "MATCH", "b", "RULES_UNIQUE_CONTAINMENT")], "adm_party_id string, decision string, party_id string, tier string")
+    labels = spark.createDataFrame([("1", "a", True, "TEST_KNOWN"), ("2", "b", True, "TRAIN"), ("3", "a", True, "TEST_UNSEEN"), ("4", "a", True, "CALIBRATION"), ("5", None, False, "UNKNOWN")], "adm_party_id string, expected string, scorable boolean, split string")
+    got = {r["variant"]: (r["n_matches"], r["n_correct"], r["n_scorable"]) for r in evaluate.counterfactuals(rules, rules.filter("adm_party_id != '2'"), labels).collect()}
+    assert got == {"RULES_ONLY": (3, 2, 4), "BEFORE_CORE_ANCHOR": (2, 1, 4), "PRIOR_RULES": (2, 1, 4), "WITHOUT_CONTAINMENT": (1, 1, 4)}
+    assert [tuple(r) for r in evaluate.containment(rules, labels).collect()] == [("CALIBRATION", 1, 0, 0.0)]
+    check = evaluate.held_out_check(rules.filter("decision = 'MATCH'"), rules.filter("decision != 'MATCH'"), labels).first()
+    assert (check["labeled_rows"], check["strong_matches"], check["strong_correct"], check["review_names"], check["strong_recall"]) == (2, 1, 1, 1, 0.5)
+    rows = spark.createDataFrame([("x", False, "MATCH", 0.8, None, "PLAIN", None, ["a"], "b"), ("y", False, "NO_MATCH", 0.1, "LOW", "OBO", "NONE", ["a", "b"], "b"), ("z", True, "NO_MATCH", 0.1, "LOW", "MIXED", "OBO_LEFT", ["a", "b"], "b")], "adm_party_id string, scorable boolean, decision string, confidence double, reason string, found_case string, resolution string, retrieved_roots array<string>, expected string")
+    assert tuple(evaluate.unknown_stats(rows).select("n_rows", "n_matches", "n_no_matches", "prediction_rate", "average_confidence").first()) == (2, 1, 1, 0.5, 0.8)
+    assert [tuple(r) for r in evaluate.no_match_reasons(rows).collect()] == [("LOW", 2)]
+    tags = {r["adm_party_id"]: r["t"] for r in rows.select("adm_party_id", evaluate.cohorts().alias("t")).collect()}
+    assert tags == {"x": ["ALL_HELD_OUT", "NO_OBO", "NO_VIA", "PLAIN"], "y": ["ALL_HELD_OUT", "NO_VIA", "OBO_ONLY", "CONNECTOR_ABSTAINED"], "z": ["ALL_HELD_OUT", "OBO_AND_VIA", "CONNECTOR_CONFLICT", "CONNECTOR_ABSTAINED"]}
+    assert [r[0] for r in rows.orderBy("adm_party_id").select(evaluate.expected_rank()).collect()] == [None, None, 2]
+    names = spark.createDataFrame([("p", f"name {i:03}", f"u{i}", True) for i in range(300)] + [("q", "one", "v", True)], "party_id string, raw_name string, adm_party_id string, matched boolean").repartition(6)
+    cells = evaluate.name_chunks(names, 500).orderBy("party_id", "chunk").collect()
+    assert "\n".join(c["names"] for c in cells if c["party_id"] == "p") == "\n".join(f"name {i:03}" for i in range(300)) and max(len(c["names"]) for c in cells) < 520
+    assert io.markdown(spark.createDataFrame([("a|b", 0.5)], "x string, y double"), "T").splitlines()[-1] == "| a\\|b | 0.5000 |"
+
+
+def test_audit_and_snapshots_of_suggestions(spark):
+    verified = spark.createDataFrame([("l", "Abbott Laboratories"), ("m", "Abbott Molecular")], "party_id string, party_name string")
+    pairs = spark.createDataFrame([("1", "l", "STRONG"), ("2", "m", "STRONG"), ("3", "l", "REVIEW"), ("4", "m", "DROPPED")], "adm_party_id string, party_id string, status string")
+    labels = spark.createDataFrame([("1", "l", "TEST_KNOWN", True), ("2", "l", "TEST_KNOWN", True), ("3", "l", "TRAIN", True), ("5", "m", "TEST_UNSEEN", True)], "adm_party_id string, expected string, split string, scorable boolean")
+    index = spark.createDataFrame([("2", "l"), ("1", "l")], "adm_party_id string, party_id string")
+    assert {(r["adm_party_id"], r["party_id"], r["reason"]) for r in suggest.label_gaps(pairs, index, labels).collect()} == {("2", "l", "INDEXED_BUT_NOT_FAMILY_QUALIFIED"), ("5", "m", "NOT_RETRIEVED_FOR_PARTY")}
+    got = {r["party_id"]: r for r in suggest.audit(pairs, index, labels, verified).collect()}
+    assert (got["l"]["n_strong"], got["l"]["n_review"], got["l"]["known_labels"], got["l"]["gate_exclusions"], got["l"]["held_out_strong_recall"], got["l"]["held_out_strong_precision"]) == (1, 1, 3, 1, 0.5, 1.0)
+    assert (got["m"]["index_misses"], got["m"]["held_out_strong_precision"], got["m"]["held_out_strong_recall"]) == (1, 0.0, 0.0)
+
+    names = spark.createDataFrame([("1", "Abbott Molecular Inc"), ("2", "Abbott Nutrition"), ("3", "Zebra")], "adm_party_id string, raw_name string")
+
+    def build(n, v):
+        found = suggest.suggest(n, v)
+        decided = found.select("adm_party_id", F.when(F.col("status") == "SUGGESTED", "MATCH").otherwise("NO_MATCH").alias("decision"), F.when(F.col("status") == "SUGGESTED", F.col("party_id")).alias("party_id"))
+        return decided, found.filter("status = 'AMBIGUOUS'").select("adm_party_id")
+
+    both = suggest.two_snapshots(names, verified, verified.filter("party_id = 'm'"), build)
+    assert {r["transition"]: r["n"] for r in both["movements"].collect()} == {"MOVED": 1, "LOST_STRONG": 1, "UNCHANGED": 1}
+    assert both["before"].first()["strong_names"] == 2 and both["after"].first()["review_only_names"] == 1
+    records = spark.createDataFrame([(True, False, "A"), (False, False, "B"), (True, True, "C"), (True, False, " ")], "eligible boolean, is_verified boolean, raw_name string")
+    assert [r["why"] for r in suggest.intake(records).collect()] == [None, "INELIGIBLE_OR_VERIFIED", "INELIGIBLE_OR_VERIFIED", "BLANK"]
+    mentions = matcher.mentions(spark.createDataFrame([("1", "Abbott Labs"), ("2", "Other OBO Abbott"), ("3", "A OBO B VIA C"), ("4", "OBO Abbott")], "adm_party_id string, raw_name string"))
+    assert {(r["token"], r["adm_party_id"]) for r in suggest.family_index(mentions).collect()} == {("abbott", "1"), ("other", "2")}
+
+
+def test_sample_and_sheet(spark, tmp_path):
+    rows = prepare.sample(spark, ["Acme Widgets Inc", "Zeta Corp"])
+    cleaned = prepare.clean(rows)
+    assert rows.count() == 14 and cleaned.filter("cleaning = 'VERIFIED_SELF_ROW'").count() == 3
+    assert {r["category"]: r["n"] for r in prepare.sample_summary(rows).collect()}["plain"] == 2
+    assert prepare.prefix(rows, 3).count() == 3
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook {ns} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Names" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>Raw Name</t></si><si><r><t>Ac</t></r><r><t>me</t></r></si></sst>")
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {ns}><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Id</t></is></c></row><row><c r="A2" t="s"><v>1</v></c><c r="C2"><v>7.0</v></c></row><row/><row><c r="C4" t="b"><v>1</v></c></row></sheetData></worksheet>')
+    got = io.read_sheet(spark, str(tmp_path / "b.xlsx"), "Names")
+    assert got.columns == ["Raw Name", "Id"] and [tuple(r) for r in got.collect()] == [("Acme", "7"), (None, "TRUE")]
+    with pytest.raises(ValueError):
+        io.read_sheet(spark, str(tmp_path / "b.xlsx"), "Other")
+    d = spark.createDataFrame([("a",), ("b",)], "adm_party_id string")
+    assert io.checked({"x": d.limit(1), "y": d.exceptAll(d.limit(1))}, d) == {"x": 1, "y": 1}
+    for parts in ({"x": d, "y": d.limit(1)}, {"x": d.limit(1)}):
+        with pytest.raises(ValueError):
+            io.checked(parts, d)
+
+
+def test_numbering_by_ranges(spark):
+    got = numbered(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(13), [F.col("x")]).collect()
+    assert sorted((r["x"], r["index"]) for r in got) == [(i, i) for i in range(1000)]
+
+
 def test_left_out_subpackage_is_optional():
     import __spark_entry__ as e
 
     names = set(e.queries())
-    assert ("pipeline" in names) == (importlib.util.find_spec("corpus_pipeline") is not None)
+    there = importlib.util.find_spec("onomast.llm") is not None and importlib.util.find_spec("onomast.llm.queries") is not None
+    assert ("pipeline" in names) == (there and importlib.util.find_spec("corpus_pipeline") is not None)
+    assert any(n.startswith("op1_") for n in names) == there
