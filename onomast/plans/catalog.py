@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from onomast.functions import ids, vocab
 from onomast.functions import text as X
-from onomast.operators import decide, evaluate, graph, prepare, recovery, retrieval, scoring, suggest
+from onomast.operators import decide, evaluate, graph, prepare, recovery, retrieval, scoring, suggest, train
 from onomast.operators.settle import settle
 from onomast.plans import matcher, views
 from onomast.streaming import incremental
@@ -395,13 +395,35 @@ def j25_collisions(spark, sf):
     return graph.collisions(views.parties(spark, sf).select("party_id", X.base(X.normalize(F.col("party_name"))).alias("name")))
 
 
-@register("g03_reconcile_parents")
+@register(
+    "g03_reconcile_parents",
+    f"""{CTE}, k AS (SELECT DISTINCT party_id, unnest([{norm('party_name')}, {base(norm('party_name'))}]) AS key FROM parties),
+w AS (SELECT c.party_id AS child, unnest([{norm('q.party_name')}, {base(norm('q.party_name'))}]) AS key FROM parties c JOIN parties q ON replace(c.party_id, '-promo', '-standard') = q.party_id WHERE c.party_id LIKE '%-promo' OR c.party_id LIKE '%-large'),
+f AS (SELECT child, min(party_id) AS party_id, count(DISTINCT party_id) AS n FROM w JOIN k USING (key) WHERE child <> party_id AND key <> '' GROUP BY child)
+SELECT child AS party_id, f.party_id AS parent_id FROM f JOIN parties c ON c.party_id = child WHERE n = 1 AND c.parent_id IS NULL""",
+)
 def g03_reconcile_parents(spark, sf):
+    """Promotional parties are to hang under the standard one of their name; large ones name themselves, which counts for nothing."""
     p = settle(views.parties(spark, sf))
-    wanted = p.alias("c").join(p.alias("q"), F.substring_index("c.party_id", "-", 3) == F.substring_index("q.party_id", "-", 3)).filter("c.party_id like '%-promo' and q.party_id like '%-standard'")
+    wanted = p.alias("c").join(p.alias("q"), F.replace("c.party_id", F.lit("-promo"), F.lit("-standard")) == F.col("q.party_id")).filter("c.party_id like '%-promo' or c.party_id like '%-large'")
     return graph.reconcile_parents(spark, p, wanted.select(F.col("c.party_id").alias("party_id"), F.col("q.party_name").alias("parent_name")))
 
 
+@register("g08_in_scope", f"{CTE}, s AS (SELECT party_id FROM parties WHERE length(party_name) % 3 > 0) SELECT p.party_id, CASE WHEN p.parent_id IN (SELECT party_id FROM s) THEN p.parent_id END AS parent_id FROM parties p JOIN s USING (party_id)")
+def g08_in_scope(spark, sf):
+    p = views.parties(spark, sf)
+    return graph.in_scope(p, p.filter("length(party_name) % 3 > 0").select("party_id")).select("party_id", "parent_id")
+
+
+@register("j26_correlate", "SELECT o_custkey AS party_id, arg_min(o_orderkey, o_orderkey) AS answer FROM orders WHERE o_custkey % 2 = 0 GROUP BY o_custkey")
+def j26_correlate(spark, sf):
+    """Of several answers to one request the first counts; answers to nobody are passed over."""
+    o = views.tables(spark, sf, "orders")["orders"]
+    requests = o.filter("o_custkey % 2 = 0").select(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("ref"), F.col("o_custkey").alias("party_id")).distinct()
+    answers = o.select(F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("ref"), F.col("o_orderkey").alias("at"), F.col("o_orderkey").alias("answer"))
+    return graph.correlate(requests, answers)
+
+
 # --- joins and retrieval --------------------------------------------------------------
 
 EXACT = f"{CTE}, w AS (SELECT adm_party_id, {N} AS n FROM written), v AS (SELECT party_id, {norm('party_name')} AS n FROM parties)"
@@ -650,6 +672,120 @@ def d01_proposals(spark, sf):
     return ctx.proposals.select("adm_party_id", "mention_id", "party_id", "root_id", "name", F.round("char", 6).alias("char"), F.round("word", 6).alias("word"), F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"))
 
 
+# lineitems as direct proposals: an order is a record, its parts are roots
+
+PROPOSED = """SELECT l_orderkey AS rec, l_partkey AS root, l_linenumber AS line, 'name ' || CAST(l_partkey AS VARCHAR(20)) AS name, round(least(0.999, l_extendedprice / 70000.0), 6) AS s,
+  CASE WHEN l_quantity > 46 THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN l_linenumber % 5 = 0 THEN 1.0 ELSE 0.0 END AS digits, CASE WHEN l_quantity < 5 THEN 1.0 ELSE 0.0 END AS words, 1 + l_partkey % 2 AS collisions,
+  CASE WHEN l_suppkey % 3 = 0 THEN 'alias' ELSE 'official' END AS type, round(l_tax * 12, 4) AS cover, round(l_discount * 10, 4) AS jaccard, round(l_discount * 9, 4) AS chars, round(l_tax * 11, 4) AS terms FROM {lineitem}"""
+RANKED = f"""p AS ({PROPOSED.replace('{lineitem}', 'lineitem')}),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rec, root ORDER BY s DESC, name DESC, root, line) AS n FROM p) WHERE n = 1),
+i AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY s DESC, root) AS k, max(s) OVER (PARTITION BY rec) AS f FROM b),
+j AS (SELECT *, coalesce(max(CASE WHEN k = 2 THEN s END) OVER (PARTITION BY rec), 0.0) AS g, CASE WHEN exact = 1 THEN NULL WHEN digits = 1 THEN 'DIGIT_CONFLICT' WHEN words = 1 THEN 'DISTINCTIVE_TOKEN_CONFLICT' END AS guard FROM i),
+t AS (SELECT *, greatest(0.0, least(0.999, s * (0.92 + least(0.08, greatest(0.0, s - CASE WHEN k = 1 THEN g ELSE f END))))) AS target, guard IS NULL OR NOT bool_or(guard IS NULL) OVER (PARTITION BY rec) AS pool FROM j),
+o AS (SELECT *, row_number() OVER w AS place, lead(CASE WHEN pool THEN root END) OVER w AS up, lead(CASE WHEN pool THEN target END) OVER w AS us FROM t WINDOW w AS (PARTITION BY rec ORDER BY pool DESC, target DESC, root))"""
+TIER = "CASE WHEN exact = 1 AND type = 'official' THEN 'EXACT_OFFICIAL' WHEN exact = 1 THEN 'EXACT_CANDIDATE' WHEN cover >= 0.90 AND jaccard >= 0.45 THEN 'DIRECTIONAL_CONTAINMENT' ELSE 'MULTI_SIGNAL' END"
+
+
+def proposed(spark, sf):
+    """The proposals of ``PROPOSED`` as the decisions take them."""
+    p = views.run(spark, sf, PROPOSED, "lineitem")
+    text = lambda c: F.col(c).cast("string")
+    return p.select(
+        text("rec").alias("adm_party_id"), F.concat(text("rec"), F.lit(":"), F.lpad(text("line"), 2, "0")).alias("mention_id"), F.lit("x").alias("mention_text"), F.lit("x").alias("mention_norm"), F.col("name").alias("norm_name"), "name", "root", "line",
+        F.col("root").alias("root_id"), F.col("root").alias("party_id"), F.col("name").alias("root_name"), F.col("name").alias("owner_name"), F.col("s").alias("score"), "exact", F.col("digits").alias("digit_conflict"), F.col("words").alias("distinctive_conflict"), "collisions", "type",
+        F.col("cover").alias("candidate_coverage"), F.col("jaccard").alias("token_jaccard"), F.col("chars").alias("char"), F.col("terms").alias("word"), F.array(F.lit("char"), F.lit("word")).alias("sources"), F.array(F.col("root").cast("string")).alias("path"), F.create_map().cast("map<string,double>").alias("idf"), F.lit(1).alias("parties"),
+    )
+
+
+@register(
+    "d03_plain_decisions",
+    f"""WITH {RANKED}, d AS (SELECT *, target - coalesce(us, 0.0) AS margin FROM o WHERE place = 1),
+r AS (SELECT *, CASE WHEN guard IS NOT NULL THEN guard WHEN up IS NOT NULL AND margin < 0.04 THEN CASE WHEN collisions > 1 THEN 'CANDIDATE_COLLISION' ELSE 'AMBIGUOUS_FINAL_TARGETS' END WHEN target < 0.8 THEN 'INSUFFICIENT_SUPPORT' ELSE 'MATCH' END AS reason FROM d)
+SELECT o_orderkey::VARCHAR AS adm_party_id, CASE WHEN reason = 'MATCH' THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, coalesce(reason, CASE WHEN o_orderkey % 4 = 0 THEN 'EMPTY_NAME' ELSE 'NO_CANDIDATES' END) AS reason, round(coalesce(target, 0.0), 6) AS confidence, root::VARCHAR AS party_id, CASE WHEN reason IS NOT NULL THEN {TIER} END AS tier, CASE WHEN exact = 1 THEN 'exact:normalized' WHEN reason IS NOT NULL THEN 'feature:char_word' END AS method, round(margin, 6) AS margin, up::VARCHAR AS runner_up_id
+FROM orders LEFT JOIN r ON rec = o_orderkey AND o_orderkey % 7 <> 0""",
+)
+def d03_plain_decisions(spark, sf):
+    """Plain decisions over direct proposals; every seventh record has none."""
+    key = F.col("o_orderkey")
+    records = views.tables(spark, sf, "orders")["orders"].select(key.cast("string").alias("adm_party_id"), F.when(key % 4 == 0, "").otherwise("x").alias("raw_name"), F.lit(True).alias("plain"), F.lit(None).cast("string").alias("parse_warning"))
+    props = proposed(spark, sf).filter(F.col("adm_party_id").cast("long") % 7 != 0).drop("root", "line")
+    out = decide.plain(records, props, decide.Policy(containment=False))
+    return out.select("adm_party_id", "decision", "reason", F.round("confidence", 6).alias("confidence"), "party_id", "tier", "method", F.round("margin", 6).alias("margin"), "runner_up_id")
+
+
+@register(
+    "d04_connector_decisions",
+    f"""WITH {RANKED.replace("l_orderkey AS rec", "l_orderkey * 10 + l_linenumber AS rec").replace("FROM lineitem)", "FROM lineitem UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_suppkey + 1000000, l_linenumber, 'name ' || (l_suppkey + 1000000), round(least(0.999, l_extendedprice / 80000.0), 6), 0.0, 0.0, 0.0, 1, 'official', 0.0, 0.0, 0.0, 0.0 FROM lineitem)")},
+d AS (SELECT rec // 10 AS q, rec % 10 AS line, root, target, target - coalesce(us, 0.0) AS margin, CASE WHEN guard IS NOT NULL THEN guard WHEN up IS NOT NULL AND target - coalesce(us, 0.0) < 0.04 THEN 'AMBIGUOUS_FINAL_TARGETS' WHEN target < 0.9 THEN 'INSUFFICIENT_SUPPORT' ELSE 'MATCH' END AS why FROM o WHERE place = 1),
+m AS (SELECT q, arg_min(why, line) AS lw, arg_min(target, line) AS lt, arg_min(root, line) AS lr, count(*) FILTER (why = 'MATCH') AS ok, count(DISTINCT CASE WHEN why = 'MATCH' THEN root END) AS roots, bool_or(why = 'AMBIGUOUS_FINAL_TARGETS') AS amb, bool_or(why = 'INSUFFICIENT_SUPPORT') AS weak,
+  arg_min(root, line) FILTER (why = 'MATCH') AS fr, arg_min(target, line) FILTER (why = 'MATCH') AS ft, max(target) FILTER (why = 'MATCH') AS mt, max(target) FILTER (why <> 'MATCH') AS nt, count(*) AS n FROM d GROUP BY q),
+x AS (SELECT m.*, arg_min(d.root, d.line) FILTER (d.why <> 'MATCH' AND d.target = nt) AS nr FROM m JOIN d USING (q) GROUP BY ALL),
+r AS (SELECT *, ok > 0 AND lw IN ('INSUFFICIENT_SUPPORT', 'AMBIGUOUS_FINAL_TARGETS') AND lt >= 0.9 - 0.03 AS near FROM x)
+SELECT q::VARCHAR AS adm_party_id, CASE WHEN q % 13 = 0 THEN 'MALFORMED_CONNECTOR' WHEN n = 1 OR (q % 11 = 0 AND n > 2) THEN 'MIXED_CONNECTORS_UNSUPPORTED' WHEN near THEN 'PREFERRED_NEAR_CUTOFF' WHEN ok = 0 THEN 'NONE' WHEN roots = 1 THEN CASE WHEN ok = 1 THEN 'ONLY_MATCH' ELSE 'SAME_ROOT' END ELSE CASE WHEN q % 2 = 0 THEN 'OBO' ELSE 'VIA' END || '_LEFT' END AS resolution,
+  CASE WHEN q % 13 = 0 OR n = 1 OR (q % 11 = 0 AND n > 2) THEN 0.0 WHEN near THEN round(lt, 6) WHEN ok = 0 THEN round(nt, 6) WHEN roots = 1 THEN round(mt, 6) ELSE round(ft, 6) END AS confidence,
+  CASE WHEN q % 13 = 0 OR n = 1 OR (q % 11 = 0 AND n > 2) THEN NULL WHEN near THEN lr WHEN ok = 0 THEN nr ELSE fr END::VARCHAR AS party_id FROM r""",
+)
+def d04_connector_decisions(spark, sf):
+    """Connector names: each line number of an order is a segment with two candidates or more; some records are malformed or mixed."""
+    l = views.tables(spark, sf, "lineitem")["lineitem"]  # noqa: E741
+    key, line = F.col("l_orderkey"), F.col("l_linenumber")
+    word = F.when(key % 2 == 0, "OBO").otherwise("VIA")
+    mixed = F.when((key % 11 == 0) & (F.col("at") > 1), "AND").otherwise(word)
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
+    m = l.select("l_orderkey", "l_linenumber").distinct().withColumn("at", place).select(key.cast("string").alias("adm_party_id"), F.concat(key.cast("string"), F.lit(":"), F.lpad(line.cast("string"), 2, "0")).alias("mention_id"), F.lit("x").alias("text"), F.col("at").alias("position"), F.when(F.col("at") > 0, mixed).alias("connector_before"), F.when((key % 13 == 0) & (F.col("at") == 0), "MALFORMED_CONNECTOR").alias("parse_warning"))
+    one = proposed(spark, sf)
+    two = l.select(key.cast("string").alias("adm_party_id"), F.concat(key.cast("string"), F.lit(":"), F.lpad(line.cast("string"), 2, "0")).alias("mention_id"), (F.col("l_suppkey") + 1_000_000).alias("root"), F.round(F.least(F.lit(0.999), F.col("l_extendedprice") / 80000.0), 6).alias("score"))
+    zero = F.lit(0.0)
+    name = F.concat(F.lit("name "), F.col("root").cast("string"))
+    two = two.select("adm_party_id", "mention_id", F.lit("x").alias("mention_text"), F.lit("x").alias("mention_norm"), name.alias("norm_name"), name.alias("name"), F.col("root").alias("root_id"), F.col("root").alias("party_id"), name.alias("root_name"), name.alias("owner_name"), "score", *[zero.alias(c) for c in ("exact", "digit_conflict", "distinctive_conflict", "candidate_coverage", "token_jaccard", "char", "word")], F.lit(1).alias("collisions"), F.lit("official").alias("type"), F.array(F.lit("char")).alias("sources"), F.array(F.col("root").cast("string")).alias("path"), F.create_map().cast("map<string,double>").alias("idf"), F.lit(1).alias("parties"))
+    props = one.drop("root", "line").unionByName(two)
+    records = l.select(key.cast("string").alias("adm_party_id"), F.lit("x").alias("raw_name")).distinct()
+    none = spark.createDataFrame([], "party_id string, party_name string, party_norm string, root_id string")
+    out = decide.connectors(records, m, props, none, decide.Policy(system=0.9, short_names=False))
+    return out.select("adm_party_id", "resolution", F.round("confidence", 6).alias("confidence"), "party_id")
+
+
+_W = {c: n for c, n in zip(scoring.RULE_WEIGHTS, ("chars", "terms", "cover", "jaccard", "cover", "terms", "chars", "terms", "jaccard", "chars", "cover", "jaccard", "digits", "words"), strict=True)}
+_SUM = "0.0 + " + " + ".join(f"{w} * {_W[c]}" for c, w in scoring.RULE_WEIGHTS.items())
+_RULE = f"CASE WHEN exact = 1 THEN 0.999 WHEN line = 2 THEN 0.985 WHEN line = 3 THEN 0.975 ELSE greatest(0.001, least(0.97, {_SUM})) END"
+
+
+@register(
+    "x18_rule_score",
+    f"""WITH p AS ({PROPOSED.replace('{lineitem}', 'lineitem')}), r AS (SELECT *, {_RULE} AS rule FROM p), c AS (SELECT *, CASE WHEN type <> 'official' THEN least(rule, coalesce(nullif(jaccard, 0.5), 1.0)) ELSE rule END AS capped FROM r)
+SELECT rec, root, line, round(rule, 6) AS rule_score, round(CASE WHEN exact = 1 AND collisions = 1 THEN greatest(capped, CASE WHEN type = 'official' THEN 0.999 ELSE coalesce(nullif(jaccard, 0.5), 1.0) END) ELSE capped END, 6) AS score, CASE WHEN exact = 1 THEN NULL WHEN digits = 1 THEN 'DIGIT_CONFLICT' WHEN words = 1 THEN 'DISTINCTIVE_TOKEN_CONFLICT' END AS guard, {TIER} AS tier FROM c""",
+)
+def x18_rule_score(spark, sf):
+    """The rule score of given features, what confidence caps and exactness raises, guards and tiers."""
+    p = views.run(spark, sf, PROPOSED, "lineitem")
+    p = p.withColumnsRenamed({"digits": "digit_conflict", "words": "distinctive_conflict"}).withColumns({"base_exact": (F.col("line") == 2).cast("double"), "compact_exact": (F.col("line") == 3).cast("double"), "candidate_coverage": F.col("cover"), "token_jaccard": F.col("jaccard"), "confidence": F.nullif("jaccard", F.lit(0.5))})
+    for name, source in _W.items():
+        if name not in p.columns:
+            p = p.withColumn(name, F.col(source))
+    score = scoring.rule_score()
+    return p.select("rec", "root", "line", F.round(score, 6).alias("rule_score"), F.round(scoring.identity(score), 6).alias("score"), scoring.guard().alias("guard"), scoring.tier().alias("tier"))
+
+
+@register(
+    "w05_shortlist",
+    """WITH h AS (SELECT l_orderkey AS text, l_partkey AS name, max(CASE WHEN l_quantity > 48 THEN 1.0 ELSE 0.0 END) AS exact, max(l_discount * 9) AS char_, max(l_tax * 11) AS word_, max(l_discount) AS rrf FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, name % 40 AS party, 'n' || (name % 60) AS norm, name % 20 AS root, CASE WHEN exact = 1 THEN 2.0 ELSE greatest(char_, word_) + least(0.05, rrf) END AS prio FROM h),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text, root, party, norm ORDER BY prio DESC, name DESC) AS n FROM o) WHERE n = 1),
+v AS (SELECT * FROM (SELECT * EXCLUDE (n), row_number() OVER (PARTITION BY text, root ORDER BY prio DESC, party, norm) AS n FROM a) WHERE n <= 1),
+b AS (SELECT *, max(prio) OVER (PARTITION BY text, root) AS best FROM v), r AS (SELECT *, dense_rank() OVER (PARTITION BY text ORDER BY best DESC, root) AS k FROM b)
+SELECT text, name, party AS party_id, root AS root_id, round(prio, 6) AS priority FROM r WHERE k <= 3""",
+)
+def w05_shortlist(spark, sf):
+    """The best variant of each root, the three best roots of each text."""
+    l = views.tables(spark, sf, "lineitem")["lineitem"]  # noqa: E741
+    h = l.groupBy(F.col("l_orderkey").alias("text"), F.col("l_partkey").alias("name")).agg(F.max(F.when(F.col("l_quantity") > 48, 1.0).otherwise(0.0)).alias("exact"), F.max(F.col("l_discount") * 9).alias("char"), F.max(F.col("l_tax") * 11).alias("word"), F.max("l_discount").alias("rrf"))
+    h = h.withColumn("lexical", F.greatest("char", "word")).withColumn("embedding", F.lit(None).cast("double"))
+    names = l.select(F.col("l_partkey").alias("name")).distinct()
+    variants = names.select("name", (F.col("name") % 40).alias("party_id"), F.concat(F.lit("n"), (F.col("name") % 60).cast("string")).alias("norm_name"))
+    up = names.select((F.col("name") % 40).alias("party_id"), (F.col("name") % 20).alias("root_id")).distinct()
+    return retrieval.shortlist(h, variants, up, retrieval.Retrieval(roots=3, variants=1)).select("text", "name", "party_id", "root_id", F.round("priority", 6).alias("priority"))
+
+
 @register("w08_runner_up", "WITH p AS (SELECT o_custkey AS rec, o_orderkey AS root, round(o_totalprice / 600000.0, 6) AS s FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY s DESC, root) AS k, max(s) OVER (PARTITION BY rec) AS f FROM p), q AS (SELECT *, coalesce(max(CASE WHEN k = 2 THEN s END) OVER (PARTITION BY rec), 0.0) AS g FROM r) SELECT rec, root, k::INTEGER AS place, round(greatest(0.0, least(0.999, s * (0.92 + least(0.08, greatest(0.0, s - CASE WHEN k = 1 THEN g ELSE f END))))), 4) AS target FROM q")
 def w08_runner_up(spark, sf):
     o = views.tables(spark, sf, "orders")["orders"]
@@ -685,7 +821,14 @@ def d23_name_only(spark, sf):
     return suggest.suggest(views.written(spark, sf), views.parties(spark, sf)).select("adm_party_id", "status", "party_id")
 
 
-@register("t04_growing_catalog")
+_EARLY = "(SELECT * FROM parties WHERE party_id NOT LIKE '%-economy')"
+
+
+@register(
+    "t04_growing_catalog",
+    f"""WITH x AS ({SUG.replace('{0}', _EARLY)}), y AS ({SUG.replace('{0}', 'parties')})
+SELECT CASE WHEN x.status = 'NONE' AND y.status = 'SUGGESTED' THEN 'NEW_SUGGESTION' WHEN x.status = 'SUGGESTED' AND y.status = 'SUGGESTED' AND x.party_id <> y.party_id THEN 'MOVED_SUGGESTION' WHEN x.status = 'SUGGESTED' AND y.status = 'AMBIGUOUS' THEN 'NOW_AMBIGUOUS' WHEN x.status = 'SUGGESTED' AND y.status = 'NONE' THEN 'WITHDRAWN' WHEN x.status = 'AMBIGUOUS' AND y.status = 'SUGGESTED' THEN 'AMBIGUITY_RESOLVED' ELSE 'UNCHANGED' END AS change, count(*) AS n FROM x JOIN y USING (adm_party_id) GROUP BY 1""",
+)
 def t04_growing_catalog(spark, sf):
     p = settle(views.parties(spark, sf))
     w = views.written(spark, sf)
@@ -719,3 +862,134 @@ def t01_exact_arrivals(spark, sf):
 def a22_position_prior(spark, sf):
     s = views.written(spark, sf).select("adm_party_id", F.when(F.col("raw_name").contains("("), "parentheses").otherwise("separator").alias("delimiter"), (F.length("raw_name") % 2).alias("part"), F.col("expected").alias("root_id"))
     return recovery.position_prior(s, s.select("adm_party_id", "root_id")).withColumn("prior", F.round("prior", 9))
+
+
+# --- reports over splits, audits, intake -------------------------------------------------
+
+SPLITS = "CASE length(raw_name) % 4 WHEN 0 THEN 'TRAIN' WHEN 1 THEN 'CALIBRATION' WHEN 2 THEN 'TEST_KNOWN' ELSE 'TEST_UNSEEN' END"
+TIERS = "CASE WHEN confidence > 0.99 THEN 'EXACT_OFFICIAL' WHEN length(raw_name) % 3 = 0 THEN 'RULES_SAFE_VIEW_CORE_ANCHOR' WHEN length(raw_name) % 3 = 1 THEN 'RULES_UNIQUE_CONTAINMENT' ELSE 'MULTI_SIGNAL' END"
+
+
+def decided(spark, sf):
+    """The structural decisions with tiers, and their labels with splits."""
+    d = settle(structural(spark, sf).withColumn("tier", F.expr(TIERS)).withColumn("split", F.expr(SPLITS)))
+    return d.drop("expected", "scorable", "split"), d.select("adm_party_id", "expected", "scorable", "split")
+
+
+@register(
+    "a16_counterfactuals",
+    f"""{DECISIONS}, k AS (SELECT *, {TIERS} AS tier FROM j), m AS (SELECT 'RULES_ONLY' AS variant, true AS keep, * FROM k UNION ALL SELECT 'BEFORE_CORE_ANCHOR', tier <> 'RULES_SAFE_VIEW_CORE_ANCHOR', * FROM k UNION ALL SELECT 'PRIOR_RULES', confidence > 0.7, * FROM k UNION ALL SELECT 'WITHOUT_CONTAINMENT', confidence > 0.7 AND tier <> 'RULES_UNIQUE_CONTAINMENT', * FROM k),
+g AS (SELECT variant, count(*) FILTER (keep AND matched) AS n_matches, count(*) FILTER (keep AND correct) AS n_correct, count(*) AS n_scorable FROM m WHERE scorable GROUP BY variant)
+SELECT *, round(CASE WHEN n_matches > 0 THEN n_correct / n_matches END, 6) AS precision_, round(n_correct / n_scorable, 6) AS recall_, round(CASE WHEN n_correct > 0 THEN 2 * (n_correct / n_matches) * (n_correct / n_scorable) / (n_correct / n_matches + n_correct / n_scorable) END, 6) AS f1 FROM g""",
+)
+def a16_counterfactuals(spark, sf):
+    d, labels = decided(spark, sf)
+    return evaluate.counterfactuals(d, d.filter("confidence > 0.7"), labels).select("variant", "n_matches", "n_correct", "n_scorable", *[F.round(c, 6).alias(c) for c in ("precision_", "recall_", "f1")])
+
+
+@register("a16_containment", f"{DECISIONS}, k AS (SELECT *, {TIERS} AS tier, {SPLITS} AS split FROM j) SELECT split, count(*) AS n_matches, count(*) FILTER (correct) AS n_correct, round(count(*) FILTER (correct) / count(*), 6) AS precision_ FROM k WHERE matched AND scorable AND tier = 'RULES_UNIQUE_CONTAINMENT' GROUP BY split")
+def a16_containment(spark, sf):
+    d, labels = decided(spark, sf)
+    return evaluate.containment(d, labels).withColumn("precision_", F.round("precision_", 6))
+
+
+@register("a19_unknown", f"{DECISIONS} SELECT count(*) AS n_rows, count(*) FILTER (matched) AS n_matches, round(avg(confidence) FILTER (matched), 6) AS average_confidence, count(*) FILTER (NOT matched) AS n_no_matches, round(count(*) FILTER (matched) / count(*), 6) AS prediction_rate FROM j WHERE NOT scorable")
+def a19_unknown(spark, sf):
+    return evaluate.unknown_stats(report(spark, sf)).select("n_rows", "n_matches", F.round("average_confidence", 6).alias("average_confidence"), "n_no_matches", F.round("prediction_rate", 6).alias("prediction_rate"))
+
+
+@register(
+    "a11_cohorts",
+    f"""{DECISIONS}, k AS (SELECT *, {CASE} AS c FROM j), t AS (SELECT *, unnest(list_filter(['ALL_HELD_OUT', CASE WHEN c <> 'OBO' THEN 'NO_OBO' END, CASE WHEN c <> 'VIA' THEN 'NO_VIA' END, CASE WHEN c NOT IN ('OBO', 'VIA') THEN 'PLAIN' END, CASE WHEN c = 'OBO' THEN 'OBO_ONLY' END, CASE WHEN c = 'VIA' THEN 'VIA_ONLY' END, CASE WHEN c IN ('OBO', 'VIA') AND NOT matched THEN 'CONNECTOR_ABSTAINED' END], lambda x: x IS NOT NULL)) AS cohort FROM k) {PACK.format('cohort, ', 'GROUP BY cohort').replace('FROM j', 'FROM t')}""",
+)
+def a11_cohorts(spark, sf):
+    rows = report(spark, sf).withColumns({"found_case": X.record_case(F.col("raw_name")), "resolution": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
+    return evaluate.pack_by_tags(rows, evaluate.cohorts()).select("cohort", *KEEP, *[F.round(c, 6).alias(c) for c in ("precision_", "recall_", "f1", "coverage", "retrieval_recall", "precision_low", "precision_high")])
+
+
+@register(
+    "a26_held_out",
+    f"""{DECISIONS}, k AS (SELECT *, {SPLITS} IN ('TEST_KNOWN', 'TEST_UNSEEN') AND scorable AS held FROM j),
+g AS (SELECT count(*) FILTER (held) AS labeled_rows, count(*) FILTER (held AND matched) AS strong_matches, count(*) FILTER (held AND correct) AS strong_correct, count(*) FILTER (held AND NOT matched AND party_id IS NOT NULL) AS review_rows, count(*) FILTER (held AND NOT matched AND party_id = expected) AS review_correct FROM k)
+SELECT *, review_correct AS review_names, round(CASE WHEN strong_matches > 0 THEN strong_correct / strong_matches END, 6) AS strong_precision, round(CASE WHEN labeled_rows > 0 THEN strong_correct / labeled_rows END, 6) AS strong_recall, round(CASE WHEN review_rows > 0 THEN review_correct / review_rows END, 6) AS review_precision FROM g""",
+)
+def a26_held_out(spark, sf):
+    d, labels = decided(spark, sf)
+    out = evaluate.held_out_check(d.filter("decision = 'MATCH'"), d.filter("decision != 'MATCH' and party_id is not null"), labels)
+    return out.select("labeled_rows", "strong_matches", "strong_correct", "review_rows", "review_correct", "review_names", *[F.round(c, 6).alias(c) for c in ("strong_precision", "strong_recall", "review_precision")])
+
+
+STATUS = "CASE WHEN decision = 'MATCH' THEN 'STRONG' WHEN length(raw_name) % 2 = 0 THEN 'REVIEW' ELSE 'DROPPED' END"
+
+
+@register(
+    "a25_audit",
+    f"""{DECISIONS}, k AS (SELECT *, {SPLITS} IN ('TEST_KNOWN', 'TEST_UNSEEN') AS held, {STATUS} AS status FROM j),
+c AS (SELECT party_id, count(*) AS candidate_pairs, count(*) FILTER (status = 'STRONG') AS n_strong, count(*) FILTER (status = 'REVIEW') AS n_review, count(*) FILTER (status = 'DROPPED') AS n_dropped, count(*) FILTER (scorable AND held AND party_id = expected) AS hf, count(*) FILTER (scorable AND held AND party_id = expected AND status = 'STRONG') AS hr, count(*) FILTER (scorable AND held AND status = 'STRONG') AS hs FROM k WHERE party_id IS NOT NULL GROUP BY party_id),
+l AS (SELECT expected AS party_id, count(*) AS known_labels, count(*) FILTER (held) AS held_out_labels, count(*) FILTER (coalesce(party_id <> expected, true) AND length(raw_name) % 3 <> 0) AS index_misses, count(*) FILTER (coalesce(party_id <> expected, true) AND length(raw_name) % 3 = 0) AS gate_exclusions FROM k WHERE scorable GROUP BY expected)
+SELECT p.party_id, p.party_name, coalesce(candidate_pairs, 0) AS candidate_pairs, coalesce(n_strong, 0) AS n_strong, coalesce(n_review, 0) AS n_review, coalesce(n_dropped, 0) AS n_dropped, coalesce(known_labels, 0) AS known_labels, coalesce(held_out_labels, 0) AS held_out_labels, coalesce(index_misses, 0) AS index_misses, coalesce(gate_exclusions, 0) AS gate_exclusions,
+  round(CASE WHEN held_out_labels > 0 THEN coalesce(hf, 0) / held_out_labels END, 6) AS held_out_candidate_recall, round(CASE WHEN hs > 0 THEN hr / hs END, 6) AS held_out_strong_precision, round(CASE WHEN held_out_labels > 0 THEN coalesce(hr, 0) / held_out_labels END, 6) AS held_out_strong_recall
+FROM parties p LEFT JOIN c USING (party_id) LEFT JOIN l USING (party_id)""",
+)
+def a25_audit(spark, sf):
+    """Each party's figures; pairs are the structural candidates, the index holds every third name's expected party."""
+    d, labels = decided(spark, sf)
+    pairs_ = d.filter("party_id is not null").select("adm_party_id", "party_id", F.expr(STATUS).alias("status"))
+    index = d.filter("length(raw_name) % 3 = 0").join(labels.select("adm_party_id", F.col("expected").alias("e")), "adm_party_id").select("adm_party_id", F.col("e").alias("party_id"))
+    out = suggest.audit(pairs_, index, labels, views.parties(spark, sf))
+    rates = ("held_out_candidate_recall", "held_out_strong_precision", "held_out_strong_recall")
+    return out.select(*[c for c in out.columns if c not in rates], *[F.round(c, 6).alias(c) for c in rates])
+
+
+@register(
+    "d21_two_snapshots",
+    f"""WITH x AS ({SUG.replace('{0}', _EARLY)}), y AS ({SUG.replace('{0}', 'parties')}), z AS (SELECT CASE WHEN x.status = 'SUGGESTED' THEN x.party_id END AS p, CASE WHEN y.status = 'SUGGESTED' THEN y.party_id END AS q FROM x JOIN y USING (adm_party_id))
+SELECT CASE WHEN p IS NOT NULL AND q IS NOT NULL AND p <> q THEN 'MOVED' WHEN p IS NOT NULL AND q IS NULL THEN 'LOST_STRONG' WHEN p IS NULL AND q IS NOT NULL THEN 'NEW_STRONG' ELSE 'UNCHANGED' END AS transition, count(*) AS n FROM z GROUP BY 1""",
+)
+def d21_two_snapshots(spark, sf):
+    """Movements of all names when the withheld economy parties come."""
+    p = settle(views.parties(spark, sf))
+
+    def build(names, verified):
+        found = settle(suggest.suggest(names, verified))
+        strong = F.col("status") == "SUGGESTED"
+        return found.select("adm_party_id", F.when(strong, "MATCH").otherwise("NO_MATCH").alias("decision"), F.when(strong, F.col("party_id")).alias("party_id")), found.filter("status = 'AMBIGUOUS'").select("adm_party_id")
+
+    return suggest.two_snapshots(settle(views.written(spark, sf)), p, p.filter("party_id like '%-economy'"), build)["movements"]
+
+
+@register("f13_intake", f"{CTE} SELECT CASE WHEN source_row % 5 = 0 OR source_row % 7 = 0 THEN 'INELIGIBLE_OR_VERIFIED' WHEN source_row % 11 = 0 THEN 'BLANK' END AS why, count(*) AS n FROM written GROUP BY 1")
+def f13_intake(spark, sf):
+    w = views.written(spark, sf)
+    rows = w.select((F.col("source_row") % 5 != 0).alias("eligible"), (F.col("source_row") % 7 == 0).alias("is_verified"), F.when(F.col("source_row") % 11 == 0, " ").otherwise(F.col("raw_name")).alias("raw_name"))
+    return suggest.intake(rows).groupBy("why").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("j20_family_index", f"WITH m AS ({SQL['x07_mentions']}), g AS (SELECT adm_party_id, arg_min(text, position) AS mention_text, count(DISTINCT connector_before) AS kinds, count(parse_warning) AS w FROM m GROUP BY 1), t AS (SELECT string_split({TOKENS.replace('{0}', 'mention_text')}, ' ')[1] AS token, adm_party_id, mention_text FROM g WHERE kinds <= 1 AND w = 0) SELECT * FROM t WHERE token <> ''")
+def j20_family_index(spark, sf):
+    return suggest.family_index(matcher.mentions(matcher.prepared(views.written(spark, sf))))
+
+
+@register("l02_synthetic_pairs", f"{CTE}, n AS (SELECT party_name AS name, row_number() OVER (ORDER BY party_name) - 1 AS at FROM (SELECT DISTINCT party_name FROM parties)) SELECT name, unnest([name, {norm('name')}, replace(name, ' ', '')]) AS mention_text, 1 AS label FROM n UNION ALL SELECT o.name, n.name, 0 FROM n, unnest([1, 2]) AS d(i), n o WHERE o.at = (n.at + d.i) % (SELECT count(*) FROM n)")
+def l02_synthetic_pairs(spark, sf):
+    return train.synthetic(views.parties(spark, sf)).select("name", "mention_text", "label")
+
+
+@register("l05_partition", "SELECT o_orderkey, (('0x' || substr(CASE WHEN o_orderkey % 2 = 0 THEN lpad(printf('%x', o_orderkey * 2654435761 % 4294967296), 8, '0') ELSE sha256(o_orderkey::VARCHAR) END, 1, 8))::BIGINT % 3)::INTEGER AS part FROM orders")
+def l05_partition(spark, sf):
+    """Ids of eight hex digits tell their part themselves, others by a hash."""
+    o = views.tables(spark, sf, "orders")["orders"]
+    id_ = F.when(F.col("o_orderkey") % 2 == 0, F.lower(F.lpad(F.hex(F.col("o_orderkey") * 2654435761 % 4294967296), 8, "0"))).otherwise(F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", train.partition(id_).alias("part"))
+
+
+@register("l08_learned_matcher")
+def l08_learned_matcher(spark, sf):
+    """Decisions by a model that learned from the labels, beside the rules'; saved and loaded in between."""
+    p, w = settle(views.parties(spark, sf)), views.written(spark, sf)
+    labels = w.withColumns({"scorable": F.lit(True), "split": F.when(F.crc32("adm_party_id") % 3 == 0, "CALIBRATION").otherwise("TRAIN")})
+    model = train.learn(labels, p, w.select(F.col("raw_name").alias("text")))
+    ctx, mentions = matcher.context(p, w.select("adm_party_id", "raw_name"), decide.Policy())
+    policy = decide.Policy(system=model.threshold, plain=model.plain_threshold, containment=False, short_names=False)
+    out = matcher.baseline(ctx.records, mentions, settle(train.apply(model, ctx.proposals)), ctx.parties, policy, train.target(model))
+    return out.select("adm_party_id", "decision", "reason", F.round("confidence", 6).alias("confidence"), "party_id")

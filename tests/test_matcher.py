@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from onomast.functions import text as X
 from onomast.operators import decide, recovery
+from onomast.operators.settle import settle
 from onomast.plans import catalog, matcher, views
 
 CATALOG = [dict(id="carahsoft", name="Carahsoft Technology Corp."), dict(id="afrl", name="Air Force Research Laboratory"), dict(id="acme_root", name="Acme Holdings Inc."), dict(id="acme_child", name="Acme Services LLC", aliases="Acme Services")]
@@ -77,42 +78,40 @@ def test_full_matcher(spark):
     assert got["Abbott Labs"]["reason"] == "DISTINCTIVE_TOKEN_CONFLICT"
 
 
-def reviewed(spark, stage, raw, catalog, score, reason="INSUFFICIENT_SUPPORT", parties=(), exact=0.0):
-    """What a recovery stage makes of a refused name with one direct proposal."""
-    records = matcher.prepared(spark.createDataFrame([("r", raw)], "adm_party_id string, raw_name string"))
-    rows = [("root", catalog), *parties]
-    p = matcher.rooted(spark.createDataFrame([(i, n, None) for i, n in rows], "party_id string, party_name string, parent_id string"))
-    one = {**proposal("r", raw, 0, "root", score), "name": catalog, "norm_name": X.plain(catalog), "mention_norm": X.plain(raw), "root_name": catalog, "owner_name": catalog, "exact": exact}
-    props = frame(spark, [one]).withColumn("idf", F.create_map().cast("map<string,double>"))
-    old = decide.shaped(spark.createDataFrame([("r", raw, "NO_MATCH", reason, score, "root", 0.5, None)], "adm_party_id string, raw_name string, decision string, reason string, confidence double, party_id string, margin double, runner_up_id string"))
-    ctx = recovery.Context(records, props, p, {}, props, decide.Policy())
-    return stage(old, ctx).first()
-
-
-@pytest.mark.parametrize(
-    "raw,name,score,others,tier",
-    [
-        ("Abbott Labs", "Abbott Laboratories", 0.65, (), "RULES_SECOND_PASS_LABORATORY_ABBREVIATION"),
-        ("Abbott Labs", "Abbott Laboratories", 0.65, (("other", "Abbott Labs"),), None),
-        ("Abbott Molecular", "Abbott Laboratories", 0.65, (), None),
-        ("Mastercard Foundation", "The Mastercard Foundation", 0.799, (), "RULES_SECOND_PASS_LEADING_ARTICLE_EQUIVALENCE"),
-        ("Loveday and Partners", "Loveday & Partners", 0.6, (), "RULES_SECOND_PASS_AND_EQUIVALENCE"),
-        ("Acme Robotics GmbH", "Acme Robotics Inc", 0.6, (), "RULES_SECOND_PASS_LEGAL_SUFFIX_VARIANT"),
-        ("Acme Robotics GmbH", "Acme Robotics Inc", 0.6, (("other", "Acme Robotics Ltd"),), None),
-        ("Zeta Widgetz", "Zeta Widgets", 0.4, (), "RULES_SECOND_PASS_MINOR_SPELLING_VARIANT"),
-        ("Ingram Micro Inc. LATAM Export Division", "Ingram Micro Inc", 0.3, (), "RULES_SECOND_PASS_OFFICIAL_NAME_WITH_CONTEXT"),
-        ("Ingram Micro Inc. LATAM Export Division", "Ingram Micro Inc", 0.2, (), None),
-    ],
-)
-def test_second_pass(spark, raw, name, score, others, tier):
-    got = reviewed(spark, recovery.second_pass, raw, name, score, parties=others)
-    assert (got["tier"] if got["decision"] == "MATCH" else None) == tier
-
-
-@pytest.mark.parametrize("raw,name,score,others,match", [("Acme Brazil", "Acme", 0.5, (), True), ("Acme Brazil Analytics", "Acme", 0.5, (), False), ("Acme North America Division", "Acme Inc", 0.5, (), True), ("Acme Brazil", "Acme", 0.3, (), False), ("Acme Brazil", "Acme", 0.5, (("other", "Acme Tools"),), False)])
-def test_regional_stage(spark, raw, name, score, others, match):
-    got = reviewed(spark, recovery.regional, raw, name, score, parties=others)
-    assert (got["decision"] == "MATCH") == match and (not match or got["tier"] == "RULES_REGIONAL_HEURISTIC")
+def reviewed(spark, stage, cases):
+    """What a recovery stage makes of refused names, each with one direct proposal: tiers, or None."""
+    records = matcher.prepared(spark.createDataFrame([(f"r{i}", c[0]) for i, c in enumerate(cases)], "adm_party_id string, raw_name string"))
+    parties = [(f"root{i}", c[1], None) for i, c in enumerate(cases)] + [(f"other{i}", c[3], None) for i, c in enumerate(cases) if c[3]]
+    p = settle(matcher.rooted(spark.createDataFrame(parties, "party_id string, party_name string, parent_id string"), flat=True))
+    rows = [{**proposal(f"r{i}", raw, 0, f"root{i}", score), "name": name, "norm_name": X.plain(name), "mention_norm": X.plain(raw), "root_name": name, "owner_name": name} for i, (raw, name, score, _, _) in enumerate(cases)]
+    props = settle(frame(spark, rows).withColumn("idf", F.create_map().cast("map<string,double>")))
+    old = [(f"r{i}", c[0], "NO_MATCH", "INSUFFICIENT_SUPPORT", c[2], f"root{i}", 0.5, None) for i, c in enumerate(cases)]
+    decisions = decide.shaped(spark.createDataFrame(old, "adm_party_id string, raw_name string, decision string, reason string, confidence double, party_id string, margin double, runner_up_id string"))
+    found = {r["adm_party_id"]: r for r in stage(decisions, recovery.Context(records, props, p, {}, props, decide.Policy())).collect()}
+    assert len(found) == len(cases) and all(r["party_id"] == f"root{k[1:]}" for k, r in found.items())
+    return [found[f"r{i}"]["tier"] if found[f"r{i}"]["decision"] == "MATCH" else None for i in range(len(cases))]
+
+
+def test_second_pass(spark):
+    cases = [
+        ("Abbott Labs", "Abbott Laboratories", 0.65, None, "LABORATORY_ABBREVIATION"),
+        ("Cabot Labs", "Cabot Laboratories", 0.65, "Cabot Labs Inc", None),
+        ("Dorset Molecular", "Dorset Laboratories", 0.65, None, None),
+        ("Mastercard Foundation", "The Mastercard Foundation", 0.799, None, "LEADING_ARTICLE_EQUIVALENCE"),
+        ("Loveday and Partners", "Loveday & Partners", 0.6, None, "AND_EQUIVALENCE"),
+        ("Acme Robotics GmbH", "Acme Robotics Inc", 0.6, None, "LEGAL_SUFFIX_VARIANT"),
+        ("Bolton Robotics GmbH", "Bolton Robotics Inc", 0.6, "Bolton Robotics Ltd", None),
+        ("Zeta Widgetz", "Zeta Widgets", 0.4, None, "MINOR_SPELLING_VARIANT"),
+        ("Ingram Micro Inc. LATAM Export Division", "Ingram Micro Inc", 0.3, None, "OFFICIAL_NAME_WITH_CONTEXT"),
+        ("Tech Data Corp. LATAM Export Division", "Tech Data Corp", 0.2, None, None),
+    ]
+    assert reviewed(spark, recovery.second_pass, cases) == [c[4] and f"RULES_SECOND_PASS_{c[4]}" for c in cases]
+
+
+def test_regional_stage(spark):
+    hit = "RULES_REGIONAL_HEURISTIC"
+    cases = [("Acme Brazil", "Acme", 0.5, None, hit), ("Bolt Brazil Analytics", "Bolt", 0.5, None, None), ("Corex North America Division", "Corex Inc", 0.5, None, hit), ("Dynax Brazil", "Dynax", 0.3, None, None), ("Ergon Brazil", "Ergon", 0.5, "Ergon Tools", None)]
+    assert reviewed(spark, recovery.regional, cases) == [c[4] for c in cases]
 
 
 def test_pooled_segments(spark):
