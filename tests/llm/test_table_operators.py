@@ -292,3 +292,50 @@ def test_pipeline_against_plain_python(spark, sf):
             want[i, piece] += copies
     assert Counter((r["doc_id"], r["piece"]) for r in got) == Counter({k: v for k, v in want.items() if v})
     layout_is_valid(got)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing columns, empty tables."""
+    shape = "doc_id long, text string, lang string, source string, n_chars long, score string, Replica string, lang_pred int, length int"
+    english, german = "the cat and the dog sat on the mat with another cat", "der hund und die katze sind heute alle zusammen hier"
+    rows = [(i, f"{english} {i} {chr(97 + i) * 5}", "en", "a", 1, "kept", f"r{i}", i, 7) for i in range(12)] + [(20 + i, f"{german} {i} {chr(97 + i) * 5}", "de", "b", 1, "kept", f"r{20 + i}", 20 + i, 7) for i in range(12)]
+    same = "one and the same text that comes again and again in this very table of ours"
+    rows += [(50, same, None, None, None, "kept", "r50", 50, 7), (51, same, None, "a", None, "kept", "r51", 51, 7), (52, same, "en", "a", 1, "kept", "r52", 52, 7), (52, same, "en", "a", 1, "kept", "r52", 52, 7)]
+    rows += [(60, None, "en", "a", 1, "kept", "r60", 60, 7), (61, "", "en", "a", 1, "kept", "r61", 61, 7), (62, "12 %", None, "a", 1, "kept", "r62", 62, 7), (None, "no id but the words and letters of a text", None, "a", 1, "kept", "r0", 0, 7), (70, "word " * 30_000, "en", "a", 1, "kept", "r70", 70, 7)]
+    docs = spark.createDataFrame(rows, shape).repartition(3)
+    one = corpus_pipeline.language(spark, docs, "")
+    assert one.columns == docs.columns
+    got = one.collect()
+    assert sorted((r["doc_id"] or 0) for r in got) == sorted((r[0] or 0) for r in rows if r[0] not in (60, 61, 62))
+    assert all(r["score"] == "kept" and r["Replica"] == f"r{r['doc_id'] or 0}" and r["lang_pred"] == (r["doc_id"] or 0) and r["lang"] is not None for r in got)
+    two = corpus_pipeline.near_duplicates(spark, one, "")
+    assert two.columns == docs.columns and sorted((r["doc_id"] or 0) for r in two.collect()) == sorted((r[0] or 0) for r in rows if r[0] not in (51, 52, 60, 61, 62))
+    three = corpus_pipeline.mixture(spark, two, "")
+    assert three.columns == docs.columns and all(r["Replica"] == f"r{r['doc_id'] or 0}" for r in three.collect())
+    four = corpus_pipeline.sequences(spark, two, "").collect()
+    layout_is_valid(four)
+    assert {r["doc_id"] for r in four} == {r["doc_id"] for r in two.collect()} and max(r["piece"] for r in four if r["doc_id"] == 70) > 20
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, "").count() == len(rows) - 3
+
+
+def test_minhash_query_finds_all_links(spark):
+    """The registered query against an inverted index of all shingles: no link is lost."""
+    sf = "/root/testdata/sf0.01"
+    sets = {r["doc_id"]: frozenset(shingles(r["text"])) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    by: dict = {}
+    for i, s in sets.items():
+        for g in s:
+            by.setdefault(g, []).append(i)
+    got = {r["doc_id"]: r for r in queries.op3_minhash(spark, sf).collect()}
+    links = 0
+    for i, s in sets.items():
+        assert got[i]["n_shingles"] == len(s)
+        shared = Counter(j for g in s for j in by[g] if j < i)
+        for j, both in shared.items():
+            if 100 * both >= 75 * (len(s) + len(sets[j]) - both):
+                links += 1
+                assert got[i]["component_id"] == got[j]["component_id"]
+    assert links > 50
