@@ -672,7 +672,8 @@ def d01_proposals(spark, sf):
     return ctx.proposals.select("adm_party_id", "mention_id", "party_id", "root_id", "name", F.round("char", 6).alias("char"), F.round("word", 6).alias("word"), F.round("rrf", 6).alias("rrf"), F.round("score", 6).alias("score"))
 
 
-# lineitems as direct proposals: an order is a record, its parts are roots
+# lineitems as direct proposals: an order is a record, its parts are roots. Scores are rounded a
+# little upward on both sides, as products of short decimals often lie just at the edge.
 
 PROPOSED = """SELECT l_orderkey AS rec, l_partkey AS root, l_linenumber AS line, 'name ' || CAST(l_partkey AS VARCHAR(20)) AS name, round(least(0.999, l_extendedprice / 70000.0), 6) AS s,
   CASE WHEN l_quantity > 46 THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN l_linenumber % 5 = 0 THEN 1.0 ELSE 0.0 END AS digits, CASE WHEN l_quantity < 5 THEN 1.0 ELSE 0.0 END AS words, 1 + l_partkey % 2 AS collisions,
@@ -701,7 +702,7 @@ def proposed(spark, sf):
     "d03_plain_decisions",
     f"""WITH {RANKED}, d AS (SELECT *, target - coalesce(us, 0.0) AS margin FROM o WHERE place = 1),
 r AS (SELECT *, CASE WHEN guard IS NOT NULL THEN guard WHEN up IS NOT NULL AND margin < 0.04 THEN CASE WHEN collisions > 1 THEN 'CANDIDATE_COLLISION' ELSE 'AMBIGUOUS_FINAL_TARGETS' END WHEN target < 0.8 THEN 'INSUFFICIENT_SUPPORT' ELSE 'MATCH' END AS reason FROM d)
-SELECT o_orderkey::VARCHAR AS adm_party_id, CASE WHEN reason = 'MATCH' THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, coalesce(reason, CASE WHEN o_orderkey % 4 = 0 THEN 'EMPTY_NAME' ELSE 'NO_CANDIDATES' END) AS reason, round(coalesce(target, 0.0), 6) AS confidence, root::VARCHAR AS party_id, CASE WHEN reason IS NOT NULL THEN {TIER} END AS tier, CASE WHEN exact = 1 THEN 'exact:normalized' WHEN reason IS NOT NULL THEN 'feature:char_word' END AS method, round(margin, 6) AS margin, up::VARCHAR AS runner_up_id
+SELECT o_orderkey::VARCHAR AS adm_party_id, CASE WHEN reason = 'MATCH' THEN 'MATCH' ELSE 'NO_MATCH' END AS decision, coalesce(reason, CASE WHEN o_orderkey % 4 = 0 THEN 'EMPTY_NAME' ELSE 'NO_CANDIDATES' END) AS reason, round(coalesce(target, 0.0) + 1e-9, 6) AS confidence, root::VARCHAR AS party_id, CASE WHEN reason IS NOT NULL THEN {TIER} END AS tier, CASE WHEN exact = 1 THEN 'exact:normalized' WHEN reason IS NOT NULL THEN 'feature:char_word' END AS method, round(margin + 1e-9, 6) AS margin, up::VARCHAR AS runner_up_id
 FROM orders LEFT JOIN r ON rec = o_orderkey AND o_orderkey % 7 <> 0""",
 )
 def d03_plain_decisions(spark, sf):
@@ -710,7 +711,7 @@ def d03_plain_decisions(spark, sf):
     records = views.tables(spark, sf, "orders")["orders"].select(key.cast("string").alias("adm_party_id"), F.when(key % 4 == 0, "").otherwise("x").alias("raw_name"), F.lit(True).alias("plain"), F.lit(None).cast("string").alias("parse_warning"))
     props = proposed(spark, sf).filter(F.col("adm_party_id").cast("long") % 7 != 0).drop("root", "line")
     out = decide.plain(records, props, decide.Policy(containment=False))
-    return out.select("adm_party_id", "decision", "reason", F.round("confidence", 6).alias("confidence"), "party_id", "tier", "method", F.round("margin", 6).alias("margin"), "runner_up_id")
+    return out.select("adm_party_id", "decision", "reason", F.round(F.col("confidence") + 1e-9, 6).alias("confidence"), "party_id", "tier", "method", F.round(F.col("margin") + 1e-9, 6).alias("margin"), "runner_up_id")
 
 
 @register(
@@ -722,7 +723,7 @@ m AS (SELECT q, arg_min(why, line) AS lw, arg_min(target, line) AS lt, arg_min(r
 x AS (SELECT m.*, arg_min(d.root, d.line) FILTER (d.why <> 'MATCH' AND d.target = nt) AS nr FROM m JOIN d USING (q) GROUP BY ALL),
 r AS (SELECT *, ok > 0 AND lw IN ('INSUFFICIENT_SUPPORT', 'AMBIGUOUS_FINAL_TARGETS') AND lt >= 0.9 - 0.03 AS near FROM x)
 SELECT q::VARCHAR AS adm_party_id, CASE WHEN q % 13 = 0 THEN 'MALFORMED_CONNECTOR' WHEN n = 1 OR (q % 11 = 0 AND n > 2) THEN 'MIXED_CONNECTORS_UNSUPPORTED' WHEN near THEN 'PREFERRED_NEAR_CUTOFF' WHEN ok = 0 THEN 'NONE' WHEN roots = 1 THEN CASE WHEN ok = 1 THEN 'ONLY_MATCH' ELSE 'SAME_ROOT' END ELSE CASE WHEN q % 2 = 0 THEN 'OBO' ELSE 'VIA' END || '_LEFT' END AS resolution,
-  CASE WHEN q % 13 = 0 OR n = 1 OR (q % 11 = 0 AND n > 2) THEN 0.0 WHEN near THEN round(lt, 6) WHEN ok = 0 THEN round(nt, 6) WHEN roots = 1 THEN round(mt, 6) ELSE round(ft, 6) END AS confidence,
+  CASE WHEN q % 13 = 0 OR n = 1 OR (q % 11 = 0 AND n > 2) THEN 0.0 WHEN near THEN round(lt + 1e-9, 6) WHEN ok = 0 THEN round(nt + 1e-9, 6) WHEN roots = 1 THEN round(mt + 1e-9, 6) ELSE round(ft + 1e-9, 6) END AS confidence,
   CASE WHEN q % 13 = 0 OR n = 1 OR (q % 11 = 0 AND n > 2) THEN NULL WHEN near THEN lr WHEN ok = 0 THEN nr ELSE fr END::VARCHAR AS party_id FROM r""",
 )
 def d04_connector_decisions(spark, sf):
@@ -742,7 +743,7 @@ def d04_connector_decisions(spark, sf):
     records = l.select(key.cast("string").alias("adm_party_id"), F.lit("x").alias("raw_name")).distinct()
     none = spark.createDataFrame([], "party_id string, party_name string, party_norm string, root_id string")
     out = decide.connectors(records, m, props, none, decide.Policy(system=0.9, short_names=False))
-    return out.select("adm_party_id", "resolution", F.round("confidence", 6).alias("confidence"), "party_id")
+    return out.select("adm_party_id", "resolution", F.when(F.col("confidence") == 0, 0.0).otherwise(F.round(F.col("confidence") + 1e-9, 6)).alias("confidence"), "party_id")
 
 
 _W = {c: n for c, n in zip(scoring.RULE_WEIGHTS, ("chars", "terms", "cover", "jaccard", "cover", "terms", "chars", "terms", "jaccard", "chars", "cover", "jaccard", "digits", "words"), strict=True)}
