@@ -675,7 +675,7 @@ def d01_proposals(spark, sf):
 # lineitems as direct proposals: an order is a record, its parts are roots. Scores are rounded a
 # little upward on both sides, as products of short decimals often lie just at the edge.
 
-PROPOSED = """SELECT l_orderkey AS rec, l_partkey AS root, l_linenumber AS line, 'name ' || CAST(l_partkey AS VARCHAR(20)) AS name, round(least(0.999, l_extendedprice / 70000.0), 6) AS s,
+PROPOSED = """SELECT l_orderkey AS rec, l_partkey AS root, l_linenumber AS line, 'name ' || CAST(l_partkey AS VARCHAR(20)) AS name, round(least(0.999, l_extendedprice / 69997.0), 6) AS s,
   CASE WHEN l_quantity > 46 THEN 1.0 ELSE 0.0 END AS exact, CASE WHEN l_linenumber % 5 = 0 THEN 1.0 ELSE 0.0 END AS digits, CASE WHEN l_quantity < 5 THEN 1.0 ELSE 0.0 END AS words, 1 + l_partkey % 2 AS collisions,
   CASE WHEN l_suppkey % 3 = 0 THEN 'alias' ELSE 'official' END AS type, round(l_tax * 12, 4) AS cover, round(l_discount * 10, 4) AS jaccard, round(l_discount * 9, 4) AS chars, round(l_tax * 11, 4) AS terms FROM {lineitem}"""
 RANKED = f"""p AS ({PROPOSED.replace('{lineitem}', 'lineitem')}),
@@ -716,7 +716,7 @@ def d03_plain_decisions(spark, sf):
 
 @register(
     "d04_connector_decisions",
-    f"""WITH {RANKED.replace("l_orderkey AS rec", "l_orderkey * 10 + l_linenumber AS rec").replace("FROM lineitem)", "FROM lineitem UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_suppkey + 1000000, l_linenumber, 'name ' || (l_suppkey + 1000000), round(least(0.999, l_extendedprice / 80000.0), 6), 0.0, 0.0, 0.0, 1, 'official', 0.0, 0.0, 0.0, 0.0 FROM lineitem)")},
+    f"""WITH {RANKED.replace("l_orderkey AS rec", "l_orderkey * 10 + l_linenumber AS rec").replace("FROM lineitem)", "FROM lineitem UNION ALL SELECT l_orderkey * 10 + l_linenumber, l_suppkey + 1000000, l_linenumber, 'name ' || (l_suppkey + 1000000), round(least(0.999, l_extendedprice / 79999.0), 6), 0.0, 0.0, 0.0, 1, 'official', 0.0, 0.0, 0.0, 0.0 FROM lineitem)")},
 d AS (SELECT rec // 10 AS q, rec % 10 AS line, root, target, target - coalesce(us, 0.0) AS margin, CASE WHEN guard IS NOT NULL THEN guard WHEN up IS NOT NULL AND target - coalesce(us, 0.0) < 0.04 THEN 'AMBIGUOUS_FINAL_TARGETS' WHEN target < 0.9 THEN 'INSUFFICIENT_SUPPORT' ELSE 'MATCH' END AS why FROM o WHERE place = 1),
 m AS (SELECT q, arg_min(why, line) AS lw, arg_min(target, line) AS lt, arg_min(root, line) AS lr, count(*) FILTER (why = 'MATCH') AS ok, count(DISTINCT CASE WHEN why = 'MATCH' THEN root END) AS roots, bool_or(why = 'AMBIGUOUS_FINAL_TARGETS') AS amb, bool_or(why = 'INSUFFICIENT_SUPPORT') AS weak,
   arg_min(root, line) FILTER (why = 'MATCH') AS fr, arg_min(target, line) FILTER (why = 'MATCH') AS ft, max(target) FILTER (why = 'MATCH') AS mt, max(target) FILTER (why <> 'MATCH') AS nt, count(*) AS n FROM d GROUP BY q),
@@ -735,7 +735,7 @@ def d04_connector_decisions(spark, sf):
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1
     m = l.select("l_orderkey", "l_linenumber").distinct().withColumn("at", place).select(key.cast("string").alias("adm_party_id"), F.concat(key.cast("string"), F.lit(":"), F.lpad(line.cast("string"), 2, "0")).alias("mention_id"), F.lit("x").alias("text"), F.col("at").alias("position"), F.when(F.col("at") > 0, mixed).alias("connector_before"), F.when((key % 13 == 0) & (F.col("at") == 0), "MALFORMED_CONNECTOR").alias("parse_warning"))
     one = proposed(spark, sf)
-    two = l.select(key.cast("string").alias("adm_party_id"), F.concat(key.cast("string"), F.lit(":"), F.lpad(line.cast("string"), 2, "0")).alias("mention_id"), (F.col("l_suppkey") + 1_000_000).alias("root"), F.round(F.least(F.lit(0.999), F.col("l_extendedprice") / 80000.0), 6).alias("score"))
+    two = l.select(key.cast("string").alias("adm_party_id"), F.concat(key.cast("string"), F.lit(":"), F.lpad(line.cast("string"), 2, "0")).alias("mention_id"), (F.col("l_suppkey") + 1_000_000).alias("root"), F.round(F.least(F.lit(0.999), F.col("l_extendedprice") / 79999.0), 6).alias("score"))
     zero = F.lit(0.0)
     name = F.concat(F.lit("name "), F.col("root").cast("string"))
     two = two.select("adm_party_id", "mention_id", F.lit("x").alias("mention_text"), F.lit("x").alias("mention_norm"), name.alias("norm_name"), name.alias("name"), F.col("root").alias("root_id"), F.col("root").alias("party_id"), name.alias("root_name"), name.alias("owner_name"), "score", *[zero.alias(c) for c in ("exact", "digit_conflict", "distinctive_conflict", "candidate_coverage", "token_jaccard", "char", "word")], F.lit(1).alias("collisions"), F.lit("official").alias("type"), F.array(F.lit("char")).alias("sources"), F.array(F.col("root").cast("string")).alias("path"), F.create_map().cast("map<string,double>").alias("idf"), F.lit(1).alias("parties"))
