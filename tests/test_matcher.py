@@ -148,3 +148,17 @@ def test_registered_matchers_take_every_record(spark, sf):
     for key, name in written.items():
         alike.setdefault(name, []).append(found.get(key))
     assert all(x == group[0] for group in alike.values() for x in group) and len(found) > len(alike) / 2
+
+
+def test_plain_decisions_round_as_their_sql(spark, tmp_path):
+    """A target or margin whose printed decimals end in a half while the scaled double lies just below it."""
+    import duckdb
+
+    lines = [(77878, 40793, 2, 4.0, 1634.77, 0.09, 0.0), (327652, 37733, 3, 11.0, 86189.08, 0.08, 0.07), (426700, 56218, 4, 29.0, 33194.99, 0.08, 0.05), (441096, 50684, 5, 26.0, 51532.36, 0.07, 0.06), (514737, 14963, 5, 8.0, 68441.62, 0.1, 0.0), (609699, 48681, 6, 14.0, 8140.36, 0.06, 0.01), (717087, 15289, 7, 35.0, 30718.74, 0.09, 0.07)]
+    spark.createDataFrame([(1098121, *r) for r in lines], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1098121,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    db = duckdb.connect()
+    for name in ("lineitem", "orders"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    wanted = db.execute(catalog.SQL["d03_plain_decisions"]).fetchall()
+    assert [tuple(r) for r in catalog.d03_plain_decisions(spark, str(tmp_path)).collect()] == wanted
