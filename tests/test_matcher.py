@@ -162,3 +162,34 @@ def test_plain_decisions_round_as_their_sql(spark, tmp_path):
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     wanted = db.execute(catalog.SQL["d03_plain_decisions"]).fetchall()
     assert [tuple(r) for r in catalog.d03_plain_decisions(spark, str(tmp_path)).collect()] == wanted
+
+
+def test_names_are_decided_once(spark, monkeypatch):
+    """Written names that repeat are matched once, weighing as often as they are written; each record has the decision."""
+    seen, whole = [], matcher.context
+
+    def watched(parties, records, *args, **more):
+        seen.extend(records.collect())
+        return whole(parties, records, *args, **more)
+
+    monkeypatch.setattr(matcher, "context", watched)
+    v, u = matcher.spark_frames(spark, CATALOG, [dict(id=f"u{i}", name=n) for i, n in enumerate(["Acme Services", "Unknown Organization", "Acme Services", None, "", "Acme Services"])])
+    got = {r["unverified_id"]: (r["unverified_name"], r["verified_id"], r["reason"]) for r in matcher.match_flat(v, u).collect()}
+    assert {(r["raw_name"], r["copies"]) for r in seen} == {("Acme Services", 3), ("Unknown Organization", 1), ("", 2)} and len(seen) == 3
+    assert len(got) == 6 and got["u0"] == got["u2"] == got["u5"] and got["u0"][1] == "acme_child" and got["u3"] == got["u4"] == ("", None, "EMPTY_NAME")
+
+
+def test_position_prior_counts_all_records_of_a_name(spark):
+    """Twenty labelled records with one name give the prior of its second part, which then wins between equal parts."""
+    ids = [f"r{i:02}" for i in range(20)]
+    single, members = matcher.names(spark.createDataFrame([(i, "Alpha Tools - Beta Tools") for i in ids], "adm_party_id string, raw_name string"))
+    decisions = decide.shaped(single.select("adm_party_id", "raw_name", F.lit("NO_MATCH").alias("decision")))
+    labels = spark.createDataFrame([(i, "Beta") for i in ids], "adm_party_id string, root_id string")
+
+    def retrieve(mentions):
+        found = [(r["mention_id"], "Alpha" if "Alpha" in r["text"] else "Beta") for r in mentions.collect() if r["copies"] == 20]
+        return frame(spark, [{**proposal(m, root, 0, root, 0.9), "mention_id": m} for m, root in found])
+
+    ctx = recovery.Context(matcher.prepared(single), None, None, {}, None, decide.Policy(), members=members)
+    assert recovery.multipart(decisions, ctx, retrieve, labels).first()["party_id"] == "Beta"
+    assert recovery.multipart(decisions, ctx, retrieve).first()["party_id"] == "Alpha"
