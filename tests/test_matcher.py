@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from onomast.functions import text as X
-from onomast.operators import decide, recovery
+from onomast.operators import decide, recovery, train
 from onomast.operators.settle import settle
 from onomast.plans import catalog, matcher, views
 
@@ -193,3 +193,21 @@ def test_position_prior_counts_all_records_of_a_name(spark):
     ctx = recovery.Context(matcher.prepared(single), None, None, {}, None, decide.Policy(), members=members)
     assert recovery.multipart(decisions, ctx, retrieve, labels).first()["party_id"] == "Beta"
     assert recovery.multipart(decisions, ctx, retrieve).first()["party_id"] == "Alpha"
+
+
+def test_learned_matcher_repeats_no_work(spark, sf, monkeypatch):
+    """Candidates are found once for all that reads them, and each written name is decided once, for all its records."""
+    fed, kept, seen, whole = [], [], [], matcher.context
+
+    def watched(parties, records, *args, **more):
+        seen.extend(records.collect())
+        return whole(parties, records, *args, **more)
+
+    monkeypatch.setattr(matcher, "context", watched)
+    monkeypatch.setattr(train, "settle", lambda df: kept.append(settle(df)) or kept[-1])
+    monkeypatch.setattr(train, "matrix", lambda rows, idf, grams: fed.append(rows) or rows)
+    monkeypatch.setattr(train, "fit", lambda rows, held, **more: train.Model(None, None, None, 0.9, 0.9, ""))
+    written = {r["adm_party_id"]: r["raw_name"] for r in views.written(spark, sf).collect()}
+    got = {r["adm_party_id"]: r for r in catalog.l08_learned_matcher(spark, sf).collect()}
+    assert len(fed) == 2 and all(any(rows is k for k in kept) for rows in fed)
+    assert got.keys() == written.keys() and sorted(r["raw_name"] for r in seen) == sorted(set(written.values()))
