@@ -5,7 +5,8 @@ Parquet and read back as the next one's ``docs``. All but the last return the co
 of ``docs``, also those called like a column that an operator adds. Every stage works on
 all rows it is given: texts are read whole, repeated rows are rows of their own, ties are
 settled by ids or hashes, and an empty table gives an empty one. What nulls mean is said
-at each stage.
+at each stage. Stages with Python workers bound the bytes of the session's Arrow batches,
+so that long texts fill no executor.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from onomast.llm import langid, minhash, mixing, queries
-from onomast.llm._common import materialise, maybe_broadcast, table
+from onomast.llm._common import materialise, maybe_broadcast, small_batches, table
 
 
 def _aside(docs: DataFrame, *taken: str) -> DataFrame:
@@ -35,6 +36,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing to learn from: then every text with a letter stays, and ``lang`` stays null. Null
     ids and sources make no difference.
     """
+    small_batches(spark)
     model = langid.train(docs)
     if not model.langs:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
@@ -48,6 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null id belong to no group and stay, as do texts without a word; rows of one
     id are one document and stay or go together.
     """
+    small_batches(spark)
     gone = minhash.cluster(docs).filter(~F.col("kept")).select("doc_id").distinct()
     gone = materialise(gone)
     return docs.join(maybe_broadcast(gone, 16), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -63,6 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 1024 ids; a null text is an empty document."""
+    small_batches(spark)
     return queries.packed(docs)
 
 

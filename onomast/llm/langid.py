@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from onomast.llm._common import cuts, hash53, materialise, maybe_broadcast, nullable, utf8, without
+from onomast.llm._common import CUT_BYTES, cuts, hash53, lean, materialise, maybe_broadcast, nullable, utf8, without
 
 START = 256  # the symbol before a text's first byte, while counting
 BASE = 257
@@ -75,7 +75,7 @@ def _grams(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[pa.RecordB
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-        for lo, hi in cuts(offsets, 1 << 20):
+        for lo, hi in cuts(offsets, CUT_BYTES):
             part, at = data[offsets[lo] : offsets[hi]].astype(np.int64), offsets[lo : hi + 1] - offsets[lo]
             code = part.copy()
             inside = np.arange(part.size) - np.repeat(at[:-1], np.diff(at))
@@ -99,7 +99,7 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", key: str =
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
     share = F.least(F.lit(1.0), F.lit(float(rows_per_language)) / F.col("rows"))
     sample = labelled.join(maybe_broadcast(sizes, 64), "lang").filter(hash53(F.lit("langid"), F.coalesce("key", F.lit(""))) < F.lit(float(1 << 52)) * share).select("lang", "text")
-    counts = materialise(sample.mapInArrow(lambda it: _grams(it, order), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    counts = materialise(sample.mapInArrow(lean(lambda it: _grams(it, order)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     # for each language: how many contexts there can be, and followers
     level = lambda k: F.count_distinct(F.floor(F.col("gram") / BASE) % BASE**k)
     rows = counts.groupBy("lang").agg(sum((level(k) for k in range(1, order + 1)), F.lit(1)).alias("states"), F.count_distinct(F.col("gram") % BASE).alias("symbols")).orderBy("lang").collect()  # a row for each language
@@ -140,7 +140,7 @@ def build(lang: np.ndarray, gram: np.ndarray, n: np.ndarray, order: int) -> Auto
             child = context[:, None] * BASE + seen[None, :]
             at = np.minimum(np.searchsorted(levels[k + 1], child), len(levels[k + 1]) - 1)
             step[ids[:, None], np.arange(a)[None, :]] = np.where(levels[k + 1][at] == child, first[k + 1] + at, step[ids][:, :a])
-    cost = np.zeros((len(langs), size, width), np.int32)
+    cost = np.zeros((len(langs), size, width), np.int16)  # 100 bits at most, by the floor of p
     weight = np.ones(a + 1)
     weight[a] = others
     for j in range(len(langs)):
@@ -172,7 +172,7 @@ def code_lengths(model: Automaton, data: np.ndarray, offsets: np.ndarray) -> np.
     length = data.size + texts
     line = np.full(length, w - 1, np.int32)
     line[np.arange(data.size) + np.repeat(np.arange(1, texts + 1), np.diff(offsets))] = model.symbol[data]
-    strips = int(np.clip(length // 512, 1, 8192))
+    strips = int(np.clip(length // 128, 1, 8192))
     each = -(-length // strips)
     padded = np.concatenate([np.full(k, w - 1, np.int32), line, np.full(strips * each - length, w - 1, np.int32)])
     columns = np.lib.stride_tricks.as_strided(padded, (strips, k + each), (4 * each, 4)).T.copy()
@@ -203,7 +203,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: Sequenc
     schema = T.StructType([*carried, T.StructField("best", T.StringType()), T.StructField("bits", T.DoubleType()), T.StructField("mass", T.DoubleType())])
     for i, langs in enumerate(model.groups):
         shared = docs.sparkSession.sparkContext.broadcast(model.automaton(langs))  # AUTOMATON_BYTES, or one language
-        given = given.mapInArrow(_pass(shared, read), schema)
+        given = given.mapInArrow(lean(_pass(shared, read)), schema)
         if i + 1 < len(model.groups):
             given = materialise(given)  # so that a worker holds one automaton at a time
     letters = F.coalesce(F.col(read).rlike(r"\p{L}"), F.lit(False))
@@ -217,7 +217,7 @@ def _pass(shared, read: str):
         names = np.array(own.langs, dtype=object)
         for batch in batches:
             data, offsets = utf8(batch.column(read))
-            for lo, hi in cuts(offsets, 1 << 20):
+            for lo, hi in cuts(offsets, CUT_BYTES):
                 part = batch.slice(lo, hi - lo)
                 bits = code_lengths(own, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) / FIXED
                 least, before = bits.min(1), part.column("bits").to_numpy()

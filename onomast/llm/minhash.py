@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from onomast.llm._common import cuts, forget, materialise, maybe_broadcast, mix64, utf8
+from onomast.llm._common import CUT_BYTES, cuts, forget, lean, materialise, maybe_broadcast, mix64, utf8
 
 WIDTH, PERCENT, BANDS, ROWS = 5, 75, 48, 5
 HASHES = 2 * BANDS * ROWS
@@ -86,7 +86,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after = np.concatenate([word[1:], [False]])
     start = np.flatnonzero(word & (~before | edge[:-1]))
     end = np.flatnonzero(word & (~after | edge[1:])) + 1
-    up, down = _powers(max(20, int(data.size + 1).bit_length()))
+    up, down = _powers(max(18, int(data.size + 1).bit_length()))
     sums = np.zeros(data.size + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * up[: data.size], out=sums[1:])
     return mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64) * _MIX[63]), np.searchsorted(start, offsets)
@@ -132,9 +132,9 @@ def signature(least: np.ndarray) -> bytes:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column(1))
-        for lo, hi in cuts(offsets, 1 << 20):
+        known: dict[bytes, tuple] = {}
+        for lo, hi in cuts(offsets, CUT_BYTES):
             n, a, b, band, sig = [], [], [], [], []
-            known: dict[bytes, tuple] = {}
             for s in sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]):
                 n.append(len(s))
                 digest = hashlib.blake2b(s, digest_size=16).digest()
@@ -171,7 +171,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] = []
     for batch in batches:
         data, offsets = utf8(batch.column(4))
-        for lo, hi in cuts(offsets, 1 << 20):
+        for lo, hi in cuts(offsets, CUT_BYTES):
             part = batch.slice(lo, hi - lo)
             a, salt, member, b = (part.column(i).to_pylist() for i in range(4))
             out = []
@@ -203,7 +203,7 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     members = wanted.join(dealt, "doc_id").select("a", "salt", F.lit(True).alias("member"), F.col("doc_id").alias("b"), "text")
     heads = wanted.join(stars.withColumnRenamed("a", "doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.lit(0).cast("long").alias("b"), "text")
     rows = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "member")
-    counted = rows.mapInArrow(_verify, "a long, b long, both long, either long")
+    counted = rows.mapInArrow(lean(_verify), "a long, b long, both long, either long")
     return counted.select("a", "b", (F.col("both") * 100 >= F.col("either") * percent).alias("linked"), (1 - F.col("both") / F.greatest("either", F.lit(1))).alias("lo"))
 
 
@@ -227,8 +227,8 @@ def _pairs(low: float):
             if p == q:
                 may &= ids[0][part, None] < ids[1][None, :]
             x, y = np.nonzero(may)
-            for at in range(0, len(x), 1 << 15):
-                u, v = x[at : at + (1 << 15)] + i, y[at : at + (1 << 15)]
+            for at in range(0, len(x), 1 << 13):
+                u, v = x[at : at + (1 << 13)] + i, y[at : at + (1 << 13)]
                 ok = similar((sig[0][u] == sig[1][v]).sum(1)) >= low
                 # a pair of several buckets belongs to that of its first common band
                 ok[ok] = ~(band[0][u[ok], :here] == band[1][v[ok], :here]).any(1)
@@ -289,7 +289,7 @@ def components(links: DataFrame) -> DataFrame:
 def cluster(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept, class_id`` for each row of ``docs``."""
     docs = docs.select(F.col(f"`{id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).filter("doc_id is not null")
-    signed = materialise(docs.mapInArrow(_sign, "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"))
+    signed = materialise(docs.mapInArrow(lean(_sign), "doc_id long, n long, s1 long, s2 long, bands array<long>, sig binary"))
     some = signed.filter("n > 0")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"))
     reps = some.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
@@ -310,7 +310,7 @@ def cluster(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent:
     sized = signs(pairs)
     ratio = F.least("na", "nb") / F.greatest("na", "nb")
     close = sized.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    guessed = materialise(close.select("a", "b", "sa", "sb").mapInArrow(_estimate, "a long, b long, est double"))
+    guessed = materialise(close.select("a", "b", "sa", "sb").mapInArrow(lean(_estimate), "a long, b long, est double"))
     exact = materialise(verify(guessed.filter(F.col("est") >= low).select("a", "b"), docs, percent))
     first = exact.filter("linked").select("a", "b").distinct()
     found = materialise(components(first))
@@ -330,7 +330,7 @@ def cluster(docs: DataFrame, *, id: str = "doc_id", text: str = "text", percent:
     sizes = materialise(sizes)
     dealt = kept.join(maybe_broadcast(sizes, 16), "key").join(reps.select("rep", "n", "sig", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("bands")), "rep").withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("blk", "o").alias("p"), F.greatest("blk", "o").alias("q"), "blk", "rep", "comp", "free", "n", "sig", "bands")
-    more = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(_pairs(low), "a long, b long").distinct()
+    more = dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(lean(_pairs(low)), "a long, b long").distinct()
     more = materialise(more.join(exact.select("a", "b"), ["a", "b"], "left_anti"))
     forget(stars, members, guessed, open_, by, kept, sizes)
     if not more.isEmpty():

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from onomast.llm import tokens
-from onomast.llm._common import cuts, materialise, nullable, utf8
+from onomast.llm._common import CUT_BYTES, cuts, give_back, lean, materialise, nullable, utf8
 
 LIMIT = 1024
 
@@ -46,7 +46,7 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", keep: Sequence[Col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, offsets = utf8(batch.column(n))
-            for lo, hi in cuts(offsets, 1 << 20):
+            for lo, hi in cuts(offsets, CUT_BYTES):
                 coded = tokens.encode(path, batch.column(n).slice(lo, hi - lo).to_pylist())
                 size = np.fromiter(map(len, coded), np.int64, len(coded)) + 1
                 ids = np.empty(int(size.sum()), "<u4")
@@ -68,7 +68,7 @@ def pieces(docs: DataFrame, path: str, *, text: str = "text", keep: Sequence[Col
     inner = [f"c{i}" for i in range(n)]
     out = [*inner, "piece", "start", "length", "ids"]
     schema = T.StructType([*[T.StructField(c, f.dataType) for c, f in zip(inner, kept.schema, strict=True)], T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return docs.select(*keep, F.col(text)).toDF(*inner, "text").mapInArrow(run, schema).toDF(*names, "piece", "start", "length", "ids")
+    return docs.select(*keep, F.col(text)).toDF(*inner, "text").mapInArrow(lean(run), schema).toDF(*names, "piece", "start", "length", "ids")
 
 
 def lower_bound(histogram: np.ndarray, limit: int = LIMIT) -> int:
@@ -124,6 +124,7 @@ def _packed(limit: int, prefix: int):
         where, offset, fill = best_fit(frame["length"].to_numpy(), limit)
         bound = lower_bound(np.bincount(frame["length"].to_numpy(), minlength=limit + 1), limit)
         bins = len(fill)
+        give_back()
         return frame.assign(sequence_id=(np.int64(prefix) << 56) + (np.int64(key[0]) << 32) + where, offset=offset, fill=fill[where], bins=np.int64(bins), bound=np.int64(bound))
 
     return run

@@ -5,16 +5,18 @@ import functools
 import hashlib
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from onomast.llm import chat, fingerprint, html, langid, queries, tokencount, tokens
+from onomast.llm import _common, chat, fingerprint, html, langid, minhash, queries, tokencount, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -474,3 +476,78 @@ def test_html_is_read_in_linear_time():
         assert time.process_time() - began < 60
     assert html.Page("a<b class=ad>x<p>y").text() == "ax\ny" and html.Page("a<b class=ad>x<p>y</b>c").text() == "a\nc" and html.Page("a<b class=ad>x<article>m</article></b>c").text() == "m"
     assert html.Page('a <i "b>c').text() == "a c" and html.Page("1 < 2 <").text() == "1 < 2 <"
+
+
+def test_workers_hold_little(monkeypatch):
+    """The arrays a worker works with stay small next to its batch, and results do not depend on where it is cut."""
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, int(n), np.uint8)).decode() for n in rng.integers(2, 9, 3000)]
+    texts = [" ".join(words[i] for i in rng.integers(0, 3000, 400)) for _ in range(1500)]
+    texts[7:9] = [texts[6]] * 2  # copies
+    batch = pa.record_batch([pa.array(range(1500)), pa.array(texts), pa.array([("en", "de")[i % 2] for i in range(1500)])], ["doc_id", "text", "lang"])
+    assert batch.nbytes > 3_000_000
+    judged = pa.record_batch([batch.column(1), pa.nulls(1500, pa.string()), pa.array([float("inf")] * 1500), pa.array([0.0] * 1500)], ["text", "best", "bits", "mass"])
+    counts: Counter = Counter()
+    for b in langid._grams([batch.slice(0, 200)], 2):
+        for lang, gram, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            counts[lang, gram] += n
+    model = langid.build(np.array([k[0] for k in counts], object), np.array([k[1] for k in counts]), np.array(list(counts.values()), float), 2)
+    assert model.cost.nbytes <= model.step.nbytes  # two languages at two bytes
+    shared = type("Shared", (), {"value": model})
+
+    def peak(run, given):
+        rows = 0
+        tracemalloc.start()
+        for out in run([given]):
+            rows += out.num_rows
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows
+        return most / 1e6
+
+    most = {"grams": peak(lambda it: langid._grams(it, 2), batch), "pass": peak(langid._pass(shared, "text"), judged), "sign": peak(minhash._sign, batch)}
+    assert max(most.values()) < 30, most
+
+    def results():
+        signed = pa.Table.from_batches(list(minhash._sign([batch]))).to_pylist()
+        passed = pa.Table.from_batches(list(langid._pass(shared, "text")([judged]))).to_pylist()
+        return signed, passed
+
+    as_is = results()
+    for module in (langid, minhash):
+        monkeypatch.setattr(module, "CUT_BYTES", 1 << 20)
+    assert results() == as_is
+
+
+def test_workers_give_memory_back():
+    """What a task has freed does not stay with its worker."""
+    import psutil
+
+    def run(batches):
+        for _ in batches:
+            held = [bytes(2000) for _ in range(60_000)]  # below what the C library maps by itself
+            last = [bytes(2000)]
+            del held
+            yield last
+
+    before = psutil.Process().memory_info().rss
+    kept = [x for x in _common.lean(run)(range(2))]
+    assert len(kept) == 2 and psutil.Process().memory_info().rss - before < 40 << 20
+
+
+def test_pipeline_bounds_batches(spark):
+    """Long texts go to the workers a few at a time, and a session that asks for less keeps that."""
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.range(0, 200, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word and "), 12_000).alias("text"))
+        corpus_pipeline.sequences(spark, docs.limit(0).coalesce(1), "")
+        sizes = docs.mapInArrow(lambda it: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in it), "n long").collect()
+        assert max(r["n"] for r in sizes) <= _common.BATCH_BYTES + 200_000
+        spark.conf.set(key, "1m")
+        _common.small_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
