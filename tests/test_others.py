@@ -178,6 +178,45 @@ def test_training_pairs(spark, sf):
     assert n[1] > 50 and n[1] < n[0] <= 3 * n[1]
 
 
+def test_training_pairs_are_not_capped(spark):
+    """120,000 pairs are all there: their number is carried by the few that differ."""
+    v = spark.createDataFrame([("a", "Alpha Tools Inc"), ("b", "Alpha Works Ltd"), ("c", "Alpha Pumps Corp"), ("d", "Alpha Cranes LLC")], "party_id string, party_name string")
+    even = F.col("id") % 2 == 0
+    labels = spark.range(30_000).select(F.concat(F.lit("u"), "id").alias("adm_party_id"), F.when(even, "Alpha Tools").otherwise("Alpha Works Limited").alias("raw_name"), F.when(even, "a").otherwise("b").alias("expected"), F.lit(True).alias("scorable"), F.lit("TRAIN").alias("split"))
+    got = train.pairs(labels, v).collect()
+    assert len(got) == 8 and {r["copies"] for r in got} == {15_000}
+    assert sum(r["copies"] for r in got if r["label"] == 1) == 30_000 and sum(r["copies"] for r in got) == 120_000
+
+
+def test_training_sees_every_row(spark):
+    """Three rows in 60,000 that differ are split off, though Spark looks for splits in a sample of 10,000."""
+    rare = F.col("id") - 59_996  # 1, 2 and 3, labelled 1, 0 and 1
+    rows = spark.range(60_000).select(((rare > 0) & (rare != 2)).cast("int").alias("label"), F.when(rare > 0, rare.cast("double")).otherwise(F.col("id") % 2 * 0.5).alias("char"), F.lit(0.0).alias("word"))
+    of = lambda model: [r["p"] for r in train.probability(model.identity, rows.select("char", "word").distinct(), "p").orderBy("char").collect()]
+    found = of(train.fit(rows, rounds=2))
+    assert [p > 0.5 for p in found] == [False, False, True, False, True]
+    assert of(train.fit(rows.groupBy("label", "char", "word").agg(F.count(F.lit(1)).alias("copies")), rounds=2)) == pytest.approx(found)
+
+
+def test_calibration_counts_every_record(spark):
+    """Records of one part that write a party alike are one with their number, and weigh as many in the threshold."""
+    v = spark.createDataFrame([("a", "Alpha Tools Inc"), ("b", "Alpha Works Ltd")], "party_id string, party_name string")
+    labels = spark.range(900).select(F.concat(F.lit("u"), "id").alias("adm_party_id"), F.lit("Alpha Tools").alias("raw_name"), F.lit("a").alias("expected"), F.lit(True).alias("scorable"), F.lit("CALIBRATION").alias("split"))
+    wanted = {r["part"]: r["count"] for r in labels.groupBy(train.partition(F.col("adm_party_id")).alias("part")).count().collect()}
+    got = train.candidates(labels, v).withColumn("part", train.partition(F.col("adm_party_id"))).collect()
+    assert len(got) == 6 and {(r["part"], r["party_id"], r["label"]): r["copies"] for r in got} == {(part, party, int(party == "a")): n for part, n in wanted.items() for party in "ab"}
+    scores = spark.createDataFrame([(0.9, True, 8), (0.8, True, 4), (0.7, False, 9)], "score double, correct boolean, copies long")
+    assert evaluate.threshold(scores, 0.95, 5, 0.5) == 0.8 and evaluate.threshold(scores, 0.95, 13, 0.5) == 0.5
+
+
+def test_cuts(spark):
+    """Between all values if there are few, else at quantiles by weight; none for one value."""
+    rows = spark.range(1000).select(F.col("id").cast("double").alias("many"), (F.col("id") % 3).cast("double").alias("few"), F.lit(1.0).alias("one"), F.when(F.col("id") < 500, 1).otherwise(3).alias("copies"))
+    got = train.cuts(rows, ["many", "few", "one"], bins=4)
+    assert got["few"] == [0.5, 1.5] and got["one"] == []
+    assert got["many"] == pytest.approx([499.5, 666.5, 833.5], abs=1)
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "u.csv").write_text("﻿name,aliases\nAcme,A|B\nBeta,\n", encoding="utf-8")
     got = io.read_names(spark, str(tmp_path / "u.csv"), "name", "id", "v").collect()
