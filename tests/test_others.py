@@ -209,6 +209,14 @@ def test_calibration_counts_every_record(spark):
     assert evaluate.threshold(scores, 0.95, 5, 0.5) == 0.8 and evaluate.threshold(scores, 0.95, 13, 0.5) == 0.5
 
 
+def test_threshold_reaches_what_it_counted(spark):
+    """A level of 7/15 chosen as 0.4667 is not itself below the threshold."""
+    scores = spark.createDataFrame([(7 / 15, True)] * 8 + [(0.9, True)] * 4, "score double, correct boolean")
+    chosen = evaluate.threshold(scores, 0.98, 5, 0.9)
+    assert chosen > 7 / 15 and train.reached(scores, chosen) == 7 / 15
+    assert train.reached(scores, 0.9) == 0.9 and train.reached(scores, 0.5) == 0.5
+
+
 def test_cuts(spark):
     """Between all values if there are few, else at quantiles by weight; none for one value."""
     rows = spark.range(1000).select(F.col("id").cast("double").alias("many"), (F.col("id") % 3).cast("double").alias("few"), F.lit(1.0).alias("one"), F.when(F.col("id") < 500, 1).otherwise(3).alias("copies"))
